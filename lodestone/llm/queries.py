@@ -1,0 +1,25 @@
+"""Registered queries of this subpackage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.leak import find_leaks
+from lodestone.sources.tables import table
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p6_item_reach(spark: SparkSession, folder: str) -> DataFrame:
+    """For every evaluation item, in how many documents it leaked."""
+    items = table(spark, folder, "eval_items").select("item_id", "suite", "lang")
+    hits = p6_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return items.join(hits, "item_id", "left").select("item_id", "suite", "lang", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_item_reach": p6_item_reach}
+ORACLES: dict[str, str] = {}
