@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.leak import find_leaks
+from lodestone.llm.lookalike import find_lookalikes, unify
 from lodestone.sources.tables import table
 
 
@@ -21,5 +22,17 @@ def p6_item_reach(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(hits, "item_id", "left").select("item_id", "suite", "lang", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_item_reach": p6_item_reach}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Bench queries and the chunks that show but don't store them."""
+    bench = table(spark, folder, "phase1_bench").select(F.col("id").alias("case_id"), "query")
+    return find_lookalikes(table(spark, folder, "chunks"), bench)
+
+
+def p3_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk with its text in the one consistent form, and whether that differs."""
+    chunks = unify(table(spark, folder, "chunks").select("chunk_id", "text"))
+    return chunks.select("chunk_id", "unified", (~F.col("text").eqNullSafe(F.col("unified"))).alias("changed"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_unified": p3_unified, "p6_found": p6_found, "p6_item_reach": p6_item_reach}
 ORACLES: dict[str, str] = {}
