@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.leak import find_leaks
 from lodestone.llm.lookalike import find_lookalikes, unify
+from lodestone.llm.treesplit import split_oversized
 from lodestone.sources.tables import table
 
 
@@ -34,5 +35,15 @@ def p3_unified(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.select("chunk_id", "unified", (~F.col("text").eqNullSafe(F.col("unified"))).alias("changed"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_unified": p3_unified, "p6_found": p6_found, "p6_item_reach": p6_item_reach}
-ORACLES: dict[str, str] = {}
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every oversized chunk."""
+    return split_oversized(table(spark, folder, "chunks"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks that had to be split."""
+    return p4_pieces(spark, folder).select("chunk_id").distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_item_reach": p6_item_reach}
+ORACLES: dict[str, str] = {"p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 900"}
