@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.leak import find_leaks
 from lodestone.llm.lookalike import find_lookalikes, unify
+from lodestone.llm.mixture import draw_mix
 from lodestone.llm.treesplit import split_oversized
 from lodestone.sources.tables import table
 
@@ -45,5 +46,15 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pieces(spark, folder).select("chunk_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_item_reach": p6_item_reach}
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the largest mix that meets the target shares, with their uses."""
+    return draw_mix(table(spark, folder, "documents"), table(spark, folder, "source_targets"))[0]
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in that mix."""
+    return draw_mix(table(spark, folder, "documents"), table(spark, folder, "source_targets"))[1]
+
+
+QUERIES = {"p7_mix": p7_mix, "p7_report": p7_report, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_item_reach": p6_item_reach}
 ORACLES: dict[str, str] = {"p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 900"}
