@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.leak import find_leaks
 from lodestone.llm.lookalike import find_lookalikes, unify
 from lodestone.llm.mixture import draw_mix
+from lodestone.llm.pii import find_personal_data, redact
 from lodestone.llm.treesplit import split_oversized
 from lodestone.sources.tables import table
 
@@ -56,5 +57,15 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return draw_mix(table(spark, folder, "documents"), table(spark, folder, "source_targets"))[1]
 
 
-QUERIES = {"p7_mix": p7_mix, "p7_report": p7_report, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_item_reach": p6_item_reach}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item of personal information in the chunks, by its place."""
+    return find_personal_data(table(spark, folder, "chunks")).drop("entity")
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks with surrogates in the place of personal information."""
+    return redact(table(spark, folder, "chunks").select("chunk_id", "text"), secret="not-a-secret").select("chunk_id", "redacted")
+
+
+QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p7_mix": p7_mix, "p7_report": p7_report, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_item_reach": p6_item_reach}
 ORACLES: dict[str, str] = {"p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 900"}
