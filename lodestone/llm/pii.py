@@ -69,6 +69,8 @@ _PHONES = [
         r"1[3-9]\d{9}|1[3-9]\d-\d{4}-\d{4}|1[3-9]\d \d{4} \d{4}",
     )
 ]
+#: Nine digits without separators are a phone number only after a word that says so.
+_BARE, _BARE_CUE = re.compile(r"[5-9]\d{8}"), re.compile(r"(?:al|au|tel\.?|Tel\.?|teléfono|móvil|número|unter|callback on|[Cc]all):? $")
 _ID_DIGITS = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}|\d{17}|[12] \d\d \d\d \d[\dAB] \d{3} \d{3}(?: \d\d)?|\d{2} \d{3} \d{3} \d{3}")
 _ID_SHAPES = re.compile(
     r"(?a)(?<![\w.@/-])(?:\d{17}[\dXx]|[A-CEGHJ-PQ-Z][A-NP-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}-?[A-HJ-NP-TV-Z]|[XYZ]-?\d{7}-?[A-HJ-NP-TV-Z])(?![\w@])|(?<![\w.@/-])(?:\d{3}[- ]\d{2}[- ]\d{4})(?![\w@-])"
@@ -125,7 +127,7 @@ def find_entities(text: str) -> list[tuple[str, int, int]]:
         digits = text[start:end]
         if _ID_DIGITS.fullmatch(digits):
             add("id_number", start, end)
-        elif 9 <= sum(c.isdigit() for c in digits) <= 16 and any(p.fullmatch(digits) for p in _PHONES):
+        elif 9 <= sum(c.isdigit() for c in digits) <= 16 and (any(p.fullmatch(digits) for p in _PHONES) or (_BARE.fullmatch(digits) and _BARE_CUE.search(text, max(0, start - 12), start))):
             add("phone", start, end)
     at = 0
     while m := _NAME.search(text, at):

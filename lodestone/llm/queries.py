@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.leak import find_leaks
 from lodestone.llm.lookalike import find_lookalikes, unify
 from lodestone.llm.mixture import draw_mix
+from lodestone.llm.neardup import near_duplicate_pairs
 from lodestone.llm.pii import find_personal_data, redact
 from lodestone.llm.treesplit import split_oversized
 from lodestone.sources.tables import table
@@ -67,5 +68,10 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return redact(table(spark, folder, "chunks").select("chunk_id", "text"), secret="not-a-secret").select("chunk_id", "redacted")
 
 
-QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted, "p7_mix": p7_mix, "p7_report": p7_report, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_item_reach": p6_item_reach}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks that repeat one another with small changes."""
+    return near_duplicate_pairs(table(spark, folder, "chunks"))
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_mix": p7_mix, "p7_report": p7_report, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_item_reach": p6_item_reach}
 ORACLES: dict[str, str] = {"p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 900"}
