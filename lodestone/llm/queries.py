@@ -10,6 +10,7 @@ from lodestone.llm.lookalike import find_lookalikes, unify
 from lodestone.llm.mixture import draw_mix
 from lodestone.llm.neardup import near_duplicate_pairs
 from lodestone.llm.pii import find_personal_data, redact
+from lodestone.llm.sentences import find_sentences
 from lodestone.llm.treesplit import split_oversized
 from lodestone.sources.tables import table
 
@@ -73,5 +74,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_pairs(table(spark, folder, "chunks"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_mix": p7_mix, "p7_report": p7_report, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_item_reach": p6_item_reach}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence of every document."""
+    return find_sentences(table(spark, folder, "documents")).drop("sentence")
+
+
+QUERIES = {"p8_found": p8_found, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_mix": p7_mix, "p7_report": p7_report, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_item_reach": p6_item_reach}
 ORACLES: dict[str, str] = {"p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 900"}
