@@ -19,7 +19,6 @@ threshold has (but for about one in a thousand).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +31,54 @@ from lodestone.session import cut
 
 _BINS = 128
 _NIBBLES = 32
-_NOT_COUNTED = re.compile(r"[\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normalised(text: str) -> str:
+def _alphanumeric() -> np.ndarray:
+    """For each code point whether it's a letter or a digit."""
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+_ALNUM = _alphanumeric()
+#: Characters that one round of array work handles, so that a batch of long texts stays small.
+_ROUND = 2_000_000
+
+
+def _rounds(texts: list[str]) -> Iterator[list[str]]:
+    part: list[str] = []
+    size = 0
+    for text in texts:
+        if part and size + len(text) > _ROUND:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts in a row, and where each text begins (and the last ends)."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return points, np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+
+
+def normalise_all(texts: list[str]) -> list[str]:
     """Lower case, each run of characters other than letters and digits one space."""
-    return _NOT_COUNTED.sub(" ", text.lower())
+    out: list[str] = []
+    for part in _rounds(texts):
+        points, edges = _points([t.lower() for t in part])
+        if not len(points):
+            out += [""] * len(part)
+            continue
+        counted = _ALNUM[points]
+        after_counted = np.concatenate(([True], counted[:-1]))
+        after_counted[edges[:-1][edges[:-1] < len(points)]] = True
+        keep = counted | after_counted
+        joined = np.where(counted, points, np.uint32(32))[keep].tobytes().decode("utf-32-le", "surrogatepass")
+        cuts = np.concatenate(([0], np.cumsum(keep)))[edges]
+        out += [joined[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,16 +89,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(text: str, size: int) -> np.ndarray:
-    """A 64-bit hash of each ``size``-character substring, in order (repeats included)."""
-    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each ``size``-character substring of each text, and the number of its text."""
+    points, edges = _points(texts)
     n = len(points) - size + 1
     if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    h = points[:n].copy()
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    wide = points.astype(np.uint64)
+    h = wide[:n].copy()
     for i in range(1, size):
-        h = h * _MIX + points[i : i + n]
-    return _mix(h)
+        h *= _MIX
+        h += wide[i : i + n]
+    owner = np.repeat(np.arange(len(texts)), np.diff(edges))
+    within = owner[:n] == owner[size - 1 : size - 1 + n]
+    return _mix(h[within]), owner[:n][within]
 
 
 def _donors() -> np.ndarray:
@@ -72,36 +116,31 @@ _DONORS = _donors()
 def digests(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """``(n, 256)`` digests and a mask of the texts that have shingles at all.
 
-    The hashes of all texts are reduced together: text and position form one sort
-    key, and the first hash of each run is the least.
+    A position that no shingle of a text falls on borrows from others, in an order
+    that is the same for all texts, so that it still agrees as often as the texts do.
     """
-    parts = [shingle_hashes(t, size) for t in texts]
-    lengths = np.array([len(p) for p in parts])
-    some = lengths > 0
+    values, owner = shingle_hashes(texts, size)
+    some = np.zeros(len(texts), dtype=bool)
+    some[owner] = True
     out = np.zeros((len(texts), 2 * _BINS), dtype=np.uint64)
     if not some.any():
         return out, some
-    values = np.concatenate(parts)
-    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
+    nothing = np.uint64(0xFFFFFFFFFFFFFFFF)
     for half in range(2):
         v = values if half == 0 else _mix(values + _MIX)
-        # 25 bits of text, 7 of position, 32 of hash.
-        key = np.sort((owner << np.uint64(39)) | (v >> np.uint64(25)))
-        cell = key >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        least = np.full(len(texts) * _BINS, -1, dtype=np.int64)
-        least[cell[first].astype(np.int64)] = (key[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        least = np.full(len(texts) * _BINS, nothing, dtype=np.uint64)
+        np.minimum.at(least, owner * _BINS + (v >> np.uint64(57)).astype(np.int64), v)
         least = least.reshape(len(texts), _BINS)
         filled = least.copy()
-        empty = (least < 0) & some[:, None]
+        row, col = np.nonzero((least == nothing) & some[:, None])
         for step in range(_BINS):
-            if not empty.any():
+            if not len(row):
                 break
-            row, col = np.nonzero(empty)
             borrowed = least[row, _DONORS[col, step]]
-            filled[row, col] = np.where(borrowed >= 0, borrowed, filled[row, col])
-            empty[row, col] = borrowed < 0
-        out[:, half * _BINS : (half + 1) * _BINS] = filled.astype(np.uint64)
+            filled[row, col] = borrowed
+            still = borrowed == nothing
+            row, col = row[still], col[still]
+        out[:, half * _BINS : (half + 1) * _BINS] = filled
     return out, some
 
 
@@ -131,9 +170,14 @@ def _digest_column(size: int, rows: int, bands: int):
     @F.pandas_udf(_DIGEST)
     def column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            digest, some = digests(list(texts), size)
-            keys, words = _band_keys(digest, rows, bands), _summary(digest)
-            yield pd.DataFrame({"keys": [k if ok else k[:0] for k, ok in zip(keys, some, strict=True)], "s0": words[:, 0], "s1": words[:, 1]})
+            keys, words = [], []
+            for part in _rounds(list(texts)):
+                digest, some = digests(part, size)
+                own = _band_keys(digest, rows, bands)
+                keys += [k if ok else k[:0] for k, ok in zip(own, some, strict=True)]
+                words.append(_summary(digest))
+            both = np.concatenate(words) if words else np.empty((0, 2), dtype=np.int64)
+            yield pd.DataFrame({"keys": pd.Series(keys, dtype=object), "s0": both[:, 0], "s1": both[:, 1]})
 
     return column
 
@@ -141,7 +185,7 @@ def _digest_column(size: int, rows: int, bands: int):
 @F.pandas_udf(T.StringType())
 def _normalised_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([normalised(t) for t in texts], dtype=object)
+        yield pd.Series(normalise_all(list(texts)), dtype=object)
 
 
 def _agreeing(a: str, b: str) -> Column:
@@ -151,41 +195,52 @@ def _agreeing(a: str, b: str) -> Column:
     return F.lit(16) - F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
 
 
+def _similarity(a: str, b: str, size: int) -> float:
+    one, two = {a[i : i + size] for i in range(len(a) - size + 1)}, {b[i : i + size] for i in range(len(b) - size + 1)}
+    return len(one & two) / len(one | two)
+
+
 def _verify(size: int, threshold: float):
     @F.pandas_udf(T.BooleanType())
-    def column(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            last, own = None, None
+    def column(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids_a, ids_b, left, right in batches:
+            sets: dict[int, np.ndarray] = {}
             out = []
-            for a, b in zip(left, right, strict=True):
-                if a is not last:
-                    last, own = a, {a[i : i + size] for i in range(len(a) - size + 1)}
-                other = {b[i : i + size] for i in range(len(b) - size + 1)}
-                shared = len(own & other)
-                # Multiplied out, so that the threshold itself counts.
-                out.append(shared >= threshold * (len(own) + len(other) - shared) - 1e-9)
-            yield pd.Series(out)
+            for i, j, a, b in zip(ids_a, ids_b, left, right, strict=True):
+                for k, text in ((i, a), (j, b)):
+                    if k not in sets:
+                        sets[k] = np.unique(shingle_hashes([text], size)[0])
+                one, two = sets[i], sets[j]
+                both = np.concatenate((one, two))
+                both.sort()
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                similar = shared / (len(both) - shared)
+                # Counted by 64-bit hashes; what lies near the threshold is counted by the strings themselves.
+                out.append(similar >= threshold if abs(similar - threshold) > 0.01 else _similarity(a, b, size) >= threshold - 1e-12)
+                if len(sets) > 20_000:
+                    sets.clear()
+            yield pd.Series(out, dtype=bool)
 
     return column
 
 
-def text_classes(rows: DataFrame, key: str, text: str) -> DataFrame:
+def text_classes(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """``key, class_id, norm``: rows whose normalised texts are equal share a class.
 
-    Texts too short to have a shingle, empty and null ones are left out by the callers.
+    Rows without a key, and texts too short to have a shingle, are left out.
     """
     norm = rows.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), _normalised_column(F.col(f"`{text}`")).alias("norm"))
-    return norm.select("key", F.xxhash64("norm").alias("class_id"), "norm")
+    return norm.where(F.length("norm") >= size).select("key", F.xxhash64("norm").alias("class_id"), "norm")
 
 
-def similar_classes(classes: DataFrame, size: int = 5, threshold: float = 0.6, rows: int = 5, bands: int = 51, least_agreeing: int = 13) -> DataFrame:
+def similar_classes(classes: DataFrame, size: int = 5, threshold: float = 0.6, rows: int = 5, bands: int = 46, least_agreeing: int = 14) -> DataFrame:
     """``class_a < class_b`` for all pairs of different texts with similarity of at least ``threshold``.
 
     ``classes`` has one row for each class: ``class_id, norm``.  A hot key (texts
     that all agree at its positions) is a large partition of the join, which
     adaptive execution splits; nothing is gathered or cut off.
     """
-    listed = classes.where(F.length("norm") >= size).select("class_id", _digest_column(size, rows, bands)(F.col("norm")).alias("d"))
+    listed = classes.select("class_id", _digest_column(size, rows, bands)(F.col("norm")).alias("d"))
     index = listed.select("class_id", "d.s0", "d.s1", F.explode("d.keys").alias("k"))
     other = index.select(F.col("class_id").alias("class_b"), F.col("s0").alias("t0"), F.col("s1").alias("t1"), "k")
     met = index.withColumnRenamed("class_id", "class_a").join(other, "k")
@@ -194,7 +249,7 @@ def similar_classes(classes: DataFrame, size: int = 5, threshold: float = 0.6, r
     a = classes.select(F.col("class_id").alias("class_a"), F.col("norm").alias("norm_a"))
     b = classes.select(F.col("class_id").alias("class_b"), F.col("norm").alias("norm_b"))
     both = candidates.join(a, "class_a").join(b, "class_b")
-    return both.where(_verify(size, threshold)("norm_a", "norm_b")).select("class_a", "class_b")
+    return both.where(_verify(size, threshold)("class_a", "class_b", "norm_a", "norm_b")).select("class_a", "class_b")
 
 
 def near_duplicate_pairs(rows: DataFrame, key: str = "chunk_id", text: str = "text", size: int = 5, threshold: float = 0.6, salts: int = 16) -> DataFrame:
@@ -208,11 +263,11 @@ def near_duplicate_pairs(rows: DataFrame, key: str = "chunk_id", text: str = "te
     one side of the members is spread over ``salts`` partitions of its class, so a
     class that holds a third of all rows isn't expanded by one task.
     """
-    # Written once: classes, listings and texts are each read again below.
-    members = cut(text_classes(rows, key, text).where(F.length("norm") >= size))
-    classes = members.groupBy("class_id").agg(F.first("norm").alias("norm"), F.count(F.lit(1)).alias("n"))
-    links = similar_classes(classes.select("class_id", "norm"), size, threshold)
-    again = classes.where("n > 1").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"))
+    each = text_classes(rows, key, text, size)
+    members = cut(each.select("key", "class_id"))
+    classes = each.groupBy("class_id").agg(F.first("norm").alias("norm"))
+    links = similar_classes(classes, size, threshold)
+    again = members.groupBy("class_id").count().where("count > 1").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"))
     linked = links.unionByName(again)
     one = members.select(F.col("class_id").alias("class_a"), F.col("key").alias("key_1"), F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
     two = members.select(F.col("class_id").alias("class_b"), F.col("key").alias("key_2"))
