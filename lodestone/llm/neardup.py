@@ -204,21 +204,24 @@ def _verify(size: int, threshold: float):
     @F.pandas_udf(T.BooleanType())
     def column(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for ids_a, ids_b, left, right in batches:
+            texts = dict(zip(ids_a, left, strict=True)) | dict(zip(ids_b, right, strict=True))
             sets: dict[int, np.ndarray] = {}
+            ids = list(texts)
+            for part in _rounds([texts[k] for k in ids]):
+                values, owner = shingle_hashes(part, size)
+                ends = np.searchsorted(owner, np.arange(len(part) + 1))
+                short = values.astype(np.uint32)
+                for n, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True), len(sets)):
+                    sets[ids[n]] = np.unique(short[x:y])
             out = []
             for i, j, a, b in zip(ids_a, ids_b, left, right, strict=True):
-                for k, text in ((i, a), (j, b)):
-                    if k not in sets:
-                        sets[k] = np.unique(shingle_hashes([text], size)[0])
                 one, two = sets[i], sets[j]
                 both = np.concatenate((one, two))
                 both.sort()
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 similar = shared / (len(both) - shared)
-                # Counted by 64-bit hashes; what lies near the threshold is counted by the strings themselves.
+                # Counted by 32-bit hashes; what lies near the threshold is counted by the strings themselves.
                 out.append(similar >= threshold if abs(similar - threshold) > 0.01 else _similarity(a, b, size) >= threshold - 1e-12)
-                if len(sets) > 20_000:
-                    sets.clear()
             yield pd.Series(out, dtype=bool)
 
     return column
@@ -233,7 +236,7 @@ def text_classes(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return norm.where(F.length("norm") >= size).select("key", F.xxhash64("norm").alias("class_id"), "norm")
 
 
-def similar_classes(classes: DataFrame, size: int = 5, threshold: float = 0.6, rows: int = 5, bands: int = 46, least_agreeing: int = 14) -> DataFrame:
+def similar_classes(classes: DataFrame, size: int = 5, threshold: float = 0.6, rows: int = 5, bands: int = 44, least_agreeing: int = 14) -> DataFrame:
     """``class_a < class_b`` for all pairs of different texts with similarity of at least ``threshold``.
 
     ``classes`` has one row for each class: ``class_id, norm``.  A hot key (texts
