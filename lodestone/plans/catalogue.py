@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import problems
+from lodestone.plans import index_queries, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES = {**problems.QUERIES, **index_queries.QUERIES}
+ORACLES: dict[str, str] = {**index_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
