@@ -116,7 +116,9 @@ _ACCENTED, _BASES = _accent_pairs()
 
 def index_tokens(c: Column) -> Column:
     """Tokens of the full-text index: lower case, without accents, split at all but letters and digits."""
-    plain = F.regexp_replace(F.translate(F.lower(c), _ACCENTED, _BASES), r"\p{Mn}+", "")
+    low = F.lower(c)
+    # Most texts are ASCII; only the others pay for the replacement of letters.
+    plain = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.regexp_replace(F.translate(low, _ACCENTED, _BASES), r"\p{Mn}+", ""))
     return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: F.length(t) > 0)
 
 
