@@ -115,7 +115,7 @@ def _search(items: list, words: int, characters: int, key: str, text: str):
                 for hit in sorted(found):
                     ids.append(k)
                     hits.append(hit)
-            yield pd.DataFrame({key: pd.Series(ids, dtype=batch[key].dtype), "item_id": pd.Series(hits, dtype="int64")})
+            yield pd.DataFrame({key: pd.Series(ids, dtype=batch[key].dtype if batch[key].dtype.kind in "iuf" else object), "item_id": pd.Series(hits, dtype="int64")})
 
     return run
 

@@ -152,7 +152,7 @@ def confirmed_readings(texts: DataFrame) -> DataFrame:
                     seen.update(_TOKEN.findall(folded))
                     wanted.update(proposals(folded).values())
             known = [w for w in seen if w.isascii() or not _SUSPECT.search(w) or len({_script(c) for c in w} - {"other"}) == 1]
-            yield pd.DataFrame({"word": known + list(wanted), "known": [True] * len(known) + [False] * len(wanted)})
+            yield pd.DataFrame({"word": pd.Series(known + list(wanted), dtype=object), "known": pd.Series([True] * len(known) + [False] * len(wanted), dtype=bool)})
 
     each = texts.select("text").mapInPandas(words, "word string, known boolean")
     return each.groupBy("word").agg(F.bool_or("known").alias("known"), F.bool_or(~F.col("known")).alias("wanted")).where("known and wanted").select("word")

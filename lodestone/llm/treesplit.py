@@ -247,7 +247,7 @@ def split_oversized(chunks: DataFrame, limit: int = 900, overlap: int = 150) ->
     starts = starts.select("memory_id", "_text_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda n: F.concat_ws("\n\n", F.slice("_parts", 1, n)))).alias("_prefix")).where(F.length("_prefix") > 0)
     tails = chunks.where("text is not null").select("memory_id", F.regexp_replace(F.right("text", F.lit(overlap + 10)), r"\s+$", "").alias("_tail")).where(F.length("_tail") > 0)
     tails = tails.withColumn("_end", F.right("_tail", F.lit(end_key))).distinct()
-    # Short prefixes are compared on their whole length, so both sides cut the key alike.
+    # An overlap shorter than the key is the whole of a short chunk, so both sides cut the key alike.
     met = starts.withColumn("_end", F.right("_prefix", F.lit(end_key))).join(tails, ["memory_id", "_end"]).where(F.endswith(F.col("_tail"), F.col("_prefix")))
     lines_in = F.size(F.split("_prefix", "\r\n|\r|\n")) + 1
     prefixes = met.groupBy(F.col("memory_id").alias("_m"), F.col("_text_id").alias("_t")).agg(F.max(lines_in).alias("_skip"))
