@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.timestamps import known_zones, parse_timestamp, wall_to_utc
+from lodestone.session import cut
 
 _MINUTE = 60_000_000
 
@@ -62,6 +63,7 @@ def normalise_timestamps(
     channel: str = "channel",
     ingested: str = "created_at",
     candidates: Sequence[str] = CANDIDATES,
+    most_broadcast: int = 100_000,
 ) -> DataFrame:
     """``rows`` with ``utc_micros`` (long) and ``zone_source`` added.
 
@@ -74,8 +76,9 @@ def normalise_timestamps(
     ``rows`` are kept but an old ``utc_micros`` or ``zone_source``, which is
     replaced; no row is lost or repeated, and an empty input gives an empty result.
 
-    ``channels`` and the estimates are one row for each channel: Spark decides
-    from their size whether to broadcast them.
+    The estimates are one row for each channel without a zone; they are counted, and
+    broadcast up to ``most_broadcast`` rows, so that rows without a channel or with a
+    hot one aren't shuffled.  Of ``channels`` Spark knows the size itself.
     """
     zones = known_zones() + ["UTC"]
     declared = channels.where(F.col("channel").isNotNull()).groupBy(F.col("channel").alias("_channel")).agg(F.min(F.when(F.col("zone_name").isin(zones), F.col("zone_name"))).alias("_declared"), F.min("date_order").alias("_order"))
@@ -85,7 +88,9 @@ def normalise_timestamps(
 
     open_rows = read.where(F.col("_declared").isNull() & F.col("_p.offset_minutes").isNull() & F.col("_p.zone").isNull())
     walls = open_rows.select(F.col("_channel").alias("channel"), F.col("_p.wall_micros").alias("wall_micros"), F.unix_micros(F.col(ingested)).alias("ingest_micros"))
-    estimated = estimate_zones(walls, candidates).select(F.col("channel").alias("_channel"), F.col("estimated_zone").alias("_estimated"))
+    estimated = cut(estimate_zones(walls, candidates).select(F.col("channel").alias("_channel"), F.col("estimated_zone").alias("_estimated")))
+    if estimated.count() <= most_broadcast:
+        estimated = F.broadcast(estimated)
 
     full = read.join(estimated, "_channel", "left")
     wall, offset = F.col("_p.wall_micros"), F.col("_p.offset_minutes")
