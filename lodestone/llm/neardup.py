@@ -278,3 +278,18 @@ def near_duplicate_pairs(rows: DataFrame, key: str = "chunk_id", text: str = "te
     pairs = spread.join(one, ["class_a", "salt"]).join(two, "class_b").where((F.col("class_a") != F.col("class_b")) | (F.col("key_1") < F.col("key_2")))
     ordered = pairs.select(F.least("key_1", "key_2").alias(f"{key}_a"), F.greatest("key_1", "key_2").alias(f"{key}_b")).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
     return ordered.distinct()
+
+
+def duplicate_classes(rows: DataFrame, key: str = "chunk_id", text: str = "text", size: int = 5, threshold: float = 0.6) -> DataFrame:
+    """One row for each key: ``key, class_id, n_copies, n_links``.
+
+    Rows with equal normalised texts share ``class_id``; ``n_links`` counts the other
+    classes that are similar.  A key that is there several times gives one row for each text.
+    """
+    each = text_classes(rows, key, text, size)
+    members = cut(each.select("key", "class_id").distinct())
+    links = similar_classes(each.groupBy("class_id").agg(F.first("norm").alias("norm")), size, threshold)
+    ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_copies"))
+    # One row a class on the right; a hot class is a large partition of the left side, which adaptive execution splits.
+    return members.join(sizes.join(ends, "class_id", "left"), "class_id").select(F.col("key").alias(key), "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))

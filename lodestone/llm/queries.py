@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.leak import find_leaks
 from lodestone.llm.lookalike import find_lookalikes, unify
 from lodestone.llm.mixture import draw_mix
-from lodestone.llm.neardup import near_duplicate_pairs
+from lodestone.llm.neardup import duplicate_classes, near_duplicate_pairs
 from lodestone.llm.pii import find_personal_data, redact
 from lodestone.llm.sentences import find_sentences
 from lodestone.llm.treesplit import split_oversized
@@ -79,5 +79,24 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_sentences(table(spark, folder, "documents")).drop("sentence")
 
 
-QUERIES = {"p8_found": p8_found, "p2_found": p2_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_mix": p7_mix, "p7_report": p7_report, "p3_found": p3_found, "p3_unified": p3_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p6_item_reach": p6_item_reach}
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each chunk with its class of equal texts and the number of similar classes."""
+    return duplicate_classes(table(spark, folder, "chunks"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_classes": p2_classes,
+    "p3_found": p3_found,
+    "p3_unified": p3_unified,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
+    "p6_found": p6_found,
+    "p6_item_reach": p6_item_reach,
+    "p7_mix": p7_mix,
+    "p7_report": p7_report,
+    "p8_found": p8_found,
+}
 ORACLES: dict[str, str] = {"p4_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 900"}
