@@ -81,23 +81,63 @@ def paragraphs(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return each.select(key, "paragraph", F.col("p.start").alias("line_start"), F.col("p.end").alias("line_end"), F.col("p.text").alias("text"))
 
 
-def pack_paragraphs(rows: DataFrame, key: str, text: str = "text", target: int = 900) -> DataFrame:
+def heading_paths(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, n, level, path``: each heading with the headings that it stands under, joined by `` > ``."""
+    found = F.filter(_numbered(F.split(text, r"\r?\n", -1)), lambda x: x["line"].rlike(HEADING))
+    shaped = F.transform(found, lambda x: F.struct(x["n"].alias("n"), F.length(F.regexp_extract(x["line"], HEADING, 1)).alias("level"), F.regexp_extract(x["line"], HEADING, 2).alias("title")))
+    zero = F.struct(F.array().cast("array<struct<n:int,level:int,title:string>>").alias("stack"), F.array().cast("array<struct<n:int,level:int,path:string>>").alias("out"))
+
+    def step(acc: Column, h: Column) -> Column:
+        stack = F.concat(F.filter(acc["stack"], lambda s: s["level"] < h["level"]), F.array(h))
+        path = F.array_join(F.transform(stack, lambda s: s["title"]), " > ")
+        return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(F.struct(h["n"].alias("n"), h["level"].alias("level"), path.alias("path")))).alias("out"))
+
+    each = rows.where(F.col(text).isNotNull()).select(key, F.explode(F.aggregate(shaped, zero, step, lambda acc: acc["out"])).alias("h"))
+    return each.select(key, "h.n", "h.level", "h.path")
+
+
+def _split_lists(parts: Column, target: int) -> Column:
+    """Paragraphs as long as the target, cut at their list items and packed line by line; others as they are."""
+    item = r"^ {0,3}(?:[-*+]|\d+\.)\s+"
+    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
+
+    def items(p: Column) -> Column:
+        groups = _islands(F.split(p["text"], "\n", -1), lambda line, n: line.rlike(item))
+
+        def step(done: Column, g: Column) -> Column:
+            last = F.try_element_at(done, F.lit(-1))
+            fits = (F.size(done) > 0) & (F.length(last["text"]) + 1 + F.length(g["text"]) <= target)
+            lines_at = lambda c: (p["start"] + c - 1).cast("int")
+            grown = F.struct(last["start"].alias("start"), lines_at(g["end"]).alias("end"), F.concat(last["text"], F.lit("\n"), g["text"]).alias("text"))
+            fresh = F.struct(lines_at(g["start"]).alias("start"), lines_at(g["end"]).alias("end"), g["text"].alias("text"))
+            return F.when(F.coalesce(fits, F.lit(False)), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+
+        return F.when(F.size(groups) > 1, F.aggregate(groups, empty, step)).otherwise(F.array(F.struct(p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text"))))
+
+    marked = lambda ps, own: F.transform(ps, lambda q: F.struct(q["start"].alias("start"), q["end"].alias("end"), q["text"].alias("text"), F.lit(own).alias("own")))
+    return F.flatten(F.transform(parts, lambda p: F.when(F.length(p["text"]) >= target, marked(items(p), True)).otherwise(marked(F.array(p), False))))
+
+
+def pack_paragraphs(rows: DataFrame, key: str, text: str = "text", target: int = 900, split_lists: bool = False) -> DataFrame:
     """``key, chunk, line_start, line_end, n_chars, text``: paragraphs packed greedily.
 
     A paragraph joins the open chunk (after a blank line) unless that would exceed
-    ``target``; a paragraph as long as the target is a chunk of its own.
+    ``target``; a paragraph as long as the target is a chunk of its own.  With
+    ``split_lists`` such a paragraph is cut at its list items, packed up to the target.
     """
+    parts = _paragraph_array(F.col(text))
+    parts = _split_lists(parts, target) if split_lists else F.transform(parts, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text"), (F.length(p["text"]) >= target).alias("own")))
     empty = F.array().cast("array<struct<start:int,end:int,text:string,size:int,full:boolean>>")
 
     def step(done: Column, p: Column) -> Column:
         size = F.length(p["text"])
         last = F.try_element_at(done, F.lit(-1))
-        joins = (F.size(done) > 0) & ~last["full"] & (size < target) & (last["size"] + size + 2 <= target)
+        joins = (F.size(done) > 0) & ~last["full"] & ~p["own"] & (last["size"] + size + 2 <= target)
         grown = F.struct(last["start"].alias("start"), p["end"].alias("end"), F.concat(last["text"], F.lit("\n\n"), p["text"]).alias("text"), (last["size"] + size + 2).alias("size"), F.lit(False).alias("full"))
-        fresh = F.struct(p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text"), (size + 2).alias("size"), (size >= target).alias("full"))
+        fresh = F.struct(p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text"), (size + 2).alias("size"), p["own"].alias("full"))
         return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
 
-    packed = F.aggregate(_paragraph_array(F.col(text)), empty, step)
+    packed = F.aggregate(parts, empty, step)
     each = rows.where(F.col(text).isNotNull()).select(key, F.posexplode(packed).alias("chunk", "c"))
     return each.select(key, "chunk", F.col("c.start").alias("line_start"), F.col("c.end").alias("line_end"), F.length("c.text").alias("n_chars"), F.col("c.text").alias("text"))
 

@@ -158,6 +158,14 @@ def o46(spark, folder):
     return segment.pack_paragraphs(table(spark, folder, "documents"), "doc_id").drop("text")
 
 
+_OWN = f"SELECT doc_id, n, length(regexp_extract(line, '{_HEAD}', 1)) AS level, regexp_extract(line, '{_HEAD}', 2) AS title FROM ({_LINES}) WHERE regexp_matches(line, '{_HEAD}')"
+
+
+@query("o44_heading_paths", f"WITH h AS ({_OWN}) SELECT h.doc_id, h.n::INT AS n, h.level::INT AS level, string_agg(a.title, ' > ' ORDER BY a.n) AS path FROM h JOIN h a ON a.doc_id = h.doc_id AND a.n <= h.n AND (a.n = h.n OR (a.level < h.level AND NOT EXISTS (SELECT 1 FROM h b WHERE b.doc_id = h.doc_id AND b.n > a.n AND b.n <= h.n AND b.level <= a.level))) GROUP BY ALL")
+def o44(spark, folder):
+    return segment.heading_paths(table(spark, folder, "documents"), "doc_id")
+
+
 @query("o13_memory_latest", "SELECT memory_id, min(created_at) AS created_at, max(updated_at) AS updated_at, max_by(status, updated_at) AS status FROM memories GROUP BY memory_id")
 def o13(spark, folder):
     m = table(spark, folder, "memories")

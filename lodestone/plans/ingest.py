@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -11,16 +11,39 @@ from lodestone.operators.store import Store, changed, retire, upsert
 from lodestone.session import cut
 
 
+_HINT_TEXT = ("memoryId", "memoryType", "timestamp", "status", "scope", "project", "channel", "title", "summary")
+_HINT_NUMBER = ("importance", "confidence")
+
+
+def hint_of(text: Column) -> Column:
+    """The first block fenced as ``memory``, as ``struct`` of its known fields; null where there is none.
+
+    One field of a wrong type, or broken JSON, voids the whole hint; unknown fields
+    are left aside.
+    """
+    block = F.regexp_extract(text, r"(?s)```memory[ \t]*\r?\n(.*?)```", 1)
+    parsed = F.try_parse_json(F.when(block != "", block))
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+    ok = parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT")
+    for name in _HINT_TEXT:
+        ok = ok & F.coalesce(kind(name) == "STRING", F.lit(True))
+    for name in _HINT_NUMBER:
+        ok = ok & F.coalesce(kind(name).rlike("^(BIGINT|DECIMAL|DOUBLE)") & F.try_variant_get(parsed, f"$.{name}", "double").between(0, 1), F.lit(True))
+    fields = [F.try_variant_get(parsed, f"$.{n}", "string").alias(n) for n in _HINT_TEXT] + [F.try_variant_get(parsed, f"$.{n}", "double").alias(n) for n in _HINT_NUMBER]
+    return F.when(ok, F.struct(*fields))
+
+
 def extract_memories(files: DataFrame, now: str) -> DataFrame:
     """One record for each section of ``files`` (``path, text``), with its text and lines."""
-    parts = segment.sections(files, "path")
+    parts = segment.sections(files, "path").withColumn("hint", hint_of(F.col("text")))
+    said = lambda name, default: F.coalesce(F.col(f"hint.{name}"), default).alias
     hashed = X.content_hash(F.col("text"))
     return parts.select(
-        X.hashed_id("mem_", F.lit("episode"), F.col("path"), F.concat_ws("#", "title", "section"), hashed).alias("memory_id"),
+        said("memoryId", X.hashed_id("mem_", F.lit("episode"), F.col("path"), F.concat_ws("#", "title", "section"), hashed))("memory_id"),
         F.lit("episode").alias("memory_type"), F.lit(1).alias("schema_version"),
-        X.first_date(F.col("title"), F.col("text"), F.lit(now)).alias("timestamp"),
-        X.importance(F.col("text")).alias("importance"), F.lit(0.8).alias("confidence"), F.lit("active").alias("status"),
-        F.lit("human_confirmed").alias("source_kind"), F.lit("global").alias("scope"), F.lit(None).cast("string").alias("project"), F.lit(None).cast("string").alias("channel"),
+        said("timestamp", X.first_date(F.col("title"), F.col("text"), F.lit(now)))("timestamp"),
+        said("importance", X.importance(F.col("text")))("importance"), said("confidence", F.lit(0.8))("confidence"), said("status", F.lit("active"))("status"),
+        F.lit("human_confirmed").alias("source_kind"), said("scope", F.lit("global"))("scope"), F.col("hint.project").alias("project"), F.col("hint.channel").alias("channel"),
         hashed.alias("hash"), F.to_json(F.struct("title", X.summary(F.col("text")).alias("summary"), "path", "line_start", "line_end")).alias("json"),
         F.lit(now).cast("timestamp").alias("created_at"), F.lit(now).cast("timestamp").alias("updated_at"), "path", "line_start", "text",
     )
@@ -28,7 +51,7 @@ def extract_memories(files: DataFrame, now: str) -> DataFrame:
 
 def chunk_memories(memories: DataFrame, model_id: str, now: str, target: int = 900, overlap: int = 150) -> DataFrame:
     """Chunks of records with absolute lines and soft overlap."""
-    packed = segment.pack_paragraphs(memories, "memory_id", "text", target)
+    packed = segment.pack_paragraphs(memories, "memory_id", "text", target, split_lists=True)
     gathered = packed.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "line_start", "line_end", "text"))).alias("cs"))
     spread = gathered.withColumn("ts", segment.with_overlap(F.transform("cs", lambda c: c["text"]), overlap)).select("memory_id", F.posexplode(F.arrays_zip("cs", "ts")).alias("i", "z"))
     full = spread.join(memories.select("memory_id", "path", F.col("line_start").alias("base")), "memory_id")

@@ -140,6 +140,16 @@ def o71(spark, folder):
     return _judged(spark, folder).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("reason").isNull()).alias("kept"), F.count("semantic_rank").alias("semantic_hits"), F.count("lexical_rank").alias("lexical_hits"))
 
 
+@query("o67_best_of_memory", f"WITH {_TOP} SELECT query_id, memory_id, chunk_id FROM best")
+def o67(spark, folder):
+    return retrieval.best_of_memory(_judged(spark, folder).where("reason is null")).select("query_id", "memory_id", "chunk_id")
+
+
+@query("o68_top_k", f"WITH {_TOP} SELECT query_id, position, chunk_id FROM top")
+def o68(spark, folder):
+    return results(spark, folder).select("query_id", "position", "chunk_id")
+
+
 _TOKEN = f"list_filter(string_split_regex(lower(query), {_SPLIT}), lambda t: length(t) >= 2 AND contains(lower(text), t))[1]"
 _AGE = f"(epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(moment)) / 86400000000.0"
 
@@ -196,6 +206,12 @@ def _trust(spark, folder):
     return evaluate.trust(cases, table(spark, folder, "phase1_labels"))
 
 
+@query("o34_case_labels", f"SELECT p.id AS case_id, l.verdict FROM phase1_bench p LEFT JOIN {_LABELS} l ON l.case_id = p.id")
+def o34(spark, folder):
+    cases = table(spark, folder, "phase1_bench").select(F.col("id").alias("case_id"))
+    return cases.join(evaluate.latest_labels(table(spark, folder, "phase1_labels")), "case_id", "left")
+
+
 @query("o100_trust", _TRUST)
 def o100(spark, folder):
     return _trust(spark, folder)

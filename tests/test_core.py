@@ -148,3 +148,25 @@ def test_stream_sees_edits_in_place(spark, tree, tmp_path):
         assert s.read("chunks").where("text like '%new words%'").count() == 1
     finally:
         query.stop()
+
+
+def test_long_lists_are_cut_at_items(spark):
+    text = "\n".join(f"- item {i} " + "x" * 30 for i in range(6)) + "\n\nshort"
+    df = spark.createDataFrame([("a", text)], "id string, text string")
+    got = segment.pack_paragraphs(df, "id", "text", 100, split_lists=True).orderBy("chunk").collect()
+    assert [(r["line_start"], r["line_end"], r["n_chars"]) for r in got] == [(1, 2, 79), (3, 4, 79), (5, 6, 79), (8, 8, 5)]
+    assert segment.pack_paragraphs(df, "id", "text", 100).count() == 2
+
+
+def test_hints(spark):
+    from lodestone.plans.ingest import extract_memories, hint_of
+
+    fenced = lambda body: f"## T\n```memory\n{body}\n```\ntext"
+    good = one(spark, hint_of, fenced('{"importance": 0.9, "status": "archived", "unknown": 1}'))
+    assert good["importance"] == 0.9 and good["status"] == "archived" and good["project"] is None
+    for bad in ('{"importance": "high"}', '{"importance": 2}', '{"status": 1, "project": "p"}', "{broken", "[1]"):
+        assert one(spark, hint_of, fenced(bad)) is None, bad
+    assert one(spark, hint_of, "no block") is None
+    files = spark.createDataFrame([("a.md", fenced('{"memoryId": "mem_x", "project": "p"}'))], "path string, text string")
+    row = extract_memories(files, "2026-01-01 00:00:00").first()
+    assert row["memory_id"] == "mem_x" and row["project"] == "p" and row["status"] == "active"
