@@ -173,8 +173,7 @@ def canonical_entity(kind: str, entity: str) -> str:
             entity = f"{m[2]} {m[1]}"
         return re.sub(rf" [{_UP}]\.", "", entity).casefold()
     if kind == "email":
-        entity = re.sub(r" ?[(\[] ?(?:at|arroba|arobase) ?[)\]] ?", "@", entity, flags=re.IGNORECASE)
-        return re.sub(r" ?[(\[] ?(?:dot|punto|point|punkt) ?[)\]] ?", ".", entity, flags=re.IGNORECASE).casefold()
+        return _DOT.sub(".", _AT.sub("@", entity)).casefold()
     if kind in ("phone", "id_number"):
         return re.sub(r"[^0-9A-Za-z+]", "", entity).upper()
     return " ".join(entity.split()).casefold()
@@ -195,22 +194,37 @@ class _Stream:
 
 _SYLLABLES = "bar bel bor dan del dor fal fen gar hal har kel lan lor mar mel nor pel ran rin sel sor tal ten var vel wan wen".split()
 _HAN_GIVEN = "安宁景明思远嘉和书雅文清子涵一诺若溪云舒"
+#: Words of addresses that say what kind of place it is, or join others.
+_KEPT_WORDS = frozenset(
+    "street avenue road lane boulevard court terrace drive place square crescent close way hill row blvd ave apt flat unit suite apartment floor "
+    "strasse str weg allee platz ufer damm ring der rue chemin quai allée impasse sentier cours bis ter quater des aux sur sous les "
+    "calle avda avenida plaza paseo camino ronda travesía del las los".split()
+)
+_STREET = re.compile(r"[^\W\d_]+?(gasse|strasse|str|weg|allee|platz|ufer|damm|ring)")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_AT, _DOT = re.compile(r" ?[(\[] ?(?:at|arroba|arobase) ?[)\]] ?", re.IGNORECASE), re.compile(r" ?[(\[] ?(?:dot|punto|point|punkt) ?[)\]] ?", re.IGNORECASE)
 
 
 def surrogate(kind: str, canonical: str, secret: str, attempt: int = 0) -> str:
     """A replacement of the same kind, made from the key and the entity alone.
 
-    Names keep gender and script, numbers their length and letters, addresses their
-    street type; domains are reserved ones.  ``attempt`` gives another one.
+    Names keep gender and script, and one family name has one replacement, alone or
+    behind a given name; numbers keep their length and letters, addresses their kind
+    of street, layout and script; domains are reserved ones.  ``attempt`` gives another one.
     """
     s = _Stream(secret, kind, canonical, str(attempt))
-    word = lambda n: "".join(_SYLLABLES[s.below(len(_SYLLABLES))] for _ in range(n))
+    word = lambda n, s=s: "".join(_SYLLABLES[s.below(len(_SYLLABLES))] for _ in range(n))
+    han = lambda n: "".join(_HAN_GIVEN[s.below(len(_HAN_GIVEN))] for _ in range(n))
+    is_han = not canonical.isascii() and re.search(r"[一-鿿]", canonical) is not None
     if kind == "name":
-        if not canonical.isascii() and re.search(r"[一-鿿]", canonical):
-            return "某" + "".join(_HAN_GIVEN[s.below(len(_HAN_GIVEN))] for _ in range(2))
-        first = canonical.split()[0].split("-")[0]
-        pool = GIVEN[_GENDER.get(first.capitalize(), "f" if s.below(2) else "m")].split()
-        return f"{pool[s.below(len(pool))]} {word(3).capitalize()}"
+        if is_han:
+            return "某" + han(2)
+        given, _, family = canonical.rpartition(" ")
+        own = _Stream(secret, "family", family, "0" if given else str(attempt))
+        if not given:
+            return word(3, own).capitalize()
+        pool = GIVEN[_GENDER.get(given.split()[0].split("-")[0].capitalize(), "f" if s.below(2) else "m")].split()
+        return f"{pool[s.below(len(pool))]} {word(3, own).capitalize()}"
     if kind == "email":
         return f"{word(3)}{s.below(1000)}@example.org"
     change = lambda m: str(s.below(10)) if m[0].isdigit() else "ABCDEFGHJKLMNPQRSTUVWXYZ"[s.below(24)]
@@ -219,7 +233,34 @@ def surrogate(kind: str, canonical: str, secret: str, attempt: int = 0) -> str:
         return canonical[:keep] + re.sub(r"\d", change, canonical[keep:])
     if kind == "id_number":
         return re.sub(r"[0-9A-Z]", change, canonical)
-    return f"{1 + s.below(999)} {word(3).capitalize()} Street"
+    if is_han:
+        return f"{han(2)}市{han(2)}区{han(2)}路{1 + s.below(999)}号"
+
+    def place(m: re.Match) -> str:
+        if len(m[0]) < 3 or m[0] in _KEPT_WORDS:
+            return m[0]
+        return word(2).capitalize() + street[1] if (street := _STREET.fullmatch(m[0])) else word(3).capitalize()
+
+    return re.sub(r"\d", lambda m: str(1 + s.below(9)), _LETTERS.sub(place, canonical))
+
+
+def as_mentioned(kind: str, entity: str, by: str) -> str:
+    """A surrogate in the layout of one mention: its separators, spelt-out signs and capitals.
+
+    Names read the same in all mentions, so that a reader sees who is the same.
+    """
+    if kind in ("phone", "id_number"):
+        left = iter(by)
+        shown = [(n.lower() if c.islower() else n) if re.match(r"[0-9A-Za-z+]", c) and (n := next(left, None)) else c for c in entity]
+        return "".join(shown) + "".join(left)
+    if kind == "email":
+        at, dot = _AT.search(entity), _DOT.search(entity)
+        by = by.replace(".", dot[0]) if dot else by
+        return by.replace("@", at[0]) if at else by
+    if kind == "address":
+        words = iter(_LETTERS.findall(entity))
+        return _LETTERS.sub(lambda m: w if (w := next(words, "")).casefold() == m[0] else m[0], by)
+    return by
 
 
 def _surrogate_column(secret: str):
@@ -230,6 +271,11 @@ def _surrogate_column(secret: str):
     return column
 
 
+@F.pandas_udf(T.StringType())
+def _as_mentioned_column(kinds: pd.Series, entities: pd.Series, surrogates: pd.Series) -> pd.Series:
+    return pd.Series([as_mentioned(k, e, b) for k, e, b in zip(kinds, entities, surrogates, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def _canonical_column(kinds: pd.Series, entities: pd.Series) -> pd.Series:
     return pd.Series([canonical_entity(k, e) for k, e in zip(kinds, entities, strict=True)], dtype=object)
@@ -278,7 +324,8 @@ def redact(rows: DataFrame, secret: str, key: str = "chunk_id", text: str = "tex
         edits = spans.withColumn("by", F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
     else:
         spans = spans.withColumn("canonical", _canonical_column("kind", "entity"))
-        edits = spans.join(assign_surrogates(spans, secret).withColumnRenamed("surrogate", "by"), ["kind", "canonical"])
+        given = spans.join(assign_surrogates(spans, secret), ["kind", "canonical"])
+        edits = given.withColumn("by", _as_mentioned_column("kind", "entity", "surrogate"))
     done = edits.groupBy("_text").agg(F.collect_list(F.struct("char_start", "char_end", "by")).alias("_edits")).select("_text", _replace("_text", "_edits").alias("_new"))
     joined = base.join(done, F.when(F.size("_spans") > 0, F.col(f"`{text}`")) == F.col("_text"), "left")
     return joined.select(*kept, F.coalesce("_new", F.col(f"`{text}`")).alias("redacted"))

@@ -82,6 +82,27 @@ def test_surrogates_are_distinct(spark):
     assert len(out) == 500 and len({(r["kind"], r["surrogate"]) for r in out}) == 500
 
 
+def test_surrogates_keep_layout_and_family():
+    def new(kind, entity):
+        return pii.as_mentioned(kind, entity, pii.surrogate(kind, pii.canonical_entity(kind, entity), "key"))
+
+    def shape(s):
+        return re.sub(r"[A-Za-z]", "x", re.sub(r"\d", "9", s))
+
+    for kind, entity in (("phone", "+49 (30) 123-4567"), ("phone", "06 12 34 56 78"), ("id_number", "12345678-z"), ("id_number", "AB 12 34 56 C")):
+        assert shape(new(kind, entity)) == shape(entity) and new(kind, entity) != entity
+    spelt, plain = new("email", "jo.doe (at) mail (dot) org"), new("email", "Jo.Doe@mail.org")
+    assert spelt == plain.replace("@", " (at) ").replace(".", " (dot) ")
+    full, turned, alone, other = (new("name", n) for n in ("Anna Müller", "MÜLLER, Anna", "Müller", "Karl Müller"))
+    given, family = full.split()
+    assert turned == full and alone == family and other.split()[1] == family
+    assert given in pii.GIVEN["f"].split() and other.split()[0] in pii.GIVEN["m"].split()
+    assert re.fullmatch(r"\d{2} \w+ \w+ Road, Apt \d, \w+, IL \d{5}", new("address", "12 Elm Tree Road, Apt 4, Springfield, IL 62704"))
+    assert re.fullmatch(r"\w+strasse \d\da, \d{5} \w+", new("address", "Lindenstraße 12a, 10115 Berlin"))
+    assert re.fullmatch(r"\d\d bis, rue des \w+, \d{5} \w+", new("address", "12 bis, rue des Lilas, 75011 Paris"))
+    assert re.fullmatch("[一-鿿]+市[一-鿿]+区[一-鿿]+路\\d+号", new("address", "浙江省杭州市西湖区文三路12号"))
+
+
 def test_mix_meets_shares(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["token"] * rng.randrange(5, 60)), ["Big", "big ", "small", "mid-size", None, "other"][min(5, i % 17 // 3)]) for i in range(1500)] + [(9001, None, "small"), (9002, "", "small"), (None, "x", "big")]
