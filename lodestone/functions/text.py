@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space as the index understands it: ASCII and the Unicode spaces.
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: What a text that isn't blank holds.
+NOT_BLANK = SPACE.replace("[", "[^", 1)
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 _WORD = r"[0-9A-Za-z_]"
 
@@ -50,7 +52,7 @@ def hashed_id(prefix: str, *parts: Column) -> Column:
 
 def summary(text: Column, size: int = 200) -> Column:
     """The first line that is neither blank nor a heading, without its list marker."""
-    lines = F.filter(F.split(text, r"\r?\n", -1), lambda x: ~x.rlike(HEADING) & (F.length(trim_space(x)) > 0))
+    lines = F.filter(F.split(text, r"\r?\n", -1), lambda x: ~x.rlike(HEADING) & x.rlike(NOT_BLANK))
     line = F.regexp_replace(F.regexp_replace(trim_space(F.try_element_at(lines, F.lit(1))), r"^[-*+]\s+", ""), r"^\d+\.\s+", "")
     return F.coalesce(F.left(line, F.lit(size)), F.lit("(empty section)"))
 

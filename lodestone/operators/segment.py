@@ -9,25 +9,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import HEADING, trim_space
+from lodestone.functions.text import HEADING, NOT_BLANK, trim_space
 
 
 def _numbered(lines: Column) -> Column:
     return F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it, also in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _each(rows: DataFrame, key: str, text: str, array: Column, number: str, item: str) -> DataFrame:
+    """``key, number, item``: the items of ``array`` for each row.
+
+    The outer form of the generator, with its filter behind it: in front of the other
+    Spark infers filters on the array, which would compute it three times.
+    """
+    each = rows.where(F.col(text).isNotNull()).select(key, F.posexplode_outer(array).alias(number, item))
+    return each.where(F.col(number).isNotNull())
+
+
 def _islands(lines: Column, starts) -> Column:
-    """Groups of numbered lines; ``starts(line, n)`` says where a new group begins."""
-    empty = F.array().cast("array<struct<start:int,end:int,text:string,head:string>>")
+    """Runs of lines, numbered from 1: ``array<struct<start, end, text, head>>``; ``starts(line)`` says where one begins.
 
-    def step(groups: Column, x: Column) -> Column:
-        last = F.try_element_at(groups, F.lit(-1))
-        fresh = F.struct(x["n"].cast("int").alias("start"), x["n"].cast("int").alias("end"), x["line"].alias("text"), x["line"].alias("head"))
-        grown = F.struct(last["start"].alias("start"), x["n"].cast("int").alias("end"), F.concat(last["text"], F.lit("\n"), x["line"]).alias("text"), last["head"].alias("head"))
-        begins = (F.size(groups) == 0) | starts(x["line"], x["n"])
-        return F.when(begins, F.concat(groups, F.array(fresh))).otherwise(F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(grown)))
+    Only where runs begin is searched for; a run is a slice, so a text of any length is read once.
+    """
 
-    return F.aggregate(_numbered(lines), empty, step)
+    def runs(ls: Column, at: Column) -> Column:
+        def run(first: Column, k: Column) -> Column:
+            last = F.coalesce(F.get(at, k + 1) - 1, F.size(ls))
+            return F.struct(first.alias("start"), last.alias("end"), F.array_join(F.slice(ls, first, last - first + 1), "\n").alias("text"), F.element_at(ls, first).alias("head"))
+
+        return F.transform(at, run)
+
+    begins = lambda ls: F.array_compact(F.transform(ls, lambda x, i: F.when((i == 0) | starts(x), i + 1)))
+    return _let(lines, lambda ls: _let(begins(ls), lambda at: runs(ls, at)))
 
 
 def lines(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -48,9 +66,9 @@ def sections(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     line 1, else ``(top)``.  Blank sections are left out; ``section`` counts those kept.
     """
     level_2 = r"^##\s+(.+?)\s*#*\s*$"
-    groups = _islands(F.split(text, r"\r?\n", -1), lambda line, n: line.rlike(level_2))
-    kept = F.filter(groups, lambda g: F.length(trim_space(g["text"])) > 0)
-    each = rows.where(F.col(text).isNotNull()).select(key, F.posexplode(kept).alias("section", "g"))
+    groups = _islands(F.split(text, r"\r?\n", -1), lambda line: line.rlike(level_2))
+    kept = F.filter(groups, lambda g: g["text"].rlike(NOT_BLANK))
+    each = _each(rows, key, text, kept, "section", "g")
     level_1 = r"^#\s+(.+?)\s*#*\s*$"
     head, first = F.col("g.head"), F.col("g.start") == 1
     title = F.when(head.rlike(level_2), F.regexp_extract(head, level_2, 1)).when(first & head.rlike(level_1), F.regexp_extract(head, level_1, 1)).otherwise("(top)")
@@ -59,25 +77,25 @@ def sections(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def _paragraph_array(text: Column) -> Column:
     """Runs of non-blank lines: ``array<struct<start, end, text>>``."""
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    zero = F.struct(empty.alias("done"), F.lit(False).alias("open"))
 
-    def step(acc: Column, x: Column) -> Column:
-        done = acc["done"]
-        blank = F.length(trim_space(x["line"])) == 0
-        n = x["n"].cast("int")
-        last = F.try_element_at(done, F.lit(-1))
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), n.alias("end"), F.concat(last["text"], F.lit("\n"), x["line"]).alias("text"))))
-        fresh = F.concat(done, F.array(F.struct(n.alias("start"), n.alias("end"), x["line"].alias("text"))))
-        return F.struct(F.when(blank, done).when(acc["open"], grown).otherwise(fresh).alias("done"), (~blank).alias("open"))
+    def edges(filled: Column, side: int) -> Column:
+        """Numbers of the filled lines without a filled neighbour on one side."""
+        return F.array_compact(F.transform(filled, lambda on, i: F.when(on & ~F.coalesce(F.get(filled, i + side), F.lit(False)), i + 1)))
+
+    def runs(ls: Column, begins: Column, ends: Column) -> Column:
+        def run(first: Column, k: Column) -> Column:
+            last = F.get(ends, k)
+            return F.struct(first.alias("start"), last.alias("end"), trim_space(F.array_join(F.slice(ls, first, last - first + 1), "\n")).alias("text"))
+
+        return F.transform(begins, run)
 
-    parts = F.aggregate(_numbered(F.split(text, r"\r?\n", -1)), zero, step, lambda acc: acc["done"])
-    return F.transform(parts, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), trim_space(p["text"]).alias("text")))
+    filled = lambda ls: F.transform(ls, lambda x: x.rlike(NOT_BLANK))
+    return _let(F.split(text, r"\r?\n", -1), lambda ls: _let(filled(ls), lambda on: _let(edges(on, -1), lambda begins: _let(edges(on, 1), lambda ends: runs(ls, begins, ends)))))
 
 
 def paragraphs(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, paragraph, line_start, line_end, text``; ``paragraph`` counts from 0."""
-    each = rows.where(F.col(text).isNotNull()).select(key, F.posexplode(_paragraph_array(F.col(text))).alias("paragraph", "p"))
+    each = _each(rows, key, text, _paragraph_array(F.col(text)), "paragraph", "p")
     return each.select(key, "paragraph", F.col("p.start").alias("line_start"), F.col("p.end").alias("line_end"), F.col("p.text").alias("text"))
 
 
@@ -92,7 +110,7 @@ def heading_paths(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
         path = F.array_join(F.transform(stack, lambda s: s["title"]), " > ")
         return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(F.struct(h["n"].alias("n"), h["level"].alias("level"), path.alias("path")))).alias("out"))
 
-    each = rows.where(F.col(text).isNotNull()).select(key, F.explode(F.aggregate(shaped, zero, step, lambda acc: acc["out"])).alias("h"))
+    each = _each(rows, key, text, F.aggregate(shaped, zero, step, lambda acc: acc["out"]), "_i", "h")
     return each.select(key, "h.n", "h.level", "h.path")
 
 
@@ -102,7 +120,7 @@ def _split_lists(parts: Column, target: int) -> Column:
     empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
 
     def items(p: Column) -> Column:
-        groups = _islands(F.split(p["text"], "\n", -1), lambda line, n: line.rlike(item))
+        groups = _islands(F.split(p["text"], "\n", -1), lambda line: line.rlike(item))
 
         def step(done: Column, g: Column) -> Column:
             last = F.try_element_at(done, F.lit(-1))
@@ -138,7 +156,7 @@ def pack_paragraphs(rows: DataFrame, key: str, text: str = "text", target: int =
         return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
 
     packed = F.aggregate(parts, empty, step)
-    each = rows.where(F.col(text).isNotNull()).select(key, F.posexplode(packed).alias("chunk", "c"))
+    each = _each(rows, key, text, packed, "chunk", "c")
     return each.select(key, "chunk", F.col("c.start").alias("line_start"), F.col("c.end").alias("line_end"), F.length("c.text").alias("n_chars"), F.col("c.text").alias("text"))
 
 
