@@ -62,3 +62,17 @@ def gates(overall: DataFrame, trusted: DataFrame, hit_rate: float = 0.85, citati
         )
     )
     return one.select((F.size(failures) == 0).alias("passed"), F.array_join(failures, "|").alias("failures"))
+
+
+def stale_ranges(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """``chunks, file_missing, range_beyond, stale_share`` (one row) of chunks that name lines.
+
+    ``files`` has ``path, text``; a range is stale if its file is gone or has fewer
+    lines than ``line_end``.  Chunks without ``line_end`` are stale only where the
+    file is gone.  All chunks count, none is sampled; without chunks the share is null.
+    """
+    sizes = files.groupBy("path").agg(F.max(F.size(F.split(F.coalesce("text", F.lit("")), r"\r?\n", -1))).alias("n_lines"))
+    each = chunks.select("source_path", "line_end").join(sizes, F.col("source_path") == F.col("path"), "left")
+    gone, beyond = F.col("n_lines").isNull(), F.coalesce(F.col("line_end") > F.col("n_lines"), F.lit(False))
+    counts = each.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(gone).alias("file_missing"), F.count_if(beyond).alias("range_beyond"))
+    return counts.withColumn("stale_share", F.try_divide(F.col("file_missing") + F.col("range_beyond"), F.col("chunks")))

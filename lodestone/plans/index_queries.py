@@ -158,6 +158,18 @@ def o46(spark, folder):
     return segment.pack_paragraphs(table(spark, folder, "documents"), "doc_id").drop("text")
 
 
+@query("o48_overlap", ORACLES["o46_packed"].rpartition("SELECT doc_id, chunk::INT")[0].rstrip() + """,
+c AS (SELECT doc_id, chunk, string_agg(text, chr(10) || chr(10) ORDER BY paragraph) AS text FROM r GROUP BY doc_id, chunk),
+o AS (SELECT doc_id, chunk, text FROM c WHERE chunk = 0
+ UNION ALL SELECT c.doc_id, c.chunk, """ + _TRIM("right(o.text, 150)") + """ || chr(10) || chr(10) || c.text FROM o JOIN c ON c.doc_id = o.doc_id AND c.chunk = o.chunk + 1)
+SELECT doc_id, chunk::INT AS chunk, length(text)::INT AS n_chars, sha256(text) AS digest FROM o""")
+def o48(spark, folder):
+    packed = segment.pack_paragraphs(table(spark, folder, "documents"), "doc_id")
+    gathered = packed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("cs"))
+    each = gathered.select("doc_id", F.posexplode(segment.with_overlap(F.transform("cs", lambda c: c["text"]))).alias("chunk", "text"))
+    return each.select("doc_id", "chunk", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("digest"))
+
+
 _OWN = f"SELECT doc_id, n, length(regexp_extract(line, '{_HEAD}', 1)) AS level, regexp_extract(line, '{_HEAD}', 2) AS title FROM ({_LINES}) WHERE regexp_matches(line, '{_HEAD}')"
 
 

@@ -135,6 +135,32 @@ def o80(spark, folder):
     return _judged(spark, folder).select("query_id", "chunk_id", F.coalesce("reason", F.lit("kept")).alias("outcome"))
 
 
+_SCOPED = retrieval.Policy(("active", "archived"), ("episode", "decision", "fact"), ("human_confirmed", "compiled", "assistant_inferred"), "amber-relay", "ops-berlin")
+_AGED = retrieval.Policy(("active", "archived", "superseded"), max_age_days=180, min_score=0.5)
+
+
+@query(
+    "o81_policies",
+    f"""SELECT c.chunk_id, CASE WHEN m.status IS NULL THEN 'missing_memory_row' WHEN m.status NOT IN ('active', 'archived') THEN 'status:' || m.status
+  WHEN m.memory_type NOT IN ('episode', 'decision', 'fact') THEN 'type:' || m.memory_type
+  WHEN m.source_kind NOT IN ('human_confirmed', 'compiled', 'assistant_inferred') THEN 'sourceKind:' || m.source_kind
+  WHEN m.project IS DISTINCT FROM 'amber-relay' THEN 'project:' || coalesce(m.project, 'none')
+  WHEN m.channel IS DISTINCT FROM 'ops-berlin' THEN 'channel:' || coalesce(m.channel, 'none')
+  WHEN m.source_kind = 'assistant_inferred' AND m.confidence < 0.4 THEN 'low_confidence_inferred' ELSE 'kept' END AS scoped,
+ CASE WHEN m.status IS NULL THEN 'missing_memory_row' WHEN m.status NOT IN ('active', 'archived', 'superseded') THEN 'status:' || m.status
+  WHEN m.source_kind = 'assistant_inferred' AND m.confidence < 0.4 THEN 'low_confidence_inferred' WHEN m.created_at IS NULL THEN 'bad_timestamp'
+  WHEN epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(m.created_at) > 180 * 86400000000 THEN 'older_than_180d'
+  WHEN m.importance < 0.5 THEN 'below_min_score' ELSE 'kept' END AS aged
+FROM chunks c LEFT JOIN memories m ON m.memory_id = c.memory_id""",
+)
+def o81(spark, folder):
+    """Every chunk under a policy of scopes and under one of age and score (its importance stands for the score)."""
+    chunks = table(spark, folder, "chunks").select("chunk_id", "memory_id", F.lit(True).alias("chunk_found"))
+    memories = table(spark, folder, "memories").select("memory_id", "memory_type", "status", "source_kind", "project", "channel", "confidence", F.col("importance").alias("score"), F.col("created_at").alias("moment"))
+    outcome = lambda policy: F.coalesce(F.regexp_replace(retrieval.reject_reason(policy, _now()), "^(below_min_score):.*", "$1"), F.lit("kept"))
+    return chunks.join(memories, "memory_id", "left").select("chunk_id", outcome(_SCOPED).alias("scoped"), outcome(_AGED).alias("aged"))
+
+
 @query("o71_debug", f"WITH {_JUDGED} SELECT query_id, count(*) AS hits, count(*) FILTER (reason IS NULL) AS kept, count(semantic_rank) AS semantic_hits, count(lexical_rank) AS lexical_hits FROM judged GROUP BY query_id")
 def o71(spark, folder):
     return _judged(spark, folder).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("reason").isNull()).alias("kept"), F.count("semantic_rank").alias("semantic_hits"), F.count("lexical_rank").alias("lexical_hits"))

@@ -170,3 +170,11 @@ def test_hints(spark):
     files = spark.createDataFrame([("a.md", fenced('{"memoryId": "mem_x", "project": "p"}'))], "path string, text string")
     row = extract_memories(files, "2026-01-01 00:00:00").first()
     assert row["memory_id"] == "mem_x" and row["project"] == "p" and row["status"] == "active"
+
+
+def test_stale_ranges(spark):
+    files = spark.createDataFrame([("a.md", "1\n2\r\n3"), ("b.md", None), ("c.md", "")], "path string, text string")
+    rows = [("a.md", 3), ("a.md", 4), ("a.md", None), ("b.md", 1), ("c.md", 2), ("gone.md", 1), (None, 1)]
+    chunks = spark.createDataFrame(rows, "source_path string, line_end int").withColumn("n_lines_old", F.lit(0))
+    assert tuple(evaluate.stale_ranges(chunks, files).first()) == (7, 2, 2, 4 / 7)
+    assert tuple(evaluate.stale_ranges(chunks.where("false"), files).first()) == (0, 0, 0, None)
