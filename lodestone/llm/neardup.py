@@ -1,6 +1,6 @@
 """Near-duplicate texts: an inverted index over positional digests with count filtering.
 
-Every distinct text gets a digest: for each of ``2 x 128`` positions the least hash
+Every distinct text gets a digest: for each of ``3 x 128`` positions the least hash
 of its shingles that falls there (one-permutation hashing).  Two texts agree at a
 position with a probability equal to their similarity.
 
@@ -9,17 +9,20 @@ all texts under each of its values, since texts of one language share much, and
 pairs under it would grow with the square of the corpus.  So a key is made from
 ``rows`` positions at once, and each text is listed under ``bands`` such keys.
 
-*Count filter.*  With each listing goes a summary of 32 positions, half a byte
-each.  Where two texts meet, the positions at which their half bytes agree are
-tallied, and the pair is kept if the tally reaches the minimum that a pair at the
-threshold has (but for about one in a thousand).
+*Count filter.*  With each listing goes a summary of 256 positions, one bit each.
+Where two texts meet, the positions at which their bits agree are tallied, and the
+pair is kept if the tally reaches ``least_agreeing``.
 
 *Verification.*  What is left is compared exactly, shingle by shingle.
+
+Pairs that are found are therefore right, but not every pair is sure to be found;
+``expected_recall`` is the share, for independent positions, by similarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,12 @@ from pyspark.sql import types as T
 from lodestone.session import cut
 
 _BINS = 128
-_NIBBLES = 32
+_HALVES = 3
+_POSITIONS = _HALVES * _BINS
+_BITS = 256
+_WORDS = _BITS // 64
+#: Bits of a listing's key.  Keys that meet by chance cost a comparison of two summaries, never a pair: listings stay narrow and nothing is lost.
+_KEY_BITS = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,7 +49,7 @@ def _alphanumeric() -> np.ndarray:
 
 _ALNUM = _alphanumeric()
 #: Characters that one round of array work handles, so that a batch of long texts stays small.
-_ROUND = 2_000_000
+_ROUND = 800_000
 
 
 def _rounds(texts: list[str]) -> Iterator[list[str]]:
@@ -114,7 +122,7 @@ _DONORS = _donors()
 
 
 def digests(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(n, 256)`` digests and a mask of the texts that have shingles at all.
+    """``(n, 384)`` digests and a mask of the texts that have shingles at all.
 
     A position that no shingle of a text falls on borrows from others, in an order
     that is the same for all texts, so that it still agrees as often as the texts do.
@@ -122,12 +130,12 @@ def digests(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     values, owner = shingle_hashes(texts, size)
     some = np.zeros(len(texts), dtype=bool)
     some[owner] = True
-    out = np.zeros((len(texts), 2 * _BINS), dtype=np.uint64)
+    out = np.zeros((len(texts), _POSITIONS), dtype=np.uint64)
     if not some.any():
         return out, some
     nothing = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for half in range(2):
-        v = values if half == 0 else _mix(values + _MIX)
+    for half in range(_HALVES):
+        v = values if half == 0 else _mix(values + np.uint64(half * int(_MIX) % 2**64))
         least = np.full(len(texts) * _BINS, nothing, dtype=np.uint64)
         np.minimum.at(least, owner * _BINS + (v >> np.uint64(57)).astype(np.int64), v)
         least = least.reshape(len(texts), _BINS)
@@ -151,19 +159,23 @@ def _band_keys(digest: np.ndarray, rows: int, bands: int) -> np.ndarray:
         for i in range(rows):
             h = _mix(h * _MIX + digest[:, band * rows + i])
         keys[:, band] = h
-    return keys.view(np.int64)
+    return (keys >> np.uint64(64 - _KEY_BITS)).view(np.int64)
 
 
 def _summary(digest: np.ndarray) -> np.ndarray:
-    """Two 64-bit words that hold half a byte of each of 32 positions, spread over the digest."""
-    picked = _mix(digest[:, :: 2 * _BINS // _NIBBLES] + np.uint64(1)) & np.uint64(15)
-    words = np.zeros((len(digest), 2), dtype=np.uint64)
-    for i in range(_NIBBLES):
-        words[:, i // 16] |= picked[:, i] << np.uint64(4 * (i % 16))
-    return words.view(np.int64)
+    """64-bit words that hold one bit of each of the first 256 positions."""
+    picked = _mix(digest[:, :_BITS] + np.uint64(1)) & np.uint64(1)
+    return np.packbits(picked.astype(np.uint8), axis=1).view(np.int64)
+
+
+def expected_recall(similarity: float, rows: int = 5, bands: int = 76, least_agreeing: int = 184) -> float:
+    """The share of pairs of a similarity that are found if positions are independent: listed together, and enough bits agree."""
+    agree = similarity + (1 - similarity) / 2
+    enough = sum(comb(_BITS, n) * agree**n * (1 - agree) ** (_BITS - n) for n in range(least_agreeing, _BITS + 1))
+    return (1 - (1 - similarity**rows) ** bands) * enough
 
 
-_DIGEST = T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType())])
+_DIGEST = T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), *[T.StructField(f"s{i}", T.LongType()) for i in range(_WORDS)]])
 
 
 def _digest_column(size: int, rows: int, bands: int):
@@ -176,8 +188,8 @@ def _digest_column(size: int, rows: int, bands: int):
                 own = _band_keys(digest, rows, bands)
                 keys += [k if ok else k[:0] for k, ok in zip(own, some, strict=True)]
                 words.append(_summary(digest))
-            both = np.concatenate(words) if words else np.empty((0, 2), dtype=np.int64)
-            yield pd.DataFrame({"keys": pd.Series(keys, dtype=object), "s0": both[:, 0], "s1": both[:, 1]})
+            both = np.concatenate(words) if words else np.empty((0, _WORDS), dtype=np.int64)
+            yield pd.DataFrame({"keys": pd.Series(keys, dtype=object)} | {f"s{i}": both[:, i] for i in range(_WORDS)})
 
     return column
 
@@ -188,11 +200,9 @@ def _normalised_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(normalise_all(list(texts)), dtype=object)
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """How many of the 16 half bytes of two words agree."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-    return F.lit(16) - F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+def _agreeing() -> Column:
+    """How many bits of two summaries agree."""
+    return F.lit(_BITS) - sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(1, _WORDS)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
 
 
 def _similarity(a: str, b: str, size: int) -> float:
@@ -236,18 +246,20 @@ def text_classes(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return norm.where(F.length("norm") >= size).select("key", F.xxhash64("norm").alias("class_id"), "norm")
 
 
-def similar_classes(classes: DataFrame, size: int = 5, threshold: float = 0.6, rows: int = 5, bands: int = 44, least_agreeing: int = 14) -> DataFrame:
-    """``class_a < class_b`` for all pairs of different texts with similarity of at least ``threshold``.
+def similar_classes(classes: DataFrame, size: int = 5, threshold: float = 0.6, rows: int = 5, bands: int = 76, least_agreeing: int = 184) -> DataFrame:
+    """``class_a < class_b`` for pairs of different texts with similarity of at least ``threshold``, with ``expected_recall``.
 
     ``classes`` has one row for each class: ``class_id, norm``.  A hot key (texts
     that all agree at its positions) is a large partition of the join, which
     adaptive execution splits; nothing is gathered or cut off.
     """
     listed = classes.select("class_id", _digest_column(size, rows, bands)(F.col("norm")).alias("d"))
-    index = listed.select("class_id", "d.s0", "d.s1", F.explode("d.keys").alias("k"))
-    other = index.select(F.col("class_id").alias("class_b"), F.col("s0").alias("t0"), F.col("s1").alias("t1"), "k")
+    words = range(_WORDS)
+    # The key stands last: what its text's listings in a partition have in common is then one run, which compresses.
+    index = listed.select("class_id", *[f"d.s{i}" for i in words], F.explode("d.keys").alias("k"))
+    other = index.select(F.col("class_id").alias("class_b"), *[F.col(f"s{i}").alias(f"t{i}") for i in words], "k")
     met = index.withColumnRenamed("class_id", "class_a").join(other, "k")
-    kept = met.where((F.col("class_a") < F.col("class_b")) & (_agreeing("s0", "t0") + _agreeing("s1", "t1") >= least_agreeing))
+    kept = met.where((F.col("class_a") < F.col("class_b")) & (_agreeing() >= least_agreeing))
     candidates = kept.select("class_a", "class_b").distinct()
     a = classes.select(F.col("class_id").alias("class_a"), F.col("norm").alias("norm_a"))
     b = classes.select(F.col("class_id").alias("class_b"), F.col("norm").alias("norm_b"))
@@ -256,7 +268,7 @@ def similar_classes(classes: DataFrame, size: int = 5, threshold: float = 0.6, r
 
 
 def near_duplicate_pairs(rows: DataFrame, key: str = "chunk_id", text: str = "text", size: int = 5, threshold: float = 0.6, salts: int = 16) -> DataFrame:
-    """All pairs of rows whose texts are similar: ``<key>_a < <key>_b``, without repeats.
+    """Pairs of rows whose texts are similar: ``<key>_a < <key>_b``, without repeats; all but the share that ``expected_recall`` leaves.
 
     Similarity is the Jaccard index of the sets of ``size``-character substrings of
     the normalised texts.  Rows with a null key, a null text or a text without any

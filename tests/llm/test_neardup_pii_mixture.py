@@ -50,6 +50,23 @@ def test_digests_agree_as_often_as_texts():
     assert abs(float(np.mean(d[0] == d[1])) - len(one & two) / len(one | two)) < 0.15 and list(some) == [True, True, False]
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    rng = random.Random(11)
+    rows, wanted = [], set()
+    while len(wanted) < 800:
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9))) for _ in range(60)]
+        start = rng.randrange(5, 30)
+        one, two = " ".join(words), " ".join([*words[:start], *(w[::-1] + "x" for w in words[start : start + 13]), *words[start + 13 :]])
+        a, b = shingles(one), shingles(two)
+        if 0.6 <= len(a & b) / len(a | b) <= 0.62:
+            n = len(wanted)
+            rows += [(f"{n:03}a", one), (f"{n:03}b", two)]
+            wanted.add((f"{n:03}a", f"{n:03}b"))
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(spark.createDataFrame(rows, "chunk_id string, text string")).collect()}
+    assert got <= wanted and len(wanted - got) <= 6, len(wanted - got)
+    assert neardup.expected_recall(0.6) > 0.997 and neardup.expected_recall(0.65) > 0.9998
+
+
 PERSONAL = "Ask Nadia Drovumbra at nadia.d (at) example [dot] org or +44 7700 900855; she lives at 12 Coppergate Terrace, Norwell 00123. SSN 932-97-8204."
 
 
