@@ -1,7 +1,7 @@
 """Sentences of documents in many languages and scripts.
 
 Unsupervised, after Kiss and Strunk: all documents are counted once, and for each
-language log-likelihood ratios tell which types are abbreviations, which words
+language (that of each block, not of a document) log-likelihood ratios tell which types are abbreviations, which words
 follow a number's period within a sentence (collocations) and which ones begin
 sentences.  Each period is then classified with these statistics.  Scripts that
 end sentences with marks or particles of their own need no statistics.
@@ -57,27 +57,70 @@ for _language, _words in _FUNCTION_WORDS.items():
     for _word in _words.split():
         _FUNCTION_OF.setdefault(_word, []).append(_language)
 _SCRIPTS = (("th", 0x0E00, 0x0E7F), ("hi", 0x0900, 0x097F), ("ar", 0x0600, 0x06FF), ("ru", 0x0400, 0x04FF), ("ko", 0xAC00, 0xD7AF), ("ja", 0x3040, 0x30FF), ("zh", 0x4E00, 0x9FFF))
-_NOT_LATIN = re.compile("[\u0370-\ud7af]+")
+_IS_FUNCTION = _FUNCTION_OF.__contains__
+#: How much a letter weighs against one of another script: a syllable or a word of Latin has several.
+_WEIGHT = {"ko": 2, "ja": 3, "zh": 3}
 _SCRIPT_FIND = [(name, re.compile(f"[{chr(a)}-{chr(b)}]+")) for name, a, b in _SCRIPTS]
+_LATIN = re.compile("[A-Za-z\u00c0-\u024f]+")
 
 
-def language_of(text: str) -> str:
-    """The language whose statistics a text uses: by script, for Latin by function words."""
-    sample = text if len(text) <= 1000 else text[:: len(text) // 500]  # spread over the whole text
-    if not text.isascii():
-        other = "".join(_NOT_LATIN.findall(sample))
-        if len(other) > 0.03 * len(sample):
-            letters = sum(map(str.isalpha, sample)) or 1
-            for name, pattern in _SCRIPT_FIND:
-                if (n := len("".join(pattern.findall(other)))) and n >= (0.05 if name == "ja" else 0.2) * letters:
-                    return name
-    words = text.lower().split()
-    if len(words) > 400:
-        words = words[:: len(words) // 200]
-    votes = Counter([language for word in words if word in _FUNCTION_OF for language in _FUNCTION_OF[word]])
-    if not votes:
-        return "latin"
-    return max(sorted(votes), key=votes.get)
+def _letters(part: str, scripts: list) -> dict[str, int]:
+    """Weighted letters of each script in all of a block; Han beside kana counts as Japanese, letters of Latin under ``""``."""
+    if part.isascii():
+        return {}
+    found = {name: n * _WEIGHT.get(name, 1) for name, pattern in scripts if (n := len("".join(pattern.findall(part))))}
+    if "ja" in found and found["ja"] >= 0.05 * (found["ja"] + found.get("zh", 0)):
+        found["ja"] += found.pop("zh", 0)
+    if found:
+        found[""] = len("".join(_LATIN.findall(part)))
+    return found
+
+
+def _add(counts: dict[str, int], more: dict[str, int]) -> None:
+    for name, n in more.items():
+        counts[name] = counts.get(name, 0) + n
+
+
+def _most(counts: dict[str, int], default: str) -> str:
+    return max(sorted(counts), key=counts.get) if counts else default
+
+
+def languages_of(text: str, blocks: list[tuple[int, int, bool]]) -> list[str]:
+    """The language of each block, whose statistics it uses: by script, for Latin by function words.
+
+    All of the text is read.  A block that doesn't show its language (another one
+    than the document's needs two function words and more than the document's has)
+    has that of the document's blocks in its script.
+    """
+    others = "" if text.isascii() else "".join(c for c in set(text) if c > "\u036f")
+    scripts = [x for x in _SCRIPT_FIND if x[1].search(others)] if others else []
+    lowered = text.lower() if text.isascii() else ""  # else it may be of another length
+    latin_votes: dict[str, int] = {}
+    letters: dict[str, int] = {}
+    each = []
+    for start, end, _ in blocks:
+        part = text[start:end]
+        votes: dict[str, int] = {}
+        for word in filter(_IS_FUNCTION, lowered[start:end].split() if lowered else part.lower().split()):
+            for language in _FUNCTION_OF[word]:
+                votes[language] = votes.get(language, 0) + 1
+        _add(latin_votes, votes)
+        found = _letters(part, scripts) if scripts else {}
+        _add(letters, found)
+        if scripts and not found and (n := len("".join(_LATIN.findall(part)))):
+            found = {"": n}
+            _add(letters, found)
+        each.append((found, votes))
+    latin, main = _most(latin_votes, "latin"), _most(letters, "")
+    out = []
+    for found, votes in each:
+        # A block without letters goes with the script of the document.
+        if script := _most(found, main):
+            out.append(script)
+            continue
+        best = _most(votes, latin)
+        out.append(best if best == latin or (votes[best] >= 2 and votes[best] > votes.get(latin, 0)) else latin)
+    return out
 
 
 def blocks_of(text: str) -> list[tuple[int, int, bool]]:
@@ -153,13 +196,11 @@ def _count(texts: pd.Series) -> Counter:
     for text in texts:
         if not text or not text.strip():
             continue
-        lang = language_of(text)
-        if lang in ("zh", "ja", "th"):
-            continue
-        tally = written.setdefault(lang, Counter())
-        for start, end, heading in blocks_of(text):
-            if heading:
+        blocks = blocks_of(text)
+        for (start, end, heading), lang in zip(blocks, languages_of(text, blocks), strict=True):
+            if heading or lang in ("zh", "ja", "th"):
                 continue
+            tally = written.setdefault(lang, Counter())
             tokens = text[start:end].split()
             tally.update(tokens)
             for i in [i for i, t in enumerate(tokens, 1) if "." in t or "!" in t or "?" in t]:
@@ -321,7 +362,6 @@ def split_sentences(text: str, model: Model) -> list[tuple[int, int]]:
     """Spans of the sentences of a text, in order, without white space at their ends."""
     if not text or not text.strip():
         return []
-    lang = language_of(text)
     marks = _END_OR_FINAL if not text.isascii() and _THAI.search(text) else _END
     spans: list[tuple[int, int]] = []
 
@@ -331,7 +371,8 @@ def split_sentences(text: str, model: Model) -> list[tuple[int, int]]:
         if start < end:
             spans.append((start, end))
 
-    for begin, end, heading in blocks_of(text):
+    blocks = blocks_of(text)
+    for (begin, end, heading), lang in zip(blocks, languages_of(text, blocks), strict=True):
         if heading:
             add(begin, end)
             continue

@@ -87,3 +87,25 @@ def test_learns_abbreviations(spark):
     out = sentences.find_sentences(df)
     assert out.count() == 400 * 4
     assert sentences.find_sentences(df.where("false")).count() == 0
+
+
+def test_each_block_has_its_own_language():
+    english = "The report of the group was sent to the office, and it is with the approx. Figures that we begin."
+    russian = "Это обычный текст на русском языке, который занимает целый абзац документа."
+    chinese = "这是一个很长的中文段落，用来说明文档的主要语言。我们在这里继续写下去。"
+    german = "Der Bericht wurde nach dem Treffen für die Gruppe verschickt."
+
+    def languages(*parts):
+        text = "\n\n".join(parts)
+        return sentences.languages_of(text, sentences.blocks_of(text))
+
+    assert languages(english, english, russian, english) == ["en", "en", "ru", "en"]
+    assert languages(*[chinese] * 9, english, german, "12 34", "Fig. 3") == ["zh"] * 9 + ["en", "de", "zh", "en"]
+    assert languages(*[english] * 300, german) == ["en"] * 300 + ["de"]
+    assert languages(english + " " + russian[:30]) == ["en"] and languages("Wir 東京で会いました。") == ["ja"]
+    # Latin passages of a Chinese document are counted, and classified by what was learned.
+    counts = sentences._count([chinese + "\n\n" + english])
+    assert counts["en", "w", "approx"] == 1 and not any(k[0] == "zh" for k in counts)
+    text = "\n\n".join([chinese] * 9 + [english])
+    spans = [text[a:b] for a, b in sentences.split_sentences(text, sentences.Model({"en": {"approx"}}))]
+    assert spans[-1] == english
