@@ -109,3 +109,10 @@ def test_each_block_has_its_own_language():
     text = "\n\n".join([chinese] * 9 + [english])
     spans = [text[a:b] for a, b in sentences.split_sentences(text, sentences.Model({"en": {"approx"}}))]
     assert spans[-1] == english
+
+
+def test_types_seen_once_count_in_the_totals(spark):
+    singles = " ".join(f"single{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000))
+    breaks = " ".join(f"many words {'xeno' if i % 2 else 'yeti'} stop. {'Xeno' if i < 20 else 'Zebu'} goes" for i in range(40))
+    model = sentences.learn(spark.createDataFrame([(f"{singles} {breaks}",)], "text string"))
+    assert "xeno" in model.starters["latin"]
