@@ -12,7 +12,8 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 #: Folders that are never scanned.
 SKIPPED = (".cache", ".audit", ".git", ".dreams", "node_modules")
-FILES = "path string, modified double, size long, text string"
+NAMES = "path string, modified double, size long"
+FILES = f"{NAMES}, text string"
 
 
 def walk(root: str, extra_skip: tuple[str, ...] = (), include_parent: bool = False) -> list[tuple[str, float, int]]:
@@ -53,7 +54,7 @@ def read_markdown(spark: SparkSession, root: str, **options) -> DataFrame:
     The driver lists names only; the texts are read by the tasks.
     """
     names = walk(root, **options)
-    listing = spark.createDataFrame(names or [], "path string, modified double, size long").repartition(max(1, min(len(names), 64)))
+    listing = spark.createDataFrame(names or [], NAMES).repartition(max(1, min(len(names), 64)))
 
     def load(batches: Iterator) -> Iterator:
         for batch in batches:
@@ -80,6 +81,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str,
     return checked.select("r.*")
 
 
+def read_present(paths: DataFrame, root: str) -> DataFrame:
+    """``path, text`` of the files of a batch that are still there; the tasks read them.
+
+    A file that is gone is left out (the stream emits its removal next); any other
+    failure to read is raised, so that the batch isn't taken as done.
+    """
+
+    def load(batches: Iterator) -> Iterator:
+        for batch in batches:
+            texts = []
+            for p in batch["path"]:
+                try:
+                    texts.append(Path(root, p).read_text(encoding="utf-8", errors="replace"))
+                except (FileNotFoundError, NotADirectoryError):
+                    texts.append(None)
+            batch["text"] = texts
+            yield batch[batch["text"].notna()]
+
+    return paths.select("path").mapInPandas(load, "path string, text string")
+
+
 class _EditedFiles(SimpleDataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         self.root = options["path"]
@@ -88,28 +110,40 @@ class _EditedFiles(SimpleDataSourceStreamReader):
         return {}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = {path: modified for path, modified, _ in walk(self.root)}
-        changed = [p for p, modified in now.items() if start.get(p) != modified]
-        return iter(self._rows(changed, now)), now
+        now = self._now(start)
+        return self.readBetweenOffsets(start, now), now
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._rows([p for p, modified in end.items() if start.get(p) != modified], end))
-
-    def _rows(self, paths: list[str], seen: dict) -> list[tuple]:
-        rows = []
-        for p in paths:
-            try:
-                text = Path(self.root, p).read_text(encoding="utf-8", errors="replace")
-            except OSError:
-                continue
-            rows.append((p, float(seen[p]), len(text.encode()), text))
-        return rows
+        rows = [(p, float(modified), None) for p, modified in end.items() if start.get(p) != modified]
+        return iter(rows + [(p, None, None) for p in start if p not in end])
+
+    def _now(self, start: dict) -> dict:
+        """The next offset; what can't be read just now stays as it was in ``start``, so that it comes once it can."""
+        if not os.path.isdir(self.root):
+            return start
+        there = {path: modified for path, modified, _ in walk(self.root)}
+        now = {p: modified for p, modified in there.items() if os.access(Path(self.root, p), os.R_OK)}
+        for p in start:
+            if p not in now and (p in there or not self._gone(p)):
+                now[p] = start[p]
+        return now
+
+    def _gone(self, path: str) -> bool:
+        """Whether a file that the walk didn't find isn't there; a folder that can't be listed or entered says nothing."""
+        try:
+            os.lstat(Path(self.root, path))
+        except (FileNotFoundError, NotADirectoryError):
+            return True
+        except OSError:
+            return False
+        return os.access(Path(self.root, path).parent, os.R_OK)
 
 
 class EditedMarkdown(DataSource):
-    """A stream source that emits a file whenever it is new or was edited in place.
+    """A stream source that emits the name of a file whenever it is new or was edited in place.
 
-    The offset is a snapshot of paths and times of change, so an edit is seen,
+    A file that was removed comes without a time of change; ``size`` is null.  Texts
+    aren't emitted: ``read_present`` reads them in the tasks.  The offset is a snapshot of paths and times of change, so an edit is seen,
     which Spark's own file source doesn't do.
     """
 
@@ -118,10 +152,10 @@ class EditedMarkdown(DataSource):
         return "edited_markdown"
 
     def schema(self) -> str:
-        return FILES
+        return NAMES
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return _EditedFiles(self.options)
 
 
-__all__ = ["EditedMarkdown", "read_jsonl", "read_markdown", "walk"]
+__all__ = ["EditedMarkdown", "read_jsonl", "read_markdown", "read_present", "walk"]

@@ -15,7 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators.store import Store
 from lodestone.plans.ingest import index_files
-from lodestone.sources.markdown import EditedMarkdown
+from lodestone.session import cut
+from lodestone.sources.markdown import EditedMarkdown, read_present
 
 log = logging.getLogger(__name__)
 
@@ -27,7 +28,8 @@ def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, availab
     def index(batch: DataFrame, number: int) -> None:
         try:
             now = batch.sparkSession.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).first()[0]
-            index_files(store, batch.select("path", "text"), now, whole_tree=False)
+            names = cut(batch.repartition(spark.sparkContext.defaultParallelism))
+            index_files(store, read_present(names.where("modified is not null"), root), now, whole_tree=False)
         except Exception:
             log.exception("batch %s failed", number)
 

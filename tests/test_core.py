@@ -150,6 +150,26 @@ def test_stream_sees_edits_in_place(spark, tree, tmp_path):
         query.stop()
 
 
+def test_stream_emits_names_and_keeps_what_cannot_be_read(tree, monkeypatch):
+    from lodestone.sources import markdown
+
+    reader = markdown._EditedFiles({"path": str(tree)})
+    rows, first = reader.read({})
+    rows = list(rows)
+    assert rows and all(len(r) == 3 for r in rows) and "a.md" in first
+    os.utime(tree / "a.md", (time.time() + 5, time.time() + 5))
+    access = os.access
+    monkeypatch.setattr(os, "access", lambda p, mode: not str(p).endswith("a.md") and access(p, mode))
+    rows, second = reader.read(first)
+    assert list(rows) == [] and second == first
+    monkeypatch.undo()
+    rows, third = reader.read(second)
+    assert [r[0] for r in rows] == ["a.md"]
+    (tree / "a.md").unlink()
+    rows, fourth = reader.read(third)
+    assert list(rows) == [("a.md", None, None)] and "a.md" not in fourth
+
+
 def test_long_lists_are_cut_at_items(spark):
     text = "\n".join(f"- item {i} " + "x" * 30 for i in range(6)) + "\n\nshort"
     df = spark.createDataFrame([("a", text)], "id string, text string")
