@@ -63,12 +63,12 @@ def chunk_memories(memories: DataFrame, model_id: str, now: str, target: int = 9
     )
 
 
-def index_files(store: Store, files: DataFrame, now: str, whole_tree: bool = True) -> dict[str, int]:
+def index_files(store: Store, files: DataFrame, now: str, whole_tree: bool = True, paths: DataFrame | None = None) -> dict[str, int]:
     """Bring the index up to date with ``files``; returns counts.
 
     Unchanged sections are not chunked again.  With ``whole_tree`` sections that
     are gone are archived; without it (a micro-batch of edited files) only those of
-    the files at hand.
+    the files at hand, or of ``paths``, which also names files that were removed.
     """
     model_id = store.meta()["embedding_model_id"]
     seen = cut(extract_memories(files, now))
@@ -76,7 +76,7 @@ def index_files(store: Store, files: DataFrame, now: str, whole_tree: bool = Tru
     fresh = cut(changed(seen, current))
     new_chunks = chunk_memories(fresh, model_id, now)
     memories = upsert(current, fresh.select(current.columns), "memory_id")
-    touched = seen.select("path").distinct().withColumnRenamed("path", "_path")
+    touched = (seen if paths is None else paths).select("path").distinct().withColumnRenamed("path", "_path")
     scope = memories if whole_tree else memories.join(touched, F.get_json_object("json", "$.path") == F.col("_path"), "left_semi")
     retired = retire(scope, seen)
     rest = memories.join(scope.select("memory_id"), "memory_id", "left_anti")

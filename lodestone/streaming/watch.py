@@ -1,8 +1,9 @@
 """Watching a tree: edited files enter the index in micro-batches.
 
 Batches run one at a time, and what changes meanwhile waits for the next one.  A
-batch that fails is logged and doesn't end the stream; its files come again when
-they are edited again or the index is rebuilt.
+batch that fails is logged and ends the stream, uncommitted: started again with the
+same checkpoint, the stream begins with that batch.  Sections of removed files are
+archived.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, availab
         try:
             now = batch.sparkSession.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).first()[0]
             names = cut(batch.repartition(spark.sparkContext.defaultParallelism))
-            index_files(store, read_present(names.where("modified is not null"), root), now, whole_tree=False)
+            index_files(store, read_present(names.where("modified is not null"), root), now, whole_tree=False, paths=names.select("path"))
         except Exception:
             log.exception("batch %s failed", number)
+            raise
 
     stream = spark.readStream.format("edited_markdown").load(root)
     writer = stream.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)

@@ -170,6 +170,29 @@ def test_stream_emits_names_and_keeps_what_cannot_be_read(tree, monkeypatch):
     assert list(rows) == [("a.md", None, None)] and "a.md" not in fourth
 
 
+def test_failed_batches_come_again_and_removed_files_are_archived(spark, tree, tmp_path, monkeypatch):
+    from lodestone.streaming import watch as module
+
+    s = store.Store(spark, str(tmp_path / "index"), "stub", 8)
+    run = lambda: module.watch(spark, str(tree), s, str(tmp_path / "checkpoint"), available_now=True).awaitTermination(60)
+
+    def fails(*args, **more):
+        raise OSError("the disk is full")
+
+    with monkeypatch.context() as m:
+        m.setattr(module, "index_files", fails)
+        with pytest.raises(Exception, match="the disk is full"):
+            run()
+    run()
+    of_a = s.read("memories").where("json like '%a.md%'")
+    n = of_a.count()
+    assert n and of_a.where("status = 'archived'").count() == 0
+    (tree / "a.md").unlink()
+    run()
+    after = s.read("memories")
+    assert after.where("json like '%a.md%' and status = 'archived'").count() == n and after.where("status = 'active'").count() == after.count() - n
+
+
 def test_long_lists_are_cut_at_items(spark):
     text = "\n".join(f"- item {i} " + "x" * 30 for i in range(6)) + "\n\nshort"
     df = spark.createDataFrame([("a", text)], "id string, text string")
