@@ -74,14 +74,10 @@ def best_of_memory(kept: DataFrame) -> DataFrame:
     return kept.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def top_k(rows: DataFrame, k: str | int = 5, most: int = 50) -> DataFrame:
-    """The first ``k`` of each query (a number or a column), with ``position``.
-
-    With a column the literal bound ``most`` lets every task keep few rows before the shuffle.
-    """
+def top_k(rows: DataFrame, k: str | int = 5) -> DataFrame:
+    """The first ``k`` of each query (a number or a column), with ``position``."""
     w = Window.partitionBy("query_id").orderBy(*_order(), "chunk_id")
-    ranked = rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= (k if isinstance(k, int) else most))
-    return ranked if isinstance(k, int) else ranked.where(F.col("position") <= F.col(k))
+    return rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= (k if isinstance(k, int) else F.col(k)))
 
 
 def why_matched(now: Column) -> Column:

@@ -193,6 +193,12 @@ def test_failed_batches_come_again_and_removed_files_are_archived(spark, tree, t
     assert after.where("json like '%a.md%' and status = 'archived'").count() == n and after.where("status = 'active'").count() == after.count() - n
 
 
+def test_top_k_keeps_all_that_a_query_asks_for(spark):
+    rows = spark.range(80).selectExpr("'q' AS query_id", "id AS chunk_id", "1.0D / (id + 1) AS score", "CAST(id AS int) AS semantic_rank", "CAST(NULL AS int) AS lexical_rank", "70 AS k")
+    assert [r["position"] for r in retrieval.top_k(rows, "k").orderBy("position").collect()] == list(range(1, 71))
+    assert retrieval.top_k(rows, 3).count() == 3
+
+
 def test_long_lists_are_cut_at_items(spark):
     text = "\n".join(f"- item {i} " + "x" * 30 for i in range(6)) + "\n\nshort"
     df = spark.createDataFrame([("a", text)], "id string, text string")
