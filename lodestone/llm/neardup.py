@@ -1,28 +1,32 @@
 """Near-duplicate texts: an inverted index over positional digests with count filtering.
 
-Every distinct text gets a digest: for each of ``3 x 128`` positions the least hash
+Every distinct text gets a digest: for each of some hundred positions the least hash
 of its shingles that falls there (one-permutation hashing).  Two texts agree at a
 position with a probability equal to their similarity.
 
 *Index.*  A single position (one byte, or even one hash) would list a fixed part of
 all texts under each of its values, since texts of one language share much, and the
-pairs under it would grow with the square of the corpus.  So a key is made from
-``rows`` positions at once, and each text is listed under ``bands`` such keys.
+pairs under it would grow with the square of the corpus.  So a posting's key is made
+from ``rows`` positions at once, and each text has as many postings as the threshold
+needs (``postings_needed``).
 
-*Count filter.*  With each listing goes a summary of 256 positions, one bit each.
-Where two texts meet, the positions at which their bits agree are tallied, and the
-pair is kept if the tally reaches ``least_agreeing``.
+*Count filter.*  With each posting goes one bit of each of 256 positions.  Where two
+texts meet, the positions at which their bits agree are tallied on the spot, and the
+pair goes on only if the tally reaches the minimum that a pair at the threshold has
+(``least_of``).  Then the postings that the pair shares are tallied, with the minimum
+that follows from the threshold in the same way.
 
 *Verification.*  What is left is compared exactly, shingle by shingle.
 
-Pairs that are found are therefore right, but not every pair is sure to be found;
-``expected_recall`` is the share, for independent positions, by similarity.
+Both minima are quantiles: of the pairs at the threshold the postings may lose the
+share ``missed`` and the bits half of it, of more similar ones far less
+(``expected_recall``).  Pairs that are found are right.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pandas as pd
@@ -33,8 +37,6 @@ from pyspark.sql import types as T
 from lodestone.session import cut
 
 _BINS = 128
-_HALVES = 3
-_POSITIONS = _HALVES * _BINS
 _BITS = 256
 _WORDS = _BITS // 64
 #: Bits of a listing's key.  Keys that meet by chance cost a comparison of two summaries, never a pair: listings stay narrow and nothing is lost.
@@ -121,8 +123,8 @@ def _donors() -> np.ndarray:
 _DONORS = _donors()
 
 
-def digests(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(n, 384)`` digests and a mask of the texts that have shingles at all.
+def digests(texts: list[str], size: int, parts: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """``(n, 128 * parts)`` digests and a mask of the texts that have shingles at all.
 
     A position that no shingle of a text falls on borrows from others, in an order
     that is the same for all texts, so that it still agrees as often as the texts do.
@@ -130,12 +132,12 @@ def digests(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     values, owner = shingle_hashes(texts, size)
     some = np.zeros(len(texts), dtype=bool)
     some[owner] = True
-    out = np.zeros((len(texts), _POSITIONS), dtype=np.uint64)
+    out = np.zeros((len(texts), parts * _BINS), dtype=np.uint64)
     if not some.any():
         return out, some
     nothing = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for half in range(_HALVES):
-        v = values if half == 0 else _mix(values + np.uint64(half * int(_MIX) % 2**64))
+    for part in range(parts):
+        v = values if part == 0 else _mix(values + np.uint64(part * int(_MIX) % 2**64))
         least = np.full(len(texts) * _BINS, nothing, dtype=np.uint64)
         np.minimum.at(least, owner * _BINS + (v >> np.uint64(57)).astype(np.int64), v)
         least = least.reshape(len(texts), _BINS)
@@ -148,17 +150,51 @@ def digests(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
             filled[row, col] = borrowed
             still = borrowed == nothing
             row, col = row[still], col[still]
-        out[:, half * _BINS : (half + 1) * _BINS] = filled
+        out[:, part * _BINS : (part + 1) * _BINS] = filled
     return out, some
 
 
-def _band_keys(digest: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    keys = np.empty((len(digest), bands), dtype=np.uint64)
-    for band in range(bands):
-        h = np.full(len(digest), band + 1, dtype=np.uint64)
-        for i in range(rows):
-            h = _mix(h * _MIX + digest[:, band * rows + i])
-        keys[:, band] = h
+def postings_needed(threshold: float, rows: int, missed: float) -> int:
+    """So many postings that a pair at the threshold shares none of them with a probability of at most ``missed``."""
+    return ceil(log(missed) / log(1 - threshold**rows)) if threshold < 1 else 1
+
+
+def _tail(n: int, p: float, least: int) -> float:
+    """The probability of at least ``least`` successes in ``n`` trials."""
+    return 1.0 - sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least))
+
+
+def least_of(n: int, p: float, missed: float) -> int:
+    """The largest minimum that ``n`` trials with probability ``p`` miss with a probability of at most ``missed`` (one at least)."""
+    least = 1
+    while least < n and _tail(n, p, least + 1) >= 1 - missed:
+        least += 1
+    return least
+
+
+def _agree(similarity: float) -> float:
+    return similarity + (1 - similarity) / 2
+
+
+def expected_recall(similarity: float, threshold: float = 0.6, rows: int = 5, missed: float = 0.002) -> float:
+    """The share of pairs of a similarity that are found if positions are independent: both tallies reach their minimum."""
+    n = postings_needed(threshold, rows, missed)
+    shared = _tail(n, similarity**rows, least_of(n, threshold**rows, missed))
+    return shared * _tail(_BITS, _agree(similarity), least_of(_BITS, _agree(threshold), missed / 2))
+
+
+def _parts(rows: int, postings: int) -> int:
+    """Blocks of 128 positions: the bits need two; a few postings more than fit use positions again."""
+    return max(_BITS // _BINS, round(rows * postings / _BINS))
+
+
+def _posting_keys(digest: np.ndarray, rows: int, postings: int) -> np.ndarray:
+    keys = np.empty((len(digest), postings), dtype=np.uint64)
+    for n in range(postings):
+        h = np.full(len(digest), n + 1, dtype=np.uint64)
+        for i in range(n * rows, n * rows + rows):
+            h = _mix(h * _MIX + digest[:, i % digest.shape[1]])
+        keys[:, n] = h
     return (keys >> np.uint64(64 - _KEY_BITS)).view(np.int64)
 
 
@@ -168,24 +204,19 @@ def _summary(digest: np.ndarray) -> np.ndarray:
     return np.packbits(picked.astype(np.uint8), axis=1).view(np.int64)
 
 
-def expected_recall(similarity: float, rows: int = 5, bands: int = 76, least_agreeing: int = 184) -> float:
-    """The share of pairs of a similarity that are found if positions are independent: listed together, and enough bits agree."""
-    agree = similarity + (1 - similarity) / 2
-    enough = sum(comb(_BITS, n) * agree**n * (1 - agree) ** (_BITS - n) for n in range(least_agreeing, _BITS + 1))
-    return (1 - (1 - similarity**rows) ** bands) * enough
-
-
 _DIGEST = T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), *[T.StructField(f"s{i}", T.LongType()) for i in range(_WORDS)]])
 
 
-def _digest_column(size: int, rows: int, bands: int):
+def _digest_column(size: int, rows: int, postings: int):
+    parts = _parts(rows, postings)
+
     @F.pandas_udf(_DIGEST)
     def column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             keys, words = [], []
             for part in _rounds(list(texts)):
-                digest, some = digests(part, size)
-                own = _band_keys(digest, rows, bands)
+                digest, some = digests(part, size, parts)
+                own = _posting_keys(digest, rows, postings)
                 keys += [k if ok else k[:0] for k, ok in zip(own, some, strict=True)]
                 words.append(_summary(digest))
             both = np.concatenate(words) if words else np.empty((0, _WORDS), dtype=np.int64)
@@ -212,20 +243,19 @@ def _similarity(a: str, b: str, size: int) -> float:
 
 def _verify(size: int, threshold: float):
     @F.pandas_udf(T.BooleanType())
-    def column(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ids_a, ids_b, left, right in batches:
-            texts = dict(zip(ids_a, left, strict=True)) | dict(zip(ids_b, right, strict=True))
-            sets: dict[int, np.ndarray] = {}
-            ids = list(texts)
-            for part in _rounds([texts[k] for k in ids]):
+    def column(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            texts = list(dict.fromkeys([*left, *right]))
+            sets: list[np.ndarray] = []
+            for part in _rounds(texts):
                 values, owner = shingle_hashes(part, size)
                 ends = np.searchsorted(owner, np.arange(len(part) + 1))
                 short = values.astype(np.uint32)
-                for n, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True), len(sets)):
-                    sets[ids[n]] = np.unique(short[x:y])
+                sets += [np.unique(short[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            of = {text: n for n, text in enumerate(texts)}
             out = []
-            for i, j, a, b in zip(ids_a, ids_b, left, right, strict=True):
-                one, two = sets[i], sets[j]
+            for a, b in zip(left, right, strict=True):
+                one, two = sets[of[a]], sets[of[b]]
                 both = np.concatenate((one, two))
                 both.sort()
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -238,36 +268,53 @@ def _verify(size: int, threshold: float):
 
 
 def text_classes(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``key, class_id, norm``: rows whose normalised texts are equal share a class.
+    """``key, id, check, norm``: rows whose normalised texts are equal share ``id`` and ``check``, 128 bits together.
 
     Rows without a key, and texts too short to have a shingle, are left out.
     """
     norm = rows.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), _normalised_column(F.col(f"`{text}`")).alias("norm"))
-    return norm.where(F.length("norm") >= size).select("key", F.xxhash64("norm").alias("class_id"), "norm")
+    return norm.where(F.length("norm") >= size).select("key", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(7), "norm").alias("check"), "norm")
 
 
-def similar_classes(classes: DataFrame, size: int = 5, threshold: float = 0.6, rows: int = 5, bands: int = 76, least_agreeing: int = 184) -> DataFrame:
-    """``class_a < class_b`` for pairs of different texts with similarity of at least ``threshold``, with ``expected_recall``.
+def distinct_texts(each: DataFrame) -> DataFrame:
+    """``id, check, norm``, one row for each text.  Copies are combined in the map tasks; texts that meet on an ``id`` stay apart."""
+    sets = each.groupBy("id").agg(F.collect_set(F.struct("check", "norm")).alias("texts"))
+    return sets.select("id", F.explode("texts").alias("t")).select("id", "t.check", "t.norm")
 
-    ``classes`` has one row for each class: ``class_id, norm``.  A hot key (texts
+
+def similar_texts(texts: DataFrame, size: int = 5, threshold: float = 0.6, rows: int = 5, missed: float = 0.002) -> DataFrame:
+    """``id_a, check_a, id_b, check_b`` for pairs of different texts with similarity of at least ``threshold``, with ``expected_recall``.
+
+    ``texts`` has one row for each text: ``id, check, norm``.  A hot posting (texts
     that all agree at its positions) is a large partition of the join, which
     adaptive execution splits; nothing is gathered or cut off.
+
+    Texts and postings are never broadcast: Spark takes a string for 20 bytes, so
+    its estimate of their size can be far too low.
     """
-    listed = classes.select("class_id", _digest_column(size, rows, bands)(F.col("norm")).alias("d"))
+    n = postings_needed(threshold, rows, missed)
+    least_shared, least_agreeing = least_of(n, threshold**rows, missed), least_of(_BITS, _agree(threshold), missed / 2)
+    listed = texts.select("id", _digest_column(size, rows, n)(F.col("norm")).alias("d"))
     words = range(_WORDS)
-    # The key stands last: what its text's listings in a partition have in common is then one run, which compresses.
-    index = listed.select("class_id", *[f"d.s{i}" for i in words], F.explode("d.keys").alias("k"))
-    other = index.select(F.col("class_id").alias("class_b"), *[F.col(f"s{i}").alias(f"t{i}") for i in words], "k")
-    met = index.withColumnRenamed("class_id", "class_a").join(other, "k")
-    kept = met.where((F.col("class_a") < F.col("class_b")) & (_agreeing() >= least_agreeing))
-    candidates = kept.select("class_a", "class_b").distinct()
-    a = classes.select(F.col("class_id").alias("class_a"), F.col("norm").alias("norm_a"))
-    b = classes.select(F.col("class_id").alias("class_b"), F.col("norm").alias("norm_b"))
-    both = candidates.join(a, "class_a").join(b, "class_b")
-    return both.where(_verify(size, threshold)("class_a", "class_b", "norm_a", "norm_b")).select("class_a", "class_b")
-
-
-def near_duplicate_pairs(rows: DataFrame, key: str = "chunk_id", text: str = "text", size: int = 5, threshold: float = 0.6, salts: int = 16) -> DataFrame:
+    # The key stands last: what its text's postings in a partition have in common is then one run, which compresses.
+    index = listed.select("id", *[f"d.s{i}" for i in words], F.explode("d.keys").alias("k"))
+    other = index.select(F.col("id").alias("id_b"), *[F.col(f"s{i}").alias(f"t{i}") for i in words], "k")
+    met = index.withColumnRenamed("id", "id_a").hint("merge").join(other.hint("merge"), "k")
+    kept = met.where((F.col("id_a") < F.col("id_b")) & (_agreeing() >= least_agreeing))
+    candidates = kept.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least_shared).select("id_a", "id_b")
+    side = lambda end: texts.select(*[F.col(c).alias(f"{c}_{end}") for c in ("id", "check", "norm")]).hint("merge")
+    both = candidates.hint("merge").join(side("a"), "id_a").hint("merge").join(side("b"), "id_b")
+    return both.where(_verify(size, threshold)("norm_a", "norm_b")).select("id_a", "check_a", "id_b", "check_b")
+
+
+_SIDE = {"a": ["id_a", "check_a"], "b": ["id_b", "check_b"]}
+
+
+def _renamed(df: DataFrame, end: str) -> DataFrame:
+    return df.withColumnsRenamed({"id": f"id_{end}", "check": f"check_{end}"})
+
+
+def near_duplicate_pairs(rows: DataFrame, key: str = "chunk_id", text: str = "text", size: int = 5, threshold: float = 0.6, per_salt: int = 1000) -> DataFrame:
     """Pairs of rows whose texts are similar: ``<key>_a < <key>_b``, without repeats; all but the share that ``expected_recall`` leaves.
 
     Similarity is the Jaccard index of the sets of ``size``-character substrings of
@@ -275,33 +322,47 @@ def near_duplicate_pairs(rows: DataFrame, key: str = "chunk_id", text: str = "te
     such substring are in no pair; rows that share a key count as one.
 
     Equal texts are one class throughout and are expanded only at the end.  There
-    one side of the members is spread over ``salts`` partitions of its class, so a
-    class that holds a third of all rows isn't expanded by one task.
+    the members of a class are spread over one salt for each ``per_salt`` of them,
+    on both sides of a link, so that no task expands a large class alone.
     """
     each = text_classes(rows, key, text, size)
-    members = cut(each.select("key", "class_id"))
-    classes = each.groupBy("class_id").agg(F.first("norm").alias("norm"))
-    links = similar_classes(classes, size, threshold)
-    again = members.groupBy("class_id").count().where("count > 1").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"))
-    linked = links.unionByName(again)
-    one = members.select(F.col("class_id").alias("class_a"), F.col("key").alias("key_1"), F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt"))
-    two = members.select(F.col("class_id").alias("class_b"), F.col("key").alias("key_2"))
-    spread = linked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    pairs = spread.join(one, ["class_a", "salt"]).join(two, "class_b").where((F.col("class_a") != F.col("class_b")) | (F.col("key_1") < F.col("key_2")))
-    ordered = pairs.select(F.least("key_1", "key_2").alias(f"{key}_a"), F.greatest("key_1", "key_2").alias(f"{key}_b")).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    members = cut(each.select("key", "id", "check"))
+    links = cut(similar_texts(distinct_texts(each), size, threshold))
+    sizes = members.groupBy("id", "check").agg(F.count(F.lit(1)).alias("n"))
+    ends = links.select(F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("check_a").alias("check")), F.struct(F.col("id_b").alias("id"), F.col("check_b").alias("check")))).alias("e")).select("e.*").distinct()
+    linked = sizes.join(ends.withColumn("is_end", F.lit(True)), ["id", "check"], "left").where("n > 1 or is_end")
+    salts = linked.select("id", "check", F.ceil(F.col("n") / per_salt).cast("int").alias("salts"))
+    salted = members.hint("merge").join(salts.hint("merge"), ["id", "check"]).select("key", "id", "check", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
+
+    again = linked.where("n > 1").select("id", "check")
+    itself = _renamed(again, "a").select("*", F.col("id_a").alias("id_b"), F.col("check_a").alias("check_b"))
+    spread = links.unionByName(itself)
+    for end in "ab":
+        every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias(f"salt_{end}")
+        spread = spread.hint("merge").join(_renamed(salts, end).hint("merge"), _SIDE[end]).select(*[c for c in spread.columns], every)
+    for end in "ab":
+        side = _renamed(salted, end).withColumnsRenamed({"key": f"key_{end}", "salt": f"salt_{end}"})
+        spread = spread.hint("merge").join(side.hint("merge"), [*_SIDE[end], f"salt_{end}"])
+    different = (F.col("id_a") != F.col("id_b")) | (F.col("check_a") != F.col("check_b"))
+    pairs = spread.where(different | (F.col("key_a") < F.col("key_b")))
+    ordered = pairs.select(F.least("key_a", "key_b").alias(f"{key}_a"), F.greatest("key_a", "key_b").alias(f"{key}_b")).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
     return ordered.distinct()
 
 
 def duplicate_classes(rows: DataFrame, key: str = "chunk_id", text: str = "text", size: int = 5, threshold: float = 0.6) -> DataFrame:
     """One row for each key: ``key, class_id, n_copies, n_links``.
 
-    Rows with equal normalised texts share ``class_id``; ``n_links`` counts the other
-    classes that are similar.  A key that is there several times gives one row for each text.
+    Rows with equal normalised texts share ``class_id`` (128 bits in hexadecimal);
+    ``n_links`` counts the other classes that are similar.  A key that is there
+    several times gives one row for each text.
     """
     each = text_classes(rows, key, text, size)
-    members = cut(each.select("key", "class_id").distinct())
-    links = similar_classes(each.groupBy("class_id").agg(F.first("norm").alias("norm")), size, threshold)
-    ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_copies"))
+    members = cut(each.select("key", "id", "check").distinct())
+    links = similar_texts(distinct_texts(each), size, threshold)
+    end = lambda e: F.struct(F.col(f"id_{e}").alias("id"), F.col(f"check_{e}").alias("check"))
+    n_links = links.select(F.explode(F.array(end("a"), end("b"))).alias("e")).groupBy("e.id", "e.check").agg(F.count(F.lit(1)).alias("n_links"))
+    sizes = members.groupBy("id", "check").agg(F.count(F.lit(1)).alias("n_copies"))
     # One row a class on the right; a hot class is a large partition of the left side, which adaptive execution splits.
-    return members.join(sizes.join(ends, "class_id", "left"), "class_id").select(F.col("key").alias(key), "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    both = members.hint("merge").join(sizes.join(n_links.hint("merge"), ["id", "check"], "left").hint("merge"), ["id", "check"])
+    hexed = F.lower(F.concat(F.lpad(F.hex("id"), 16, "0"), F.lpad(F.hex("check"), 16, "0")))
+    return both.select(F.col("key").alias(key), hexed.alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -67,6 +67,29 @@ def test_pairs_at_the_threshold_are_found(spark):
     assert neardup.expected_recall(0.6) > 0.997 and neardup.expected_recall(0.65) > 0.9998
 
 
+def test_minima_follow_from_the_threshold():
+    assert neardup.postings_needed(0.6, 5, 0.002) == 77 and neardup.postings_needed(0.8, 5, 0.002) == 16
+    assert neardup.least_of(77, 0.6**5, 0.002) == 1 and neardup.least_of(200, 0.6**5, 0.002) == 6
+    for similarity in (0.6, 0.7, 0.9, 1.0):
+        assert neardup.expected_recall(similarity, threshold=similarity) > 0.995
+
+
+def test_texts_and_postings_are_never_broadcast(spark):
+    df = spark.createDataFrame([("a", "one short text"), ("b", "one short text")], "chunk_id string, text string")
+    for result in (neardup.near_duplicate_pairs(df), neardup.duplicate_classes(df)):
+        result.collect()
+        assert "Broadcast" not in result._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_classes_are_expanded_whole(spark):
+    rows = [(f"a{i:03}", "the very same text of many rows") for i in range(30)] + [(f"b{i:03}", "The very same text of many rows, too") for i in range(25)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(df, per_salt=4).collect()}
+    assert got == set(itertools.combinations(sorted(k for k, _ in rows), 2))
+    classes = neardup.duplicate_classes(df).collect()
+    assert sorted({(r["n_copies"], r["n_links"]) for r in classes}) == [(25, 1), (30, 1)] and len({r["class_id"] for r in classes}) == 2
+
+
 PERSONAL = "Ask Nadia Drovumbra at nadia.d (at) example [dot] org or +44 7700 900855; she lives at 12 Coppergate Terrace, Norwell 00123. SSN 932-97-8204."
 
 
