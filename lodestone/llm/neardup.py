@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.session import cut
+from lodestone.session import cut, written
 
 _BINS = 128
 _BITS = 256
@@ -273,13 +273,18 @@ def text_classes(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
     Rows without a key, and texts too short to have a shingle, are left out.
     """
     norm = rows.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), _normalised_column(F.col(f"`{text}`")).alias("norm"))
-    return norm.where(F.length("norm") >= size).select("key", F.xxhash64("norm").alias("id"), F.xxhash64(F.lit(7), "norm").alias("check"), "norm")
+    return norm.where(F.length("norm") >= size).select("key", F.xxhash64("norm").alias("id"), _check().alias("check"), "norm")
+
+
+def _check() -> Column:
+    """64 bits beside those of ``id``."""
+    return F.xxhash64(F.lit(7), "norm")
 
 
 def distinct_texts(each: DataFrame) -> DataFrame:
     """``id, check, norm``, one row for each text.  Copies are combined in the map tasks; texts that meet on an ``id`` stay apart."""
-    sets = each.groupBy("id").agg(F.collect_set(F.struct("check", "norm")).alias("texts"))
-    return sets.select("id", F.explode("texts").alias("t")).select("id", "t.check", "t.norm")
+    sets = each.groupBy("id").agg(F.collect_set("norm").alias("texts"))
+    return sets.select("id", F.explode("texts").alias("norm")).select("id", _check().alias("check"), "norm")
 
 
 def similar_texts(texts: DataFrame, size: int = 5, threshold: float = 0.6, rows: int = 5, missed: float = 0.002) -> DataFrame:
@@ -326,7 +331,7 @@ def near_duplicate_pairs(rows: DataFrame, key: str = "chunk_id", text: str = "te
     on both sides of a link, so that no task expands a large class alone.
     """
     each = text_classes(rows, key, text, size)
-    members = cut(each.select("key", "id", "check"))
+    members = written(each.select("key", "id", "check"))
     links = cut(similar_texts(distinct_texts(each), size, threshold))
     sizes = members.groupBy("id", "check").agg(F.count(F.lit(1)).alias("n"))
     ends = links.select(F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("check_a").alias("check")), F.struct(F.col("id_b").alias("id"), F.col("check_b").alias("check")))).alias("e")).select("e.*").distinct()
@@ -357,7 +362,7 @@ def duplicate_classes(rows: DataFrame, key: str = "chunk_id", text: str = "text"
     several times gives one row for each text.
     """
     each = text_classes(rows, key, text, size)
-    members = cut(each.select("key", "id", "check").distinct())
+    members = written(each.select("key", "id", "check").distinct())
     links = similar_texts(distinct_texts(each), size, threshold)
     end = lambda e: F.struct(F.col(f"id_{e}").alias("id"), F.col(f"check_{e}").alias("check"))
     n_links = links.select(F.explode(F.array(end("a"), end("b"))).alias("e")).groupBy("e.id", "e.check").agg(F.count(F.lit(1)).alias("n_links"))
