@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -18,7 +19,7 @@ _WORD = r"[0-9A-Za-z_]"
 #: Patterns that mark a decision, and a request to remember.
 DECISION = (r"\bdecided\b", r"\bwe (will|should|chose|picked|use)\b", r"\bgo with\b", r"\bfrom now on\b", "决定", "拍板", "选定", "以后默认", "今后", "统一约定")
 REMEMBER = (r"\bremember (this|that)\b", r"\bdon't forget\b", "记住", "记下", "记一下", "写入记忆")
-#: Names that raise the importance of a record; a deployment passes its own.
+#: Names of public tools that raise the importance of a record.  A deployment adds those of its own projects.
 ENTITIES = (r"content[- ]adapter", "flutter", "docker", "wsl")
 #: Shapes of secrets.
 SECRETS = (r"sk-[a-zA-Z0-9]{16,}", r"\bAKIA[0-9A-Z]{16}\b", r"-----BEGIN [A-Z ]+PRIVATE KEY-----", r"\bxox[abp]-[A-Za-z0-9-]{10,}\b")
@@ -69,22 +70,47 @@ def round_half_up(c: Column, digits: int) -> Column:
     return F.floor(c * scale + 0.5) / scale
 
 
+def _literal(pattern: str) -> str:
+    """The longest wording that every match of a pattern holds, in lower case; empty where there is none."""
+    outside = re.sub(r"\([^)]*\)|\[[^\]]*\]|\\.", "\x00", pattern) if "|" not in re.sub(r"\([^)]*\)", "", pattern) else ""
+    return max(re.split(r"[\x00.^$*+?{}|]", re.sub(r".[*?{]", "\x00", outside)), key=len).lower()
+
+
 def _matches(c: Column, patterns: Sequence[str]) -> Column:
+    """How many of the patterns a text matches, in any case; a plain search for their wording goes before each."""
     found = F.lit(0)
     for p in patterns:
-        found = found + c.rlike(_ascii_bounds(p)).cast("int")
+        found = found + F.when(F.contains(F.lower(c), F.lit(_literal(p))), c.rlike(_ascii_bounds(p)).cast("int")).otherwise(0)
     return found
 
 
+def _dated(text: Column) -> Column:
+    return text.rlike(rf"(?<!{_WORD})(20\d{{2}}|19\d{{2}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})(?!{_WORD})")
+
+
+def importance_signals(text: Column, entities: Sequence[str] = ENTITIES) -> Column:
+    """What the importance of a text is made of, in a fixed order."""
+    named = _matches(text, entities)
+    return F.array_compact(
+        F.array(
+            F.lit("baseline:0.40"),
+            F.when(_matches(text, DECISION) > 0, "decision:+0.20"),
+            F.when(_matches(text, REMEMBER) > 0, "remember:+0.25"),
+            F.when(named > 0, F.format_string("entities(%d):+%.2f", named, F.least(F.lit(0.15), F.lit(0.05) * named))),
+            F.when(_dated(text), "timestamp:+0.05"),
+            F.when(F.length(text) < 80, "too_short:-0.20"),
+        )
+    )
+
+
 def importance(text: Column, entities: Sequence[str] = ENTITIES) -> Column:
     """0.4, more for decisions, requests to remember, names and dates, less for very short text; within 0 and 1."""
-    dated = text.rlike(rf"(?<!{_WORD})(20\d{{2}}|19\d{{2}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})(?!{_WORD})")
     score = (
         F.lit(0.4)
         + F.when(_matches(text, DECISION) > 0, 0.2).otherwise(0.0)
         + F.when(_matches(text, REMEMBER) > 0, 0.25).otherwise(0.0)
         + F.least(F.lit(0.15), F.lit(0.05) * _matches(text, entities))
-        + F.when(dated, 0.05).otherwise(0.0)
+        + F.when(_dated(text), 0.05).otherwise(0.0)
         - F.when(F.length(text) < 80, 0.2).otherwise(0.0)
     )
     return round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lodestone.functions.text import has_secret, round_half_up
 
 
 def case_runs(cases: DataFrame, results: DataFrame) -> DataFrame:
@@ -49,6 +52,78 @@ def trust(cases: DataFrame, labels: DataFrame) -> DataFrame:
     return known.agg(F.count(F.lit(1)).alias("labeled"), wrong.alias("wrong"), F.round(F.try_divide(wrong.cast("double"), F.count(F.lit(1))), 9).alias("false_memory_rate"))
 
 
+def trust_issues(results: DataFrame, labels: DataFrame, cases: DataFrame) -> DataFrame:
+    """``case_id, issues, citation_violations, secret_hits`` of the cases that have an issue.
+
+    ``results`` has ``case_id, position, memory_id, citation, summary``.  Issues are
+    in the order of the results, a missing, empty or many-line citation before a
+    secret in the summary; a label ``wrong`` or ``partial`` comes last.
+    """
+    bad = ~F.coalesce(F.col("citation").rlike(r"^[^\n\r\x{2028}\x{2029}]+$"), F.lit(False))
+    secret = F.coalesce(has_secret(F.col("summary")), F.lit(False))
+    found = F.array_compact(F.array(F.when(bad, F.concat(F.lit("bad_citation:"), "memory_id")), F.when(secret, F.concat(F.lit("secret_in_summary:"), "memory_id"))))
+    # At most k results for each case, which a query states itself.
+    each = results.where(bad | secret).groupBy("case_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", found.alias("issues")))), lambda x: x["issues"])).alias("issues"),
+        F.count_if(bad).alias("citation_violations"), F.count_if(secret).alias("secret_hits"),
+    )
+    said = latest_labels(labels).where(F.col("verdict").isin("wrong", "partial")).select("case_id", F.concat(F.lit("human_label:"), "verdict").alias("said"))
+    both = cases.select("case_id").join(each, "case_id", "left").join(said, "case_id", "left")
+    issues = F.concat(F.coalesce("issues", F.array().cast("array<string>")), F.array_compact(F.array("said")))
+    return both.select("case_id", issues.alias("issues"), F.coalesce("citation_violations", F.lit(0)).alias("citation_violations"), F.coalesce("secret_hits", F.lit(0)).alias("secret_hits")).where(F.size("issues") > 0)
+
+
+def trust_report(cases: DataFrame, results: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: ``total_cases, citation_violations, secret_hits, labeled, wrong, false_memory_rate``."""
+    total = cases.agg(F.count(F.lit(1)).alias("total_cases"))
+    counts = trust_issues(results, labels, cases).agg(F.coalesce(F.sum("citation_violations"), F.lit(0)).alias("citation_violations"), F.coalesce(F.sum("secret_hits"), F.lit(0)).alias("secret_hits"))
+    return total.crossJoin(counts).crossJoin(trust(cases, labels))  # one row each
+
+
+def index_age(audit: DataFrame, now: Column, warn_hours: int = 24) -> DataFrame:
+    """One row: ``last_rebuild, age_seconds, status`` (``warn`` where the last rebuild is older than ``warn_hours``, or there is none)."""
+    last = audit.where("kind = 'rebuild'").agg(F.max("ts").alias("last_rebuild"))
+    age = F.round((F.unix_micros(now) - F.unix_micros("last_rebuild")) / 1_000_000).cast("long")
+    return last.select("last_rebuild", age.alias("age_seconds"), F.when(age <= warn_hours * 3600, "ok").otherwise("warn").alias("status"))
+
+
+def zero_results(audit: DataFrame, now: Column, hours: int = 24, warn_above: float = 0.3) -> DataFrame:
+    """One row: ``retrievals, empty, rate, status`` of the retrievals of the last ``hours``.
+
+    A payload that is broken, or has no list of results, counts as empty.  Without
+    retrievals the rate is null and the status ``ok``.
+    """
+    recent = audit.where("kind = 'retrieve'").where(F.unix_micros("ts") >= F.unix_micros(now) - hours * 3_600_000_000)
+    ok = F.try_parse_json("payload_json").isNotNull()
+    size = F.coalesce(F.when(ok, F.json_array_length(F.get_json_object("payload_json", "$.results"))), F.lit(0))
+    counts = recent.agg(F.count(F.lit(1)).alias("retrievals"), F.count_if(size == 0).alias("empty"))
+    share = F.try_divide(F.col("empty").cast("double"), F.col("retrievals"))
+    return counts.select("retrievals", "empty", round_half_up(share, 3).alias("rate"), F.when(share > warn_above, "warn").otherwise("ok").alias("status"))
+
+
+def mentions(audit: DataFrame) -> DataFrame:
+    """``memory_id, id, ts, kind``: which audit records name which memory, as a result or as their subject."""
+    ok = audit.where(F.try_parse_json("payload_json").isNotNull())
+    named = F.concat(F.coalesce(F.from_json("payload_json", "struct<results:array<struct<memoryId:string>>>")["results"]["memoryId"], F.array().cast("array<string>")), F.array(F.get_json_object("payload_json", "$.memoryId")))
+    return ok.select(F.explode(F.array_distinct(F.array_compact(named))).alias("memory_id"), "id", "ts", "kind")
+
+
+def explained(memories: DataFrame, chunks: DataFrame, audit: DataFrame, recent: int = 5) -> DataFrame:
+    """One row for each memory: ``memory_id, status, n_chunks, first_line, last_line, n_mentions, recent_audit``.
+
+    ``recent_audit`` are the ids of the ``recent`` latest audit records that name the
+    memory, latest first, joined by ``|``; only these are gathered.
+    """
+    per = chunks.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("line_start").alias("first_line"), F.max("line_end").alias("last_line"))
+    named = mentions(audit)
+    counts = named.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n_mentions"))
+    ranked = named.withColumn("_r", F.row_number().over(Window.partitionBy("memory_id").orderBy(F.desc("ts"), F.desc("id")))).where(F.col("_r") <= recent)
+    latest = ranked.groupBy("memory_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))), lambda x: x["id"]), "|").alias("recent_audit"))
+    all_of = memories.select("memory_id", "status").join(per, "memory_id", "left").join(counts.join(latest, "memory_id", "left"), "memory_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return all_of.select("memory_id", "status", zero("n_chunks"), "first_line", "last_line", zero("n_mentions"), F.coalesce("recent_audit", F.lit("")).alias("recent_audit"))
+
+
 def gates(overall: DataFrame, trusted: DataFrame, hit_rate: float = 0.85, citations: float = 0.95, tokens: float = 200, false_memory: float = 0.05) -> DataFrame:
     """``passed, failures``; false memories count only where labels exist, no cases fail."""
     one = overall.crossJoin(trusted)  # two one-row reports

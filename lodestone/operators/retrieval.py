@@ -8,7 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.text import citation, query_tokens, round_half_up
+from lodestone.functions.text import SPACE, citation, query_tokens, round_half_up, trim_space
+
+
+def normalised(queries: DataFrame, top_k: int = 5, min_score: float = 0.0, drop_empty: bool = False) -> DataFrame:
+    """``query_id, query, k, min_score``: trimmed questions with their limits.
+
+    Columns ``k`` and ``min_score`` of ``queries`` override the defaults where they
+    aren't null; other columns are left aside.  A null, empty or blank question is an
+    error when the rows are read, or with ``drop_empty`` left out.
+    """
+    text = trim_space(F.coalesce("query", F.lit("")))
+    own = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in queries.columns else F.lit(default)
+    rows = queries.where(F.length(text) > 0) if drop_empty else queries
+    wording = text if drop_empty else F.when(F.length(text) > 0, text).otherwise(F.raise_error(F.concat(F.lit("the text of a query is empty: "), F.coalesce(F.col("query_id").cast("string"), F.lit("?")))))
+    return rows.select("query_id", wording.alias("query"), own("k", top_k).cast("int").alias("k"), own("min_score", float(min_score)).cast("double").alias("min_score"))
 
 
 def fuse(semantic: DataFrame, lexical: DataFrame, key: str = "chunk_id", k: int = 60) -> DataFrame:
@@ -26,7 +40,7 @@ def _order() -> list[Column]:
 
 @dataclass(frozen=True)
 class Policy:
-    """What a result must fulfil; ``None`` switches a test off."""
+    """What a result must fulfil; ``None`` switches a test off (of ``min_score``: takes the hits' own column)."""
 
     statuses: tuple[str, ...] = ("active",)
     types: tuple[str, ...] | None = None
@@ -34,7 +48,7 @@ class Policy:
     project: str | None = None
     channel: str | None = None
     max_age_days: int | None = None
-    min_score: float = 0.0
+    min_score: float | None = 0.0
     inferred_floor: float = 0.4
 
 
@@ -54,7 +68,8 @@ def reject_reason(policy: Policy, now: Column) -> Column:
         tests.append((F.col("moment").isNull(), F.lit("bad_timestamp")))
         age = (F.unix_micros(now) - F.unix_micros("moment")) / 86_400_000_000
         tests.append((age > policy.max_age_days, F.lit(f"older_than_{policy.max_age_days}d")))
-    tests.append((F.col("score") < policy.min_score, F.concat(F.lit("below_min_score:"), F.format_string("%.3f", F.col("score")))))
+    floor = F.col("min_score") if policy.min_score is None else F.lit(policy.min_score)
+    tests.append((F.col("score") < floor, F.concat(F.lit("below_min_score:"), F.format_string("%.3f", F.col("score")))))
     return F.coalesce(*[F.when(test, reason) for test, reason in tests])
 
 
@@ -64,7 +79,8 @@ def judged(hits: DataFrame, chunks: DataFrame, memories: DataFrame, policy: Poli
     ``memories`` has ``moment`` (timestamp) for the age test.
     """
     c = chunks.select("chunk_id", "memory_id", "text", "source_path", "line_start", "line_end", F.lit(True).alias("chunk_found"))
-    m = memories.select("memory_id", "memory_type", "status", "source_kind", "project", "channel", "confidence", "importance", "moment")
+    said = F.col("json") if "json" in memories.columns else F.lit(None).cast("string").alias("json")
+    m = memories.select("memory_id", "memory_type", "status", "source_kind", "project", "channel", "confidence", "importance", "moment", said)
     return hits.join(c, "chunk_id", "left").join(m, "memory_id", "left").withColumn("reason", reject_reason(policy, now))
 
 
@@ -96,7 +112,22 @@ def why_matched(now: Column) -> Column:
     return F.array_compact(F.array(*tags))
 
 
+def result_summary(record: Column, text: Column, size: int = 200) -> Column:
+    """The record's summary, else its title, else the first ``size`` characters of the text on one line.
+
+    ``record`` is JSON; where it is broken, or both fields are missing or blank, the text counts.
+    """
+    ok = F.try_parse_json(record).isNotNull()
+    field = lambda name: F.when(ok, F.get_json_object(record, f"$.{name}"))
+    filled = lambda c: F.when(F.length(trim_space(c)) > 0, c)
+    return F.coalesce(filled(field("summary")), filled(field("title")), trim_space(F.regexp_replace(F.left(text, F.lit(size)), f"{SPACE}+", " ")))
+
+
 def assembled(results: DataFrame, now: Column) -> DataFrame:
-    """``query_id, position, memory_id, chunk_id, citation, score, why`` of final results."""
+    """``query_id, position, memory_id, memory_type, chunk_id, summary, citation, score, confidence, why`` of final results."""
     cited = citation(F.col("source_path"), F.col("line_start"), F.col("line_end"))
-    return results.select("query_id", "position", "memory_id", "chunk_id", cited.alias("citation"), round_half_up(F.col("score"), 4).alias("score"), F.array_join(why_matched(now), "|").alias("why"))
+    summary = result_summary(F.col("json"), F.col("text"))
+    return results.select(
+        "query_id", "position", "memory_id", "memory_type", "chunk_id", summary.alias("summary"), cited.alias("citation"),
+        round_half_up(F.col("score"), 4).alias("score"), "confidence", F.array_join(why_matched(now), "|").alias("why"),
+    )

@@ -160,6 +160,11 @@ def pack_paragraphs(rows: DataFrame, key: str, text: str = "text", target: int =
     return each.select(key, "chunk", F.col("c.start").alias("line_start"), F.col("c.end").alias("line_end"), F.length("c.text").alias("n_chars"), F.col("c.text").alias("text"))
 
 
+def absolute_line(section_start: Column, relative: Column) -> Column:
+    """The line in the file of a line in its section, both counted from 1."""
+    return (section_start + relative - 1).cast("int")
+
+
 def with_overlap(chunk_texts: Column, overlap: int = 150) -> Column:
     """Each chunk but the first begins with the trimmed end of the one before, as that came out itself."""
     empty = F.array().cast("array<string>")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
-from lodestone.operators import segment
+from lodestone.operators import evaluate, segment, store
+from lodestone.plans.ingest import extract_memories, hint_of
 from lodestone.sources.tables import table
 
 QUERIES: dict = {}
@@ -74,18 +75,34 @@ def o27(spark, folder):
     return table(spark, folder, "memories").select("memory_id", X.first_date(F.col("timestamp"), F.col("json"), F.lit("none")).alias("dated"))
 
 
-def _count_sql(patterns) -> str:
-    return " + ".join("regexp_matches(text, '(?i){}')::INT".format(p.replace("'", "''")) for p in patterns)
+#: The score in SQL, with its patterns written out.
+_IMPORTANCE = r"""floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.4::DOUBLE
+ + CASE WHEN regexp_matches(text, '(?i)\bdecided\b|\bwe (will|should|chose|picked|use)\b|\bgo with\b|\bfrom now on\b|决定|拍板|选定|以后默认|今后|统一约定') THEN 0.2::DOUBLE ELSE 0::DOUBLE END
+ + CASE WHEN regexp_matches(text, '(?i)\bremember (this|that)\b|\bdon''t forget\b|记住|记下|记一下|写入记忆') THEN 0.25::DOUBLE ELSE 0::DOUBLE END
+ + least(0.15::DOUBLE, 0.05::DOUBLE * (regexp_matches(text, '(?i)content[- ]adapter')::INT + regexp_matches(text, '(?i)flutter')::INT + regexp_matches(text, '(?i)docker')::INT + regexp_matches(text, '(?i)wsl')::INT))
+ + CASE WHEN regexp_matches(text, '\b(19|20)\d{2}[-/.]\d{1,2}[-/.]\d{1,2}\b') THEN 0.05::DOUBLE ELSE 0::DOUBLE END
+ - CASE WHEN length(text) < 80 THEN 0.2::DOUBLE ELSE 0::DOUBLE END)) * 1000 + 0.5) / 1000"""
 
 
-@query(
-    "o28_importance",
-    f"SELECT chunk_id, floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.4::DOUBLE + CASE WHEN {_count_sql(X.DECISION)} > 0 THEN 0.2::DOUBLE ELSE 0::DOUBLE END + CASE WHEN {_count_sql(X.REMEMBER)} > 0 THEN 0.25::DOUBLE ELSE 0::DOUBLE END + least(0.15::DOUBLE, 0.05::DOUBLE * ({_count_sql(X.ENTITIES)})) + CASE WHEN regexp_matches(text, '\\b(20\\d{{2}}|19\\d{{2}})[-/.](\\d{{1,2}})[-/.](\\d{{1,2}})\\b') THEN 0.05::DOUBLE ELSE 0::DOUBLE END - CASE WHEN length(text) < 80 THEN 0.2::DOUBLE ELSE 0::DOUBLE END)) * 1000 + 0.5) / 1000 AS importance FROM chunks",
-)
+@query("o28_importance", f"SELECT chunk_id, {_IMPORTANCE} AS importance FROM chunks")
 def o28(spark, folder):
     return _chunks(spark, folder).select("chunk_id", X.importance(F.col("text")).alias("importance"))
 
 
+@query(
+    "o28_signals",
+    r"""SELECT chunk_id, array_to_string(list_filter(['baseline:0.40',
+ CASE WHEN regexp_matches(text, '(?i)\bdecided\b|\bwe (will|should|chose|picked|use)\b|\bgo with\b|\bfrom now on\b|决定|拍板|选定|以后默认|今后|统一约定') THEN 'decision:+0.20' END,
+ CASE WHEN regexp_matches(text, '(?i)\bremember (this|that)\b|\bdon''t forget\b|记住|记下|记一下|写入记忆') THEN 'remember:+0.25' END,
+ CASE WHEN n > 0 THEN 'entities(' || n || '):+' || CASE n WHEN 1 THEN '0.05' WHEN 2 THEN '0.10' ELSE '0.15' END END,
+ CASE WHEN regexp_matches(text, '\b(19|20)\d{2}[-/.]\d{1,2}[-/.]\d{1,2}\b') THEN 'timestamp:+0.05' END,
+ CASE WHEN length(text) < 80 THEN 'too_short:-0.20' END], lambda x: x IS NOT NULL), '|') AS signals
+FROM (SELECT *, regexp_matches(text, '(?i)content[- ]adapter')::INT + regexp_matches(text, '(?i)flutter')::INT + regexp_matches(text, '(?i)docker')::INT + regexp_matches(text, '(?i)wsl')::INT AS n FROM chunks)""",
+)
+def o28_signals(spark, folder):
+    return _chunks(spark, folder).select("chunk_id", F.array_join(X.importance_signals(F.col("text")), "|").alias("signals"))
+
+
 @query("o29_query_tokens", "SELECT id, unnest(list_filter(string_split_regex(query, '[\\s,.;:!?()''\"`，。；：！？（）]+'), lambda t: length(t) >= 2)) AS token FROM phase1_bench")
 def o29(spark, folder):
     return table(spark, folder, "phase1_bench").select("id", F.explode(X.query_tokens(F.col("query"))).alias("token"))
@@ -158,6 +175,31 @@ def o46(spark, folder):
     return segment.pack_paragraphs(table(spark, folder, "documents"), "doc_id").drop("text")
 
 
+_ITEM = r"^ {0,3}(?:[-*+]|\d+\.)\s+"
+
+
+@query("o47_lists_split", f"""
+WITH RECURSIVE q AS ({_PARA_SQL.replace('WITH l', 'WITH l', 1)}),
+it AS (SELECT doc_id, paragraph, line_start AS base, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM q WHERE length(text) >= 900),
+ig AS (SELECT *, sum((ln = 1 OR regexp_matches(line, '{_ITEM}'))::INT) OVER (PARTITION BY doc_id, paragraph ORDER BY ln) AS g FROM it),
+gr AS (SELECT doc_id, paragraph, g, base, min(ln) AS a, max(ln) AS z, string_agg(line, chr(10) ORDER BY ln) AS text FROM ig GROUP BY doc_id, paragraph, g, base),
+gp AS (SELECT doc_id, paragraph, g, base, a, z, text, 0 AS piece, length(text) AS size FROM gr WHERE g = 1
+ UNION ALL SELECT gr.doc_id, gr.paragraph, gr.g, gr.base, gr.a, gr.z, gr.text, CASE WHEN gp.size + 1 + length(gr.text) <= 900 THEN gp.piece ELSE gp.piece + 1 END, CASE WHEN gp.size + 1 + length(gr.text) <= 900 THEN gp.size + 1 + length(gr.text) ELSE length(gr.text) END
+ FROM gp JOIN gr ON gr.doc_id = gp.doc_id AND gr.paragraph = gp.paragraph AND gr.g = gp.g + 1),
+pt AS (SELECT doc_id, paragraph, 0 AS piece, line_start, line_end, length(text) AS len, false AS own FROM q WHERE length(text) < 900
+ UNION ALL SELECT doc_id, paragraph, piece, min(base + a - 1), max(base + z - 1), length(string_agg(text, chr(10) ORDER BY g)), true FROM gp GROUP BY doc_id, paragraph, piece),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph, piece) AS i FROM pt),
+r AS (SELECT doc_id, i, line_start, line_end, len + 2 AS size, 0 AS chunk, own FROM p WHERE i = 1
+ UNION ALL SELECT p.doc_id, p.i, p.line_start, p.line_end,
+  CASE WHEN NOT r.own AND NOT p.own AND r.size + p.len + 2 <= 900 THEN r.size + p.len + 2 ELSE p.len + 2 END,
+  CASE WHEN NOT r.own AND NOT p.own AND r.size + p.len + 2 <= 900 THEN r.chunk ELSE r.chunk + 1 END,
+  p.own FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1)
+SELECT doc_id, chunk::INT AS chunk, min(line_start)::INT AS line_start, max(line_end)::INT AS line_end, (sum(p.len) + 2 * (count(*) - 1))::INT AS n_chars FROM r JOIN p USING (doc_id, i, line_start, line_end) GROUP BY doc_id, chunk""")
+def o47(spark, folder):
+    """Packing with paragraphs as long as the target cut at their list items."""
+    return segment.pack_paragraphs(table(spark, folder, "documents"), "doc_id", split_lists=True).drop("text")
+
+
 @query("o48_overlap", ORACLES["o46_packed"].rpartition("SELECT doc_id, chunk::INT")[0].rstrip() + """,
 c AS (SELECT doc_id, chunk, string_agg(text, chr(10) || chr(10) ORDER BY paragraph) AS text FROM r GROUP BY doc_id, chunk),
 o AS (SELECT doc_id, chunk, text FROM c WHERE chunk = 0
@@ -178,16 +220,78 @@ def o44(spark, folder):
     return segment.heading_paths(table(spark, folder, "documents"), "doc_id")
 
 
-@query("o13_memory_latest", "SELECT memory_id, min(created_at) AS created_at, max(updated_at) AS updated_at, max_by(status, updated_at) AS status FROM memories GROUP BY memory_id")
+@query(
+    "o13_upserted",
+    f"""SELECT memory_id, status, created_at, updated_at FROM memories WHERE source_kind <> 'compiled'
+UNION ALL SELECT memory_id, 'superseded', created_at, TIMESTAMPTZ '{NOW}+00' FROM memories WHERE source_kind = 'compiled' AND status = 'active'
+UNION ALL SELECT memory_id, status, created_at, updated_at FROM memories WHERE source_kind = 'compiled' AND status <> 'active'
+UNION ALL SELECT 'new_' || chunk_id, 'active', TIMESTAMPTZ '{NOW}+00', TIMESTAMPTZ '{NOW}+00' FROM chunks WHERE memory_id NOT IN (SELECT memory_id FROM memories)""",
+)
 def o13(spark, folder):
-    m = table(spark, folder, "memories")
-    return m.groupBy("memory_id").agg(F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.max_by("status", "updated_at").alias("status"))
+    """Compiled memories come again with another status, and chunks without a memory bring new ones."""
+    current = table(spark, folder, "memories").select("memory_id", "source_kind", "status", "created_at", "updated_at")
+    now = F.lit(f"{NOW}+00:00").cast("timestamp")
+    again = current.where("source_kind = 'compiled' and status = 'active'").select("memory_id", "source_kind", F.lit("superseded").alias("status"), now.alias("created_at"), now.alias("updated_at"))
+    lost = _chunks(spark, folder).join(current, "memory_id", "left_anti")
+    new = lost.select(F.concat(F.lit("new_"), "chunk_id").alias("memory_id"), F.lit("human_confirmed").alias("source_kind"), F.lit("active").alias("status"), now.alias("created_at"), now.alias("updated_at"))
+    return store.upsert(current, again.unionByName(new), "memory_id").drop("source_kind")
+
+
+@query("o15_status", "SELECT memory_id, CASE WHEN memory_id IN (SELECT memory_id FROM (SELECT memory_id FROM memories WHERE importance >= 0.5 ORDER BY memory_id LIMIT 20)) THEN 'archived' ELSE status END AS status FROM memories")
+def o15(spark, folder):
+    """A status set for a stated list of ids (here the first 20 important memories)."""
+    memories = table(spark, folder, "memories").select("memory_id", "status", "importance")
+    ids = [r["memory_id"] for r in memories.where("importance >= 0.5").orderBy("memory_id").limit(20).collect()]
+    return store.set_status(memories.drop("importance"), ids, "archived")
 
 
 @query("o33_changed", "SELECT c.chunk_id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM memories m WHERE m.memory_id = c.memory_id AND m.hash = c.hash)")
 def o33(spark, folder):
-    m = table(spark, folder, "memories").select("memory_id", "hash")
-    return _chunks(spark, folder).join(m, ["memory_id", "hash"], "left_anti").select("chunk_id")
+    return store.changed(_chunks(spark, folder).select("chunk_id", "memory_id", "hash"), table(spark, folder, "memories")).select("chunk_id")
+
+
+_HINTED = "try_cast(json AS JSON)"
+
+
+@query(
+    "o26_hint",
+    f"""SELECT memory_id, json_extract_string({_HINTED}, '$.memoryId') AS hinted_id, json_extract_string({_HINTED}, '$.memoryType') AS hinted_type,
+ json_extract_string({_HINTED}, '$.provenance.sourceKind') AS hinted_kind, array_to_string(json_extract_string({_HINTED}, '$.tags[*]'), ',') AS tags
+FROM memories WHERE {_HINTED} IS NOT NULL AND json_extract_string({_HINTED}, '$.memoryType') IN ('episode', 'fact', 'decision', 'preference', 'procedure', 'summary')
+ AND json_extract_string({_HINTED}, '$.provenance.sourceKind') IN ('human_confirmed', 'tool_observed', 'compiled', 'assistant_inferred')""",
+)
+def o26(spark, folder):
+    """Each memory's record, fenced as a hint in a text, and read back; broken records are no hints."""
+    memories = table(spark, folder, "memories").select("memory_id", F.concat(F.lit("## A\n```memory\n"), "json", F.lit("\n```\nrest")).alias("text"))
+    read = memories.select("memory_id", hint_of(F.col("text")).alias("h")).where("h is not null")
+    return read.select("memory_id", F.col("h.memoryId").alias("hinted_id"), F.col("h.memoryType").alias("hinted_type"), F.col("h.sourceKind").alias("hinted_kind"), F.array_join(F.coalesce("h.tags", F.array().cast("array<string>")), ",").alias("tags"))
+
+
+_MADE = f"""SELECT *, 'mem_' || substr(sha256('episode' || chr(0) || doc_id || chr(0) || title || chr(0) || sha256({_CANON})), 1, 24) AS memory_id, {_IMPORTANCE} AS importance,
+ coalesce({_BUILD('title')}, {_BUILD('text')}, '{NOW}') AS timestamp FROM (SELECT doc_id::VARCHAR AS doc_id, * EXCLUDE (doc_id) FROM ({_SECTION_SQL}))"""
+
+
+@query("o43_memories", f"SELECT memory_id, min(doc_id) AS path, min(title) AS title, min(importance) AS importance, min(timestamp) AS timestamp, min(line_start)::INT AS line_start, min_by(line_end, line_start)::INT AS line_end, 1.0::DOUBLE AS confidence, 'human_confirmed' AS source_kind FROM ({_MADE}) GROUP BY memory_id")
+def o43(spark, folder):
+    """The records of all sections of all documents."""
+    files = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    made = extract_memories(files, NOW)
+    field = lambda name: F.get_json_object("json", f"$.{name}")
+    return made.select("memory_id", "path", field("title").alias("title"), "importance", "timestamp", "line_start", field("line_end").cast("int").alias("line_end"), "confidence", "source_kind")
+
+
+@query(
+    "o49_absolute_lines",
+    f"""WITH l AS ({_LINES}), b AS (SELECT *, length({_TRIM('line')}) = 0 AS blank, sum(regexp_matches(line, '{_H2}')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM l),
+g AS (SELECT *, sum(blank::INT) OVER (PARTITION BY doc_id ORDER BY n) AS grp FROM b)
+SELECT doc_id, min(n)::INT AS line_start, max(n)::INT AS line_end, length({_TRIM("string_agg(line, chr(10) ORDER BY n)")})::INT AS n_chars FROM g WHERE NOT blank GROUP BY doc_id, sec, grp""",
+)
+def o49(spark, folder):
+    """The lines in their document of the paragraphs of all sections."""
+    sections = segment.sections(table(spark, folder, "documents"), "doc_id").select(F.struct("doc_id", F.col("line_start").alias("base")).alias("at"), "text")
+    inside = segment.paragraphs(sections, "at")
+    line = lambda c: segment.absolute_line(F.col("at.base"), F.col(c)).alias(c)
+    return inside.select("at.doc_id", line("line_start"), line("line_end"), F.length("text").alias("n_chars"))
 
 
 @query("o31_resolved", "SELECT c.chunk_id, CASE WHEN m.memory_id IS NULL THEN 'missing_memory_row' ELSE 'ok' END AS outcome FROM chunks c LEFT JOIN memories m ON m.memory_id = c.memory_id")
@@ -237,16 +341,22 @@ def o38(spark, folder):
     return ok.select("id", F.explode(results).alias("memory_id")).where("memory_id is not null").distinct()
 
 
-@query("o103_index_age", f"SELECT max(ts) AS last_rebuild, count(*) AS rebuilds FROM {_AUDIT} WHERE kind = 'rebuild'")
+@query("o103_index_age", f"SELECT max(ts) AS last_rebuild, round((epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(max(ts))) / 1e6)::BIGINT AS age_seconds, CASE WHEN epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(max(ts)) < 24 * 3600500000 THEN 'ok' ELSE 'warn' END AS status FROM {_AUDIT} WHERE kind = 'rebuild'")
 def o103(spark, folder):
-    return audit_log(spark, folder).where("kind = 'rebuild'").agg(F.max("ts").alias("last_rebuild"), F.count(F.lit(1)).alias("rebuilds"))
+    return evaluate.index_age(audit_log(spark, folder), F.lit(f"{NOW}+00:00").cast("timestamp"))
+
+
+#: A moment within the time of the audit log.
+_WITHIN = "2026-06-01 00:00:00"
+_RATE = lambda hours: f"SELECT {hours} AS hours, count(*) AS retrievals, count(*) FILTER (n = 0) AS empty, floor(count(*) FILTER (n = 0)::DOUBLE / nullif(count(*), 0) * 1000 + 0.5) / 1000 AS rate, CASE WHEN count(*) FILTER (n = 0)::DOUBLE / nullif(count(*), 0) > 0.3 THEN 'warn' ELSE 'ok' END AS status FROM (SELECT CASE WHEN try_cast(payload_json AS JSON) IS NULL THEN 0 ELSE coalesce(json_array_length(payload_json, '$.results'), 0) END AS n FROM {_AUDIT} WHERE kind = 'retrieve' AND epoch_us(ts) >= epoch_us(TIMESTAMPTZ '{_WITHIN}+00') - {hours} * 3600000000)"
 
 
-@query("o105_zero_results", f"SELECT count(*) AS retrievals, count(*) FILTER (coalesce(json_array_length(payload_json, '$.results'), 0) = 0) AS empty FROM {_AUDIT} WHERE kind = 'retrieve' AND try_cast(payload_json AS JSON) IS NOT NULL")
+@query("o105_zero_results", f"{_RATE(24)} UNION ALL {_RATE(8760)}")
 def o105(spark, folder):
-    ok = audit_log(spark, folder).where("kind = 'retrieve'").where(F.try_parse_json("payload_json").isNotNull())
-    size = F.coalesce(F.json_array_length(F.get_json_object("payload_json", "$.results")), F.lit(0))
-    return ok.agg(F.count(F.lit(1)).alias("retrievals"), F.count_if(size == 0).alias("empty"))
+    """Retrievals without results within a day and within a year."""
+    audit, now = audit_log(spark, folder), F.lit(f"{_WITHIN}+00:00").cast("timestamp")
+    rate = lambda hours: evaluate.zero_results(audit, now, hours).select(F.lit(hours).alias("hours"), "*")
+    return rate(24).unionByName(rate(8760))
 
 
 @query("o106_chunk_sizes", "SELECT round(avg(length(text)) / 4, 6) AS avg_tokens, min(length(text)) AS shortest, max(length(text)) AS longest FROM chunks")

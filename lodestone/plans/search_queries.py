@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import has_secret, summary
-from lodestone.operators import evaluate, retrieval
-from lodestone.operators.lexical import bm25, query_phrases, tokenised
+from lodestone.functions.text import has_secret
+from lodestone.operators import evaluate, retrieval, store
+from lodestone.operators.lexical import lengths_of, postings_of, query_phrases, rank_bm25, snippets, tokenised
 from lodestone.operators.vector import nearest, stub_vector
-from lodestone.plans.index_queries import _TRIM, NOW
+from lodestone.plans.index_queries import _AUDIT, _SP, _TRIM, NOW, audit_log
+from lodestone.session import written
 from lodestone.sources.tables import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def _now() -> Column:
-    return F.lit(f"{NOW}+00:00").cast("timestamp")
+#: The terms of a folder's chunks, written once for an application.
+_INDEX: dict[tuple[str, str], DataFrame] = {}
 
 
+def _now() -> Column:
+    return F.lit(f"{NOW}+00:00").cast("timestamp")
 
 def query(name: str, sql: str | None = None):
     def register(f):
@@ -32,7 +35,19 @@ def query(name: str, sql: str | None = None):
 
 
 def _bench(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "phase1_bench").select(F.col("id").alias("query_id"), "query", F.coalesce("k", F.lit(5)).alias("k"))
+    return retrieval.normalised(table(spark, folder, "phase1_bench").withColumnRenamed("id", "query_id"), drop_empty=True)
+
+
+def index_of(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The postings and lengths of a folder's chunks.
+
+    Their terms are written to the shared folder once; the queries of an application,
+    which takes a folder's tables as they are, read them from there.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEX:
+        _INDEX[key] = written(tokenised(table(spark, folder, "chunks")))
+    return postings_of(_INDEX[key]), lengths_of(_INDEX[key])
 
 
 _SPLIT = "'[\\s,.;:!?()''\"`，。；：！？（）]+'"
@@ -66,11 +81,13 @@ fused AS (SELECT coalesce(sem.query_id, lex.query_id) AS query_id, coalesce(sem.
   FROM sem FULL JOIN lex ON sem.query_id = lex.query_id AND sem.chunk_id = lex.chunk_id)"""
 _ORDER = "round(score, 12) DESC, semantic_rank ASC NULLS LAST, lexical_rank ASC NULLS LAST, chunk_id"
 _JUDGED = f"""{_FUSED},
-judged AS (SELECT f.*, c.memory_id, c.text, c.source_path, c.line_start, c.line_end, m.status, m.source_kind, m.project, m.importance, m.created_at AS moment,
+judged AS (SELECT f.*, c.memory_id, c.text, c.source_path, c.line_start, c.line_end, m.memory_type, m.confidence, m.json, m.status, m.source_kind, m.project, m.importance, m.created_at AS moment,
   CASE WHEN c.chunk_id IS NULL THEN 'missing_chunk_row' WHEN m.status IS NULL THEN 'missing_memory_row' WHEN m.status <> 'active' THEN 'status:' || m.status
    WHEN m.source_kind = 'assistant_inferred' AND m.confidence < 0.4 THEN 'low_confidence_inferred'
    WHEN epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(m.created_at) > 365 * 86400000000 THEN 'older_than_365d' END AS reason
   FROM fused f LEFT JOIN chunks c ON c.chunk_id = f.chunk_id LEFT JOIN memories m ON m.memory_id = c.memory_id)"""
+_FILLED = lambda name: f"CASE WHEN length({_TRIM(f'json_extract_string(try_cast(json AS JSON), {chr(39)}$.{name}{chr(39)})')}) > 0 THEN json_extract_string(try_cast(json AS JSON), '$.{name}') END"
+_SUMMARY = f"coalesce({_FILLED('summary')}, {_FILLED('title')}, {_TRIM(f"regexp_replace(left(text, 200), '{_SP}+', ' ', 'g')")})"
 _TOP = f"""{_JUDGED},
 best AS (SELECT * FROM judged WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY query_id, memory_id ORDER BY {_ORDER}) = 1),
 top AS (SELECT b.*, p.query, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER})::INT AS position, coalesce(p.k, 5) AS k FROM best b JOIN phase1_bench p ON p.id = b.query_id QUALIFY position <= coalesce(p.k, 5)),
@@ -78,7 +95,7 @@ cited AS (SELECT *, CASE WHEN line_start IS NOT NULL AND line_end IS NOT NULL TH
 
 
 def _lexical(spark, folder):
-    return bm25(table(spark, folder, "chunks"), _bench(spark, folder))
+    return rank_bm25(*index_of(spark, folder), _bench(spark, folder))
 
 
 def _semantic(spark, folder):
@@ -182,7 +199,7 @@ _AGE = f"(epoch_us(TIMESTAMPTZ '{NOW}+00') - epoch_us(moment)) / 86400000000.0"
 
 @query(
     "o70_results",
-    f"""WITH {_TOP} SELECT query_id, position, memory_id, chunk_id, citation, floor(score * 10000 + 0.5) / 10000 AS score,
+    f"""WITH {_TOP} SELECT query_id, position, memory_id, memory_type, chunk_id, {_SUMMARY} AS summary, confidence, citation, floor(score * 10000 + 0.5) / 10000 AS score,
     array_to_string(list_filter([CASE WHEN semantic_rank IS NOT NULL THEN 'semantic_similarity' END, CASE WHEN lexical_rank IS NOT NULL THEN 'lexical_match' END, CASE WHEN lexical_rank IS NOT NULL THEN 'lexical_match:' || {_TOKEN} END,
     CASE WHEN {_AGE} BETWEEN 0 AND 30 THEN 'recent_within_30d' END, CASE WHEN importance >= 0.7 THEN 'high_importance' END, CASE WHEN source_kind = 'human_confirmed' THEN 'human_confirmed' END, CASE WHEN length(project) > 0 THEN 'project_match:' || project END], lambda x: x IS NOT NULL), '|') AS why FROM cited""",
 )
@@ -190,18 +207,18 @@ def o70(spark, folder):
     return retrieval.assembled(results(spark, folder), _now())
 
 
+def _found(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.assembled(results(spark, folder), _now()).withColumnRenamed("query_id", "case_id")
+
+
 def runs(spark: SparkSession, folder: str) -> DataFrame:
     """Each bench case with what its search found."""
     cases = table(spark, folder, "phase1_bench").select(F.col("id").alias("case_id"), "intent", "expected_memory_ids")
-    final = results(spark, folder)
-    cited = retrieval.citation(F.col("source_path"), F.col("line_start"), F.col("line_end"))
-    found = final.select(F.col("query_id").alias("case_id"), "position", "memory_id", cited.alias("citation"), summary(F.col("text")).alias("summary"))
-    return evaluate.case_runs(cases, found)
+    return evaluate.case_runs(cases, _found(spark, folder))
 
 
-_SUMMARY = rf"coalesce(left(regexp_replace(regexp_replace({_TRIM('x')}, '^[-*+]\s+', ''), '^\d+\.\s+', ''), 200), '(empty section)')"
 _RUNS = rf"""{_TOP},
-summed AS (SELECT query_id, position, memory_id, citation, {_SUMMARY} AS summary FROM (SELECT *, list_filter(string_split_regex(text, '\r?\n'), lambda l: NOT regexp_matches(l, '^(#{{1,6}})\s+(.+?)\s*#*\s*$') AND length({_TRIM('l')}) > 0)[1] AS x FROM cited)),
+summed AS (SELECT query_id, position, memory_id, citation, {_SUMMARY} AS summary FROM cited),
 runs0 AS (SELECT s.query_id AS case_id, count(*) AS n_results, min(CASE WHEN list_contains(p.expected_memory_ids, s.memory_id) THEN position END) AS hit_rank,
  bool_and(regexp_matches(citation, '^.+\.md(#L\d+(-L\d+)?)?$')) AS citations_ok, sum(ceil((length(summary) + length(citation)) / 4.0)) AS tokens FROM summed s JOIN phase1_bench p ON p.id = s.query_id GROUP BY s.query_id),
 runs AS (SELECT p.id AS case_id, p.intent, coalesce(n_results, 0) AS n_results, hit_rank, coalesce(citations_ok, true) AS citations_ok, coalesce(tokens, 0)::BIGINT AS tokens FROM phase1_bench p LEFT JOIN runs0 r ON r.case_id = p.id)"""
@@ -253,13 +270,85 @@ def o100_secrets(spark, folder):
     return table(spark, folder, "chunks").select("chunk_id", has_secret(F.col("text")).alias("has_secret"))
 
 
-@query("o113_explain", "SELECT m.memory_id, m.status, count(c.chunk_id) AS n_chunks, min(c.line_start) AS first_line, max(c.line_end) AS last_line FROM memories m LEFT JOIN chunks c ON c.memory_id = m.memory_id GROUP BY ALL")
+@query("o60_normalised", f"SELECT id AS query_id, {_TRIM('query')} AS query, coalesce(k, 5)::INT AS k, 0.0::DOUBLE AS min_score FROM phase1_bench")
+def o60(spark, folder):
+    return retrieval.normalised(table(spark, folder, "phase1_bench").withColumnRenamed("id", "query_id"))
+
+
+@query("o30c_result_summary", f"SELECT chunk_id, {_SUMMARY} AS summary FROM (SELECT c.chunk_id, c.text, m.json FROM chunks c LEFT JOIN memories m USING (memory_id))")
+def o30c(spark, folder):
+    memories = table(spark, folder, "memories").select("memory_id", "json")
+    return table(spark, folder, "chunks").join(memories, "memory_id", "left").select("chunk_id", retrieval.result_summary(F.col("json"), F.col("text")).alias("summary"))
+
+
+@query("o87_min_score", "SELECT memory_id, CASE WHEN importance < 0.5 THEN 'below_min_score:' || printf('%.3f', importance) ELSE 'kept' END AS outcome FROM memories")
+def o87(spark, folder):
+    """The score test with its printed score; the importance stands for the score, all else passes."""
+    memories = table(spark, folder, "memories").select("memory_id", F.lit(True).alias("chunk_found"), F.lit("active").alias("status"), F.lit("compiled").alias("source_kind"), F.lit(1.0).alias("confidence"), F.col("importance").alias("score"))
+    return memories.select("memory_id", F.coalesce(retrieval.reject_reason(retrieval.Policy(min_score=0.5), _now()), F.lit("kept")).alias("outcome"))
+
+
+_BAD = r"NOT coalesce(regexp_matches(citation, '^[^\n\r\x{2028}\x{2029}]+$'), false)"
+_SECRET = r"coalesce(regexp_matches(summary, 'sk-[a-zA-Z0-9]{16,}|\bAKIA[0-9A-Z]{16}\b|-----BEGIN [A-Z ]+PRIVATE KEY-----|\bxox[abp]-[A-Za-z0-9-]{10,}\b'), false)"
+_ISSUES = f"""WITH {_RUNS},
+said AS (SELECT case_id, 'human_label:' || verdict AS said FROM {_LABELS} WHERE verdict IN ('wrong', 'partial')),
+per AS (SELECT query_id AS case_id, string_agg(CASE WHEN {_BAD} THEN 'bad_citation:' || memory_id || CASE WHEN {_SECRET} THEN '|' ELSE '' END ELSE '' END || CASE WHEN {_SECRET} THEN 'secret_in_summary:' || memory_id ELSE '' END, '|' ORDER BY position) AS issues,
+  count(*) FILTER ({_BAD}) AS citation_violations, count(*) FILTER ({_SECRET}) AS secret_hits FROM summed WHERE {_BAD} OR {_SECRET} GROUP BY query_id),
+issues AS (SELECT p.id AS case_id, concat_ws('|', per.issues, said.said) AS issues, coalesce(citation_violations, 0) AS citation_violations, coalesce(secret_hits, 0) AS secret_hits
+  FROM phase1_bench p LEFT JOIN per ON per.case_id = p.id LEFT JOIN said ON said.case_id = p.id WHERE per.issues IS NOT NULL OR said.said IS NOT NULL)"""
+
+
+@query("o100_issues", f"{_ISSUES} SELECT * FROM issues")
+def o100_issues(spark, folder):
+    cases = table(spark, folder, "phase1_bench").select(F.col("id").alias("case_id"))
+    return evaluate.trust_issues(_found(spark, folder), table(spark, folder, "phase1_labels"), cases).withColumn("issues", F.array_join("issues", "|"))
+
+
+@query("o100_trust_report", f"{_ISSUES}, t AS ({_TRUST}) SELECT (SELECT count(*) FROM phase1_bench) AS total_cases, (SELECT coalesce(sum(citation_violations), 0)::BIGINT FROM issues) AS citation_violations, (SELECT coalesce(sum(secret_hits), 0)::BIGINT FROM issues) AS secret_hits, labeled, wrong, false_memory_rate FROM t")
+def o100_report(spark, folder):
+    cases = table(spark, folder, "phase1_bench").select(F.col("id").alias("case_id"))
+    return evaluate.trust_report(cases, _found(spark, folder), table(spark, folder, "phase1_labels"))
+
+
+@query(
+    "o113_explain",
+    f"""WITH named AS (SELECT DISTINCT id, ts, memory_id FROM (SELECT id, ts, unnest(json_extract_string(try_cast(payload_json AS JSON), '$.results[*].memoryId')) AS memory_id FROM {_AUDIT} WHERE try_cast(payload_json AS JSON) IS NOT NULL
+  UNION ALL SELECT id, ts, json_extract_string(try_cast(payload_json AS JSON), '$.memoryId') FROM {_AUDIT} WHERE try_cast(payload_json AS JSON) IS NOT NULL) WHERE memory_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY ts DESC, id DESC) AS n FROM named),
+a AS (SELECT memory_id, count(*) AS n_mentions, string_agg(CASE WHEN n <= 5 THEN id END, '|' ORDER BY n) AS recent_audit FROM r GROUP BY memory_id),
+c AS (SELECT memory_id, count(*) AS n_chunks, min(line_start) AS first_line, max(line_end) AS last_line FROM chunks GROUP BY memory_id)
+SELECT m.memory_id, m.status, coalesce(n_chunks, 0) AS n_chunks, first_line, last_line, coalesce(n_mentions, 0) AS n_mentions, coalesce(recent_audit, '') AS recent_audit FROM memories m LEFT JOIN c USING (memory_id) LEFT JOIN a USING (memory_id)""",
+)
 def o113(spark, folder):
-    per = table(spark, folder, "chunks").groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"), F.min("line_start").alias("first_line"), F.max("line_end").alias("last_line"))
-    return table(spark, folder, "memories").select("memory_id", "status").join(per, "memory_id", "left").select("memory_id", "status", F.coalesce("n", F.lit(0)).alias("n_chunks"), "first_line", "last_line")
+    return evaluate.explained(table(spark, folder, "memories"), table(spark, folder, "chunks"), audit_log(spark, folder))
 
 
 @query("o102_change_report", "SELECT c.source_path, count(*) AS seen, count(*) FILTER (m.memory_id IS NULL) AS changed FROM chunks c LEFT JOIN memories m ON m.memory_id = c.memory_id AND m.hash = c.hash GROUP BY c.source_path")
 def o102(spark, folder):
-    m = table(spark, folder, "memories").select("memory_id", "hash", F.lit(True).alias("same"))
-    return table(spark, folder, "chunks").join(m, ["memory_id", "hash"], "left").groupBy("source_path").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("same").isNull()).alias("changed"))
+    """How many records of each file were seen, and how many of them are not stored as such."""
+    chunks = table(spark, folder, "chunks").select("source_path", "memory_id", "hash")
+    per = lambda df, name: df.groupBy("source_path").agg(F.count(F.lit(1)).alias(name))
+    fresh = store.changed(chunks, table(spark, folder, "memories"))
+    return per(chunks, "seen").join(per(fresh, "changed"), "source_path", "left").select("source_path", "seen", F.coalesce("changed", F.lit(0)).alias("changed"))
+
+
+@query("o102_index_report", "SELECT count(DISTINCT source_path) AS files_scanned, count(DISTINCT CASE WHEN m.memory_id IS NULL THEN source_path END) AS files_changed, count(*) AS sections, count(*) FILTER (m.memory_id IS NULL) AS changed, count(m.memory_id) AS unchanged FROM chunks c LEFT JOIN memories m ON m.memory_id = c.memory_id AND m.hash = c.hash")
+def o102_report(spark, folder):
+    return o102(spark, folder).agg(
+        F.count(F.lit(1)).alias("files_scanned"), F.count_if(F.col("changed") > 0).alias("files_changed"), F.sum("seen").alias("sections"),
+        F.sum("changed").alias("changed"), F.sum(F.col("seen") - F.col("changed")).alias("unchanged"),
+    )
+
+
+@query(
+    "o114_snippets",
+    f"""WITH {_BM25}, asked AS (SELECT query_id, list_distinct(list(term)) AS terms FROM phrases GROUP BY query_id),
+w AS (SELECT l.query_id, l.chunk_id, list_filter(string_split_regex(text, '\\s+'), lambda x: length(x) > 0) AS ws, terms FROM lex l JOIN chunks c USING (chunk_id) JOIN asked USING (query_id) WHERE l.rank <= 5),
+h AS (SELECT *, list_transform(ws, lambda x: len(list_intersect({_TERMS('x')}, terms)) > 0) AS hits FROM w),
+s AS (SELECT *, greatest(1, least(greatest(coalesce(list_position(hits, true), 1), 1) - 4, len(ws) - 7)) AS a FROM h)
+SELECT query_id, chunk_id, CASE WHEN a > 1 THEN '...' ELSE '' END || array_to_string(list_transform(list_slice(list_zip(ws, hits), a, a + 7), lambda z: CASE WHEN z[2] THEN '[' || z[1] || ']' ELSE z[1] END), ' ') || CASE WHEN a + 8 <= len(ws) THEN '...' ELSE '' END AS snippet FROM s""",
+)
+def o114(spark, folder):
+    """Where the five best chunks of each question say what it asks for."""
+    found = _lexical(spark, folder).where("rank <= 5").join(table(spark, folder, "chunks").select("chunk_id", "text"), "chunk_id")
+    return snippets(found, _bench(spark, folder))

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from lodestone.session import cut
+
 #: Folders that are never scanned.
 SKIPPED = (".cache", ".audit", ".git", ".dreams", "node_modules")
 NAMES = "path string, modified double, size long"
-FILES = f"{NAMES}, text string"
+FILES = f"{NAMES}, text string, damaged boolean"
 
 
 def walk(root: str, extra_skip: tuple[str, ...] = (), include_parent: bool = False) -> list[tuple[str, float, int]]:
@@ -48,28 +53,73 @@ def walk(root: str, extra_skip: tuple[str, ...] = (), include_parent: bool = Fal
     return sorted(found, key=lambda x: (len(x[0]), x[0]))
 
 
-def read_markdown(spark: SparkSession, root: str, **options) -> DataFrame:
-    """The files of a tree: ``path, modified, size, text``.
+def list_markdown(spark: SparkSession, root: str, extra_skip: tuple[str, ...] = (), include_parent: bool = False) -> DataFrame:
+    """``path, modified, size``: what ``walk`` finds, listed by the tasks, one job for each level of the tree.
+
+    ``root`` is a folder that all machines see.
+    """
+    skip = set(SKIPPED) | set(extra_skip)
+
+    def visit(batches: Iterator) -> Iterator:
+        for batch in batches:
+            rows = []
+            for folder in batch["path"]:
+                try:
+                    entries = list(os.scandir(Path(root, folder)))
+                except OSError:
+                    continue
+                for e in entries:
+                    if e.name in skip or e.name.startswith(".") or e.is_symlink():
+                        continue
+                    if e.is_dir():
+                        rows.append((os.path.join(folder, e.name), None, None))
+                    elif e.is_file() and e.name.lower().endswith(".md"):
+                        stat = e.stat()
+                        rows.append((os.path.join(folder, e.name), stat.st_mtime, stat.st_size))
+            yield pd.DataFrame(rows, columns=["path", "modified", "size"]).astype({"path": object, "modified": "Float64", "size": "Int64"})
+
+    level = spark.createDataFrame([("",)], "path string")
+    levels: list[DataFrame] = []
+    while True:
+        there = cut(level.repartition(spark.sparkContext.defaultParallelism).mapInPandas(visit, NAMES))
+        levels.append(there.where("modified is not null"))
+        level = there.where("modified is null").select("path")
+        if level.isEmpty():
+            break
+    parent = Path(root).parent / "MEMORY.md"
+    if include_parent and parent.is_file() and not parent.is_symlink():
+        stat = parent.stat()
+        levels.append(spark.createDataFrame([("../MEMORY.md", stat.st_mtime, stat.st_size)], NAMES))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def read_markdown(spark: SparkSession, root: str, files_per_task: int = 256, **options) -> DataFrame:
+    """The files of a tree: ``path, modified, size, text, damaged``.
 
-    The driver lists names only; the texts are read by the tasks.
+    Names are listed and texts read by the tasks, ``files_per_task`` each.  Bytes that
+    aren't UTF-8 become U+FFFD, and ``damaged`` says so.
     """
-    names = walk(root, **options)
-    listing = spark.createDataFrame(names or [], NAMES).repartition(max(1, min(len(names), 64)))
+    names = cut(list_markdown(spark, root, **options))
 
     def load(batches: Iterator) -> Iterator:
         for batch in batches:
-            batch["text"] = [Path(root, p).read_text(encoding="utf-8", errors="replace") for p in batch["path"]]
+            raw = [Path(root, p).read_bytes() for p in batch["path"]]
+            batch["text"] = [r.decode("utf-8", errors="replace") for r in raw]
+            batch["damaged"] = [t.encode("utf-8", errors="surrogatepass") != r for t, r in zip(batch["text"], raw, strict=True)]
             yield batch
 
-    return listing.mapInPandas(load, FILES)
+    return names.repartition(max(1, ceil(names.count() / files_per_task))).mapInPandas(load, FILES)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = (), drop_bad: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = (), drop_bad: bool = False, missing_ok: bool = False) -> DataFrame:
     """Records of a JSON-lines file; blank lines and those that begin with ``//`` or ``#`` are skipped.
 
     A line that doesn't parse or lacks a required field raises an error, or with
-    ``drop_bad`` is left out.
+    ``drop_bad`` is left out.  A file that isn't there is an error, or with
+    ``missing_ok`` empty (as labels are that nobody gave yet).
     """
+    if missing_ok and not exists(spark, path):
+        return spark.createDataFrame([], schema)
     raw = spark.read.text(path).select(F.btrim("value").alias("line")).where((F.length("line") > 0) & ~F.col("line").rlike("^(//|#)"))
     parsed = raw.select("line", F.from_json("line", schema).alias("r"))
     ok = F.try_parse_json("line").isNotNull() & F.col("r").isNotNull()
@@ -81,6 +131,30 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str,
     return checked.select("r.*")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any file system that Hadoop knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """``case_id, verdict, notes, labeled_at`` (the line's number): verdicts on cases; a missing file gives none.
+
+    Lines whose case isn't named by a text are left out; later lines hold
+    (``evaluate.latest_labels``).
+    """
+    schema = "case_id string, verdict string, notes string, labeled_at long"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    # One whole file is one row, so that lines have numbers; labels are written by hand.
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("labeled_at", "line"))
+    kept = lines.where((F.length(F.btrim("line")) > 0) & ~F.btrim("line").rlike("^(//|#)"))
+    parsed = kept.withColumn("v", F.parse_json("line"))
+    text = lambda name: F.try_variant_get("v", f"$.{name}", "string").alias
+    named = parsed.where(F.schema_of_variant(F.try_variant_get("v", "$.caseId", "variant")) == "STRING")
+    return named.select(text("caseId")("case_id"), text("verdict")("verdict"), text("notes")("notes"), F.col("labeled_at").cast("long"))
+
+
 def read_present(paths: DataFrame, root: str) -> DataFrame:
     """``path, text`` of the files of a batch that are still there; the tasks read them.
 
@@ -158,4 +232,4 @@ class EditedMarkdown(DataSource):
         return _EditedFiles(self.options)
 
 
-__all__ = ["EditedMarkdown", "read_jsonl", "read_markdown", "read_present", "walk"]
+__all__ = ["EditedMarkdown", "list_markdown", "read_jsonl", "read_labels", "read_markdown", "read_present", "walk"]

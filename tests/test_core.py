@@ -6,14 +6,16 @@ import os
 import sqlite3
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import evaluate, retrieval, segment, store
-from lodestone.operators.lexical import bm25
+from lodestone.operators.lexical import bm25, rank_bm25
 from lodestone.operators.vector import nearest, stub_vector
-from lodestone.plans.ingest import index_files
+from lodestone.plans.ingest import index_files, rebuild
+from lodestone.plans.search import search
 from lodestone.sources.markdown import read_jsonl, read_markdown, walk
 
 
@@ -120,16 +122,177 @@ def test_jsonl(spark, tmp_path):
 def test_index_is_incremental_and_retires(spark, tree, tmp_path):
     s = store.Store(spark, str(tmp_path / "index"), "stub", 8)
     files = read_markdown(spark, str(tree)).select("path", "text")
-    assert index_files(s, files, "2026-01-01 00:00:00") == {"sections": 5, "changed": 5}
+    assert index_files(s, files, "2026-01-01 00:00:00") == {"files_scanned": 3, "files_changed": 3, "sections": 5, "changed": 5, "unchanged": 0, "archived": 0, "chunks": 5, "embedded": 5}
     again = index_files(s, files, "2026-01-02 00:00:00")
     assert again["changed"] == 0
     (tree / "a.md").write_text("# A\nintro\n\n## One\nfirst text, edited\n")
     assert index_files(s, read_markdown(spark, str(tree)).select("path", "text"), "2026-01-03 00:00:00")["changed"] == 1
     status = {r["status"]: r["n"] for r in s.read("memories").groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert status == {"active": 4, "archived": 2}
+    assert s.read("vectors").count() == s.read("lengths").count() == s.read("chunks").count() == 6
     with pytest.raises(ValueError, match="rebuild"):
         store.Store(spark, str(tmp_path / "index"), "other", 8)
-    assert json.loads((tmp_path / "index" / "meta.json").read_text())["embedding_dim"] == "8"
+    assert s.meta()["embedding_dim"] == "8"
+
+
+def test_store_search_equals_brute_force(spark, tree, tmp_path):
+    s = store.Store(spark, str(tmp_path / "index"), "stub", 8)
+    (tree / "a.md").write_text("# A\nintro\n\n## One\nfirst text on caches\n\n## Two\nsecond text, on cold caches 2026-06-20\n")
+    files = read_markdown(spark, str(tree)).select("path", "text")
+    index_files(s, files, "2026-06-30 00:00:00")
+    queries = spark.createDataFrame([("q1", "  cold caches ", 2), ("q2", "plain", None)], "query_id string, query string, k int")
+    now = F.lit("2026-07-01").cast("timestamp")
+    got = search(s, queries, now).orderBy("query_id", "position").collect()
+    assert [r["query_id"] for r in got].count("q1") == 2 and got[0]["summary"] == "second text, on cold caches 2026-06-20"
+    assert got[0]["citation"] == "a.md#L7-L8" and got[0]["confidence"] == 1.0 and got[0]["why"].startswith("semantic_similarity|lexical_match|lexical_match:cold|recent_within_30d")
+    wanted = {(r["query_id"], r["chunk_id"]): r["rank"] for r in bm25(s.read("chunks"), queries).collect()}
+    assert wanted == {(r["query_id"], r["chunk_id"]): r["rank"] for r in rank_bm25(s.read("postings"), s.read("lengths"), queries).collect()}
+    audit = s.audit().where("kind = 'retrieve'").select(F.get_json_object("payload_json", "$.query").alias("q"), F.get_json_object("payload_json", "$.topK").alias("k")).collect()
+    assert sorted(map(tuple, audit)) == [("cold caches", "2"), ("plain", "5")]
+    with pytest.raises(Exception, match="empty"):
+        search(s, spark.createDataFrame([("q", " ")], "query_id string, query string"), now)
+    one = got[0]
+    assert s.by_id("memories", "memory_id", one["memory_id"]).count() == 1 and s.by_id("chunks", "chunk_id", one["chunk_id"]).first()["source_path"] == "a.md"
+
+
+def test_only_touched_buckets_are_published(spark, tree, tmp_path):
+    s = store.Store(spark, str(tmp_path / "index"), "stub", 8)
+    files = lambda: read_markdown(spark, str(tree)).select("path", "text")
+    index_files(s, files(), "2026-01-01 00:00:00")
+    before = s._manifest()
+    assert index_files(s, files(), "2026-01-02 00:00:00")["embedded"] == 0 and s.version == before["version"]
+    (tree / "_x.md").write_text("kept, and changed")
+    counts = index_files(s, files(), "2026-01-03 00:00:00")
+    after = s._manifest()
+    moved = {b for b, v in after["tables"]["memories"].items() if v == after["version"]}
+    assert counts["changed"] == counts["archived"] == counts["embedded"] == 1 and 1 <= len(moved) <= 2
+    assert all(after["tables"]["memories"][b] == v for b, v in before["tables"]["memories"].items() if b not in moved)
+    s.set_meta("note", "x")
+    n = s.read("memories").count()
+    assert s.vacuum(1) > 0 and s.read("memories").count() == n == 6 and s.meta()["note"] == "x"
+    with pytest.raises(Exception, match="(?i)exists"):
+        s._commit(s._manifest())
+    rebuild(s, files(), "2026-01-04 00:00:00", "other", 3)
+    assert s.meta()["embedding_model_id"] == "other" and len(s.read("vectors").first()["vector"]) == 3 and s.audit().where("kind = 'rebuild'").count() == 4
+    assert {r["status"] for r in s.read("memories").collect()} == {"active"}
+    assert store.set_status(s.read("memories"), [s.read("memories").first()["memory_id"]], "superseded").where("status = 'superseded'").count() == 1
+
+
+def test_records_have_the_fields_of_hints_and_defaults(spark):
+    from lodestone.plans.ingest import extract_memories
+
+    text = '# T\n\n## A\n```memory\n{"tags": ["x"], "entities": [], "provenance": {"sourceKind": "compiled"}, "confidence": 0.5}\n```\n\n## B\nsame\n\n## B\nsame\n'
+    files = spark.createDataFrame([("a.md", text)], "path string, text string")
+    rows = {json.loads(r["json"])["title"]: r for r in extract_memories(files, "2026-01-01 00:00:00", scope="project", project="p").collect()}
+    assert set(rows) == {"T", "A", "B"} and rows["A"]["source_kind"] == "compiled" and rows["A"]["confidence"] == 0.5 and rows["B"]["confidence"] == 1.0
+    assert rows["B"]["source_kind"] == "human_confirmed" and rows["B"]["scope"] == "project" and rows["B"]["project"] == "p" and rows["B"]["line_start"] == 8
+    assert json.loads(rows["A"]["json"])["tags"] == ["x"] and json.loads(rows["B"]["json"])["participants"] == ["user", "assistant"]
+    put_in = spark.createDataFrame([("a.md", text.replace("## B", "## New\nwords\n\n## B", 1))], "path string, text string")
+    assert {r["memory_id"] for r in rows.values()} <= {r["memory_id"] for r in extract_memories(put_in, "2026-01-01 00:00:00").collect()}
+
+
+def test_providers(spark):
+    from lodestone.operators.vector import HttpProvider, OnnxProvider, embed_with
+
+    class Fixed:
+        model_id, dim = "fixed", 2
+
+        def embed(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([("abc",), ("",), (None,)], "t string")
+    assert [list(r["v"]) for r in df.select(embed_with(Fixed, 2)("t").alias("v")).collect()] == [[3.0, 1.0], [0.0, 1.0], [0.0, 1.0]]
+    with pytest.raises(Exception, match="don't have 3 dimensions"):
+        df.select(embed_with(Fixed, 3)("t")).collect()
+    sent = []
+
+    def post(url, body):
+        sent.append((url, len(body["input"])))
+        return {"data": [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(body["input"])))]}
+
+    assert HttpProvider("m", 1, post, "http://localhost/v1/").embed(["x" * i for i in range(70)]) == [[float(i)] for i in range(70)]
+    assert sent == [("http://localhost/v1/embeddings", 64), ("http://localhost/v1/embeddings", 6)]
+    with pytest.raises(ValueError, match="gave 0 vectors"):
+        HttpProvider("m", 1, lambda u, b: {"data": []}, "u").embed(["a"])
+
+    class Session:
+        def run(self, _, inputs):
+            return [np.stack([inputs["input_ids"], np.ones_like(inputs["input_ids"])], axis=-1).astype(float)]
+
+    seen = []
+
+    def encode(texts):
+        seen.extend(texts)
+        return np.array([[3, 5, 9]] * len(texts)), np.array([[1, 1, 0]] * len(texts))
+
+    (v,) = OnnxProvider("tiny-e5", 2, Session(), encode).embed(["hi"])
+    assert seen == ["passage: hi"] and v == pytest.approx([4 / 17**0.5, 1 / 17**0.5])
+
+
+def test_nearest_in_blocks_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).round(1).tolist() if i % 3 else [0.5] * 6) for i in range(400)] + [(1000, None), (None, [0.0] * 6), (1001, [None] * 6)]
+    v = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(5)
+    q = spark.createDataFrame([(i, r[1]) for i, r in enumerate(rows[:20])], "query_id long, vector array<double>")
+    kept = [(k, np.array(x)) for k, x in rows if k is not None and k < 1000]
+    wanted = {}
+    for i, x in enumerate(r[1] for r in rows[:20]):
+        near = sorted((round(float(np.sqrt(((y - np.array(x)) ** 2).sum())), 9), k) for k, y in kept)[:7]
+        wanted[i] = [k for _, k in near]
+    for limit in (64_000_000, 0):
+        got = {}
+        for r in nearest(v, q, 7, "vec_id", block=32, most_broadcast=limit).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert got == wanted
+    assert nearest(v.where("false"), q, 7, "vec_id").count() == 0 and nearest(v, q.where("false"), 7, "vec_id").count() == 0
+
+
+def test_config(tmp_path):
+    from lodestone import config
+
+    path = str(tmp_path / "sub" / "config.json")
+    assert config.load_or_init(path) == config.Config() == config.load_or_init(path)
+    config.save(config.Config(retrieval=config.Retrieval(top_k=7)), path)
+    assert config.load_or_init(path).retrieval.top_k == 7
+    for bad in ('{"retrieval": {"min_score": 2}}', '{"default_scope": "moon"}', '{"x": 1}', "{broken", '{"embedding": {"dim": 0}}', "[]"):
+        (tmp_path / "sub" / "config.json").write_text(bad)
+        with pytest.raises(ValueError, match="config.json"):
+            config.load_or_init(path)
+
+
+def test_reports_and_labels(spark, tmp_path):
+    from lodestone.sources.markdown import read_labels
+    from lodestone.sources.reports import as_json, as_text, write_report
+
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    assert [r["value"] for r in as_json(df).collect()] == ['{"a":1,"b":null}', '{"a":2,"b":"x"}']
+    assert [r["value"] for r in as_text(df).collect()] == ["a=1  b=-", "a=2  b=x"]
+    write_report(df, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 2
+    path = tmp_path / "labels.jsonl"
+    assert read_labels(spark, str(path)).count() == 0
+    path.write_text('// x\n{"caseId": "a", "verdict": "ok"}\n\n{"caseId": 3, "verdict": "ok"}\n{"caseId": "a", "verdict": "wrong"}\n')
+    assert [tuple(r) for r in evaluate.latest_labels(read_labels(spark, str(path))).collect()] == [("a", "wrong")]
+
+
+def test_trust_issues_and_signals(spark):
+    cases = spark.createDataFrame([("a",), ("b",), ("c",)], "case_id string")
+    rows = [("a", 2, "m2", "", "fine"), ("a", 1, "m1", "p.md#L1-L2", "key sk-abcdefghijklmnop1234"), ("b", 1, "m3", "x.md", "fine")]
+    results = spark.createDataFrame(rows, "case_id string, position int, memory_id string, citation string, summary string")
+    labels = spark.createDataFrame([("b", "partial", 1), ("c", "ok", 1)], "case_id string, verdict string, labeled_at long")
+    got = {r["case_id"]: (r["issues"], r["citation_violations"], r["secret_hits"]) for r in evaluate.trust_issues(results, labels, cases).collect()}
+    assert got == {"a": (["secret_in_summary:m1", "bad_citation:m2"], 1, 1), "b": (["human_label:partial"], 0, 0)}
+    assert tuple(evaluate.trust_report(cases, results, labels).first()) == (3, 1, 1, 2, 0, 0.0)
+    assert one(spark, X.importance_signals, "short docker") == ["baseline:0.40", "entities(1):+0.05", "too_short:-0.20"]
+    none = spark.createDataFrame([], store.AUDIT)
+    now = F.lit("2026-07-01").cast("timestamp")
+    assert tuple(evaluate.index_age(none, now).first()) == (None, None, "warn") and tuple(evaluate.zero_results(none, now).first()) == (0, 0, None, "ok")
+
+
+def test_damaged_files_are_marked(spark, tree):
+    (tree / "a.md").write_bytes(b"ok \xff\xfe end")
+    got = {r["path"]: (r["text"], r["damaged"]) for r in read_markdown(spark, str(tree), include_parent=True).collect()}
+    assert got["a.md"] == ("ok \ufffd\ufffd end", True) and got["_x.md"] == ("kept", False) and "../MEMORY.md" in got and len(got) == 4
 
 
 def test_stream_sees_edits_in_place(spark, tree, tmp_path):
