@@ -2,120 +2,234 @@
 
 Every window of ``span`` consecutive units of an evaluation text is a pattern: its
 words, or its characters where the item is written without spaces.  A Wu-Manber
-matcher built from the patterns slides over each document.  The last *block* of
-its window (two words or three characters) is looked up in a shift table; a block
-that no pattern holds lets the matcher jump by nearly a whole window.  Where the
-shift is 0 the block's bucket lists the patterns that end in it, and a direct
-comparison decides.  The corpus is read once, without a shuffle; only the matcher
-is sent to the tasks, in parts of a bounded size.
+matcher built from the patterns slides over the documents.  The last *block* of its
+window (two words or three characters) is looked up in a shift table; a block that no
+pattern holds lets the matcher jump by nearly a whole window.  Where the shift is 0
+the bucket of the window's hash lists the patterns that can end there, and a direct
+comparison of the wording decides.
+
+Units are numbers (hashes of words, or code points), and all documents of a batch are
+searched side by side: in each round every document makes one jump.  The corpus is
+read once for each block of items, without a shuffle; the items stay in the shared
+folder (``llm.blocks``) and never pass through the driver.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.blocks import read_block, write_blocks
+
 #: Languages of items that are compared by characters.
 CHARACTER_LANGS = ("zh",)
-_NOT_COUNTED = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W_]+")
+_DROPPED = re.compile("[" + "".join(f"\\U{i:08x}" for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Cf", "Mn")) + "]+")
+_ALNUM = np.fromiter((chr(i).isalnum() for i in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+#: Units of one document that are searched as one; longer ones are searched in slices that overlap.
+_SLICE = 20_000
+#: Characters that are hashed at once, and those of one slice of an item.
+_ROUND, _ITEM_SLICE = 2_000_000, 100_000
 
 
-def _folded(text: str) -> str:
+def folded(text: str) -> str:
     """Lower case without marks that don't count, so that equal wording is equal text."""
-    if text.isascii():
-        return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if unicodedata.category(c) not in ("Cf", "Mn"))
+    return text.lower() if text.isascii() else _DROPPED.sub("", unicodedata.normalize("NFKC", text).lower())
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(_folded(text))
+    return _WORD.findall(folded(text))
 
 
 def characters_of(text: str) -> str:
-    return _NOT_COUNTED.sub("", _folded(text))
+    return "".join(words_of(text))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    """``base`` to the powers 0 to ``n - 1``, modulo 2 to the 64."""
+    out = np.full(n, base % 2**64, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch ``values[start:end]``; equal stretches have equal hashes wherever they stand."""
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values * _powers(len(values), _BASE), dtype=np.uint64)))
+    back = _powers(len(values) + 1, pow(_BASE, -1, 2**64))
+    return _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+def units_of(texts: list[str], by_word: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The units of all (folded) texts in a row, and where each text's begin (and the last ends)."""
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    edges = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
+    counted = _ALNUM[points]
+    if not by_word:
+        return _mix(points[counted].astype(np.uint64) + np.uint64(1)), np.concatenate(([0], np.cumsum(counted)))[edges]
+    before = np.concatenate(([False], counted[:-1]))
+    starts = np.flatnonzero(counted & ~before)
+    ends = np.flatnonzero(~counted & before)  # each text ends with a line end
+    return _hashes(_mix(points.astype(np.uint64)), starts, ends), np.searchsorted(starts, edges)
 
 
 class WuManber:
-    """Search for many patterns of one length over sequences of units.
+    """Search for all windows of ``span`` units of the given (folded) texts; ``block`` units index the shift table.
 
-    ``patterns`` maps a pattern (a tuple of words, or a string) to the ids that it
-    stands for.  ``block`` is the number of units that index the tables.
+    ``ids`` names the text that a window is from.
     """
 
-    def __init__(self, patterns: dict, span: int, block: int) -> None:
-        self.span, self.block, self.patterns = span, block, patterns
+    def __init__(self, texts: list[str], ids: list[int], by_word: bool, span: int, block: int) -> None:
+        self.texts, self.ids, self.by_word, self.span, self.block = texts, np.array(ids, dtype=np.int64), by_word, span, block
         self.far = span - block + 1
-        self.shift: dict = {}
-        self.bucket: dict = {}
-        for pattern in patterns:
+        units, edges = units_of(texts, by_word)
+        owner = np.repeat(np.arange(len(texts)), np.diff(edges))
+        starts = np.arange(max(0, len(units) - span + 1))
+        starts = starts[owner[starts] == owner[starts + span - 1]] if len(starts) else starts
+        hashes = _hashes(units, starts, starts + span)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], owner[starts[order]].astype(np.int32)
+        self.at = (starts - edges[owner[starts]])[order].astype(np.int32) if len(starts) else np.empty(0, dtype=np.int32)
+        # A table of 1 to 2 places for each 1/8 of the blocks: blocks that meet in a place have the least of their shifts.
+        size = max(12, int(np.ceil(np.log2(8 * max(1, len(units))))))
+        self.mask = np.uint64((1 << size) - 1)
+        self.shift = np.full(1 << size, self.far, dtype=np.uint8 if self.far < 256 else np.int32)
+        if len(starts):
+            places = self._places(units)
             for end in range(block, span + 1):
-                key, shift = pattern[end - block : end], span - end
-                if shift < self.shift.get(key, self.far):
-                    self.shift[key] = shift
-            self.bucket.setdefault(pattern[span - block :], {}).setdefault(pattern[:block], set()).add(pattern)
-
-    def ids(self, units: tuple | str) -> set:
-        """Ids of all patterns that occur in ``units``."""
-        span, block, far, shift = self.span, self.block, self.far, self.shift
-        found: set = set()
-        end, n = span, len(units)
-        while end <= n:
-            step = shift.get(units[end - block : end], far)
-            if step:
-                end += step
-                continue
-            start = end - span
-            prefixes = self.bucket[units[end - block : end]]
-            if units[start : start + block] in prefixes:
-                window = units[start:end]
-                if window in prefixes[window[:block]]:
-                    found |= self.patterns[window]
-            end += 1
-        return found
-
-
-def _matchers(items: list[tuple[int, str | None, str | None]], words: int, characters: int) -> tuple[WuManber, WuManber]:
-    by_word: dict[tuple, set] = {}
-    by_character: dict[str, set] = {}
-    for item_id, lang, text in items:
-        if not text or item_id is None:
-            continue
-        if lang in CHARACTER_LANGS:
-            units = characters_of(text)
-            for i in range(len(units) - characters + 1):
-                by_character.setdefault(units[i : i + characters], set()).add(item_id)
-        else:
-            row = tuple(words_of(text))
-            for i in range(len(row) - words + 1):
-                by_word.setdefault(row[i : i + words], set()).add(item_id)
-    return WuManber(by_word, words, 2), WuManber(by_character, characters, 3)
-
-
-def _search(items: list, words: int, characters: int, key: str, text: str):
+                np.minimum.at(self.shift, places[starts + end - block], span - end)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def _places(self, units: np.ndarray) -> np.ndarray:
+        """For each unit the place in the shift table of the block that begins there."""
+        n = max(0, len(units) - self.block + 1)
+        h = np.zeros(n, dtype=np.uint64)
+        for i in range(self.block):
+            h = h * np.uint64(_BASE) + units[i : i + n]
+        return (_mix(h) & self.mask).astype(np.int64)
+
+    def find(self, texts: list[str]) -> list[tuple[int, int]]:
+        """``(number of the text, id)`` for each text that holds a window, without repeats."""
+        if not len(self) or not texts:
+            return []
+        units, edges = units_of(texts, self.by_word)
+        span, block = self.span, self.block
+        places = self._places(units)
+        # Long texts as slices that overlap by a window less one unit.
+        bounds = [(n, s, min(s + _SLICE + span - 1, b)) for n, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) for s in range(a, max(a + 1, b - span + 1), _SLICE)]
+        owner, begin, limit = (np.array(x, dtype=np.int64) for x in zip(*bounds, strict=True))
+        end = begin + span
+        hit_owner, hit_start = [], []
+        live = np.flatnonzero(end <= limit)
+        while len(live):
+            step = self.shift[places[end[live] - block]].astype(np.int64)
+            stops = live[step == 0]
+            if len(stops):
+                hit_owner.append(owner[stops])
+                hit_start.append(end[stops] - span)
+            end[live] += np.maximum(step, 1)
+            live = live[end[live] <= limit[live]]
+        if not hit_owner:
+            return []
+        owners, starts = np.concatenate(hit_owner), np.concatenate(hit_start)
+        hashes = _hashes_at(units, starts, span)
+        low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
+        found: dict[tuple[int, int], None] = {}
+        wording: dict[int, list[str] | str] = {}
+        for n, start, a, b in zip(owners[high > low].tolist(), starts[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+            for k in range(a, b):
+                pair = (n, int(self.ids[self.owner[k]]))
+                if pair in found:
+                    continue
+                if n not in wording:
+                    wording[n] = self._wording(texts[n])
+                here = start - int(edges[n])
+                own = self._own_wording(int(self.owner[k]))
+                if wording[n][here : here + span] == own[self.at[k] : self.at[k] + span]:
+                    found[pair] = None
+        return list(found)
+
+    def _wording(self, text: str) -> list[str] | str:
+        words = _WORD.findall(text)
+        return words if self.by_word else "".join(words)
+
+    def _own_wording(self, n: int) -> list[str] | str:
+        return self._wording(self.texts[n])
+
+
+def _hashes_at(units: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    return _hashes(units, starts, starts + span)
+
+
+def item_slices(items: DataFrame, words: int, characters: int) -> DataFrame:
+    """``item_id, by_word, text, cost``: folded texts of items in slices that hold all their windows.
+
+    ``cost`` are the bytes that a slice needs in a matcher: its text, and for each
+    unit a hash, two places and its part of the shift table.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item_id, lang, text in zip(batch["item_id"], batch["lang"], batch["text"], strict=True):
+                by_word = lang not in CHARACTER_LANGS
+                units = words_of(text) if by_word else characters_of(text)
+                span, joint = (words, " ") if by_word else (characters, "")
+                step = max(1, _ITEM_SLICE // (8 if by_word else 1))
+                for start in range(0, len(units) - span + 1, step):
+                    part = joint.join(units[start : start + step + span - 1])
+                    n = min(len(units) - start, step + span - 1)
+                    rows.append((item_id, by_word, part, 4 * len(part) + 40 * n))
+            yield pd.DataFrame(rows, columns=["item_id", "by_word", "text", "cost"]).astype({"item_id": "int64", "by_word": bool, "text": object, "cost": "int64"})
+
+    wanted = items.where(F.col("item_id").isNotNull() & (F.length("text") > 0)).select(F.col("item_id").cast("long").alias("item_id"), "lang", "text")
+    return wanted.mapInPandas(cut, "item_id long, by_word boolean, text string, cost long").distinct()
+
+
+def _search(path: str, block: int, words: int, characters: int, key: str):
+    def make(rows: pd.DataFrame) -> list[WuManber]:
+        matchers = []
+        for by_word, span, size in ((True, words, 2), (False, characters, 3)):
+            own = rows[rows["by_word"] == by_word] if len(rows) else rows
+            matchers.append(WuManber(list(own["text"]) if len(own) else [], list(own["item_id"]) if len(own) else [], by_word, span, min(size, span)))
+        return matchers
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_word, by_character = _matchers(items, words, characters)
+        matchers = read_block(path, block, make)
         for batch in batches:
-            ids, hits = [], []
-            for k, value in zip(batch[key], batch[text], strict=True):
-                if not value:
-                    continue
-                folded = _folded(value)
-                row = tuple(_WORD.findall(folded))
-                found = by_word.ids(row) if len(row) >= words and by_word.patterns else set()
-                if by_character.patterns and not folded.isascii():
-                    found = found | by_character.ids("".join(row))
-                elif by_character.patterns and len(folded) >= characters:
-                    found = found | by_character.ids("".join(row))
-                for hit in sorted(found):
-                    ids.append(k)
-                    hits.append(hit)
-            yield pd.DataFrame({key: pd.Series(ids, dtype=batch[key].dtype if batch[key].dtype.kind in "iuf" else object), "item_id": pd.Series(hits, dtype="int64")})
+            keys = batch["k"]
+            numbers, hits = [], []
+            part: list[str] = []
+            first = size = 0
+            texts = [folded(t) if t else "" for t in batch["t"]]
+            for n, text in enumerate([*texts, None]):
+                if text is None or (part and size + len(text) > _ROUND):
+                    for matcher in matchers:
+                        for number, hit in matcher.find(part):
+                            numbers.append(first + number)
+                            hits.append(hit)
+                    part, first, size = [], n, 0
+                if text is not None:
+                    part.append(text)
+                    size += len(text)
+            yield pd.DataFrame({key: keys.iloc[numbers].reset_index(drop=True), "item_id": pd.Series(hits, dtype="int64")})
 
     return run
 
@@ -127,34 +241,25 @@ def find_leaks(
     text: str = "text",
     words: int = 12,
     characters: int = 20,
-    block_chars: int = 16_000_000,
+    block_bytes: int = 128_000_000,
 ) -> DataFrame:
     """Which documents hold which evaluation items: ``key, item_id``, without repeats.
 
     A document holds an item if ``words`` consecutive words of the item's text (for
     items in Chinese ``characters`` consecutive characters) occur in it; case,
     width, punctuation, white space and markdown marks don't count.  Null, empty
-    and shorter texts on either side give no row.  Documents that share a key count
-    as one.  Other columns of both inputs are ignored, whatever their names.
+    and shorter texts on either side give no row, nor do null keys on either side.
+    Documents that share a key count as one.  Other columns of both inputs are
+    ignored, whatever their names.
 
-    Items go to the tasks in parts of at most ``block_chars`` characters (plus one
-    item), so what is sent has a bound at any number of items; each part is a pass
-    over the documents, and every part is searched.
+    Items are searched in blocks whose matchers need about ``block_bytes`` in a
+    worker; each block is a pass over the documents, and every block is searched.
     """
-    read = documents.select(F.col(key), F.col(text))
-    wanted = items.select("item_id", "lang", "text").where(F.length("text") > 0)
-    parts: list[list] = [[]]
-    size = 0
-    # One item at a time from the items' partitions; a part is closed when it's full.
-    for row in wanted.toLocalIterator():
-        if size > block_chars:
-            parts.append([])
-            size = 0
-        parts[-1].append((row["item_id"], row["lang"], row["text"]))
-        size += len(row["text"])
+    read = documents.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    path, n_blocks = write_blocks(item_slices(items, words, characters), "cost", block_bytes)
     schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, item_id bigint"
     found = None
-    for part in parts:
-        hits = read.mapInPandas(_search(part, words, characters, key, text), schema)
+    for block in range(n_blocks):
+        hits = read.mapInPandas(_search(path, block, words, characters, key), schema)
         found = hits if found is None else found.unionByName(hits)
     return found.distinct()

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.blocks import read_block, write_blocks
 from lodestone.session import cut
 
 #: Letters of other scripts and the Latin letters that they look like.
@@ -214,19 +215,26 @@ def unify(rows: DataFrame, text: str = "text", into: str = "unified", confirmed:
     return clean.unionByName(mended)
 
 
-def _match(cases: list[tuple[str, str, str]], key: str, text: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
+def _match(path: str, block: int, key: str):
+    def make(rows: pd.DataFrame) -> ahocorasick.Automaton | None:
         by_form: dict[str, list] = {}
-        for case_id, stored, form in cases:
-            by_form.setdefault(form, []).append((case_id, stored))
+        if len(rows):
+            for case_id, stored, form in zip(rows["case_id"], rows["query"], rows["form"], strict=True):
+                by_form.setdefault(form, []).append((case_id, stored))
+        if not by_form:
+            return None
+        automaton = ahocorasick.Automaton()
         for form, own in by_form.items():
             automaton.add_word(form, own)
         automaton.make_automaton()
+        return automaton
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = read_block(path, block, make)
         for batch in batches:
             found = []
-            for k, stored_text, form in zip(batch[key], batch[text], batch["_unified"], strict=True):
-                if not form:
+            for k, stored_text, form in zip(batch["k"], batch["t"], batch["_unified"], strict=True):
+                if not form or automaton is None:
                     continue
                 hits = {case for _, own in automaton.iter(form) for case in own}
                 found += [(case_id, k) for case_id, stored in sorted(hits) if stored not in stored_text]
@@ -235,34 +243,29 @@ def _match(cases: list[tuple[str, str, str]], key: str, text: str):
     return run
 
 
-def find_lookalikes(rows: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+def find_lookalikes(rows: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "text", block_bytes: int = 128_000_000) -> DataFrame:
     """Which rows show a query that they don't store as such: ``case_id, key``.
 
     ``queries`` has ``case_id`` and ``query``.  A row is a case when the query's
     consistent form occurs within a line of the row's, and the stored query does not
-    occur in the stored text.  Null and blank queries and null texts give no row;
-    repeated input rows give one.  The vocabulary is that of rows and queries
-    together.  Queries go to the tasks in parts of ``block_chars`` characters.
+    occur in the stored text.  Null and blank queries, null texts and null keys give
+    no row; repeated input rows give one.  The vocabulary is that of rows and queries
+    together.
+
+    The queries stay in the shared folder (``llm.blocks``): they are searched in
+    blocks whose automata need about ``block_bytes`` in a worker, each in a pass over
+    the rows.
     """
-    texts = rows.select(F.col(key), F.col(text))
-    asked = queries.where(F.length(F.btrim("query")) > 0).select("case_id", "query")
-    corpus = texts.select(F.col(text).alias("text")).unionByName(asked.select(F.col("query").alias("text")))
+    texts = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    asked = queries.where(F.col("case_id").isNotNull() & (F.length(F.btrim("query")) > 0)).select("case_id", "query")
+    corpus = texts.select(F.col("t").alias("text")).unionByName(asked.select(F.col("query").alias("text")))
     confirmed = cut(confirmed_readings(corpus))
-    shown = unify(texts, text, "_unified", confirmed)
-    forms = unify(asked, "query", "_form", confirmed)
-    parts: list[list] = [[]]
-    size = 0
-    for row in forms.toLocalIterator():
-        if size > block_chars:
-            parts.append([])
-            size = 0
-        if row["_form"].strip():
-            parts[-1].append((row["case_id"], row["query"], row["_form"]))
-            size += len(row["_form"])
+    shown = unify(texts, "t", "_unified", confirmed)
+    forms = unify(asked, "query", "form", confirmed).where(F.col("form").rlike(r"\S"))
+    # A letter of an automaton takes about a hundred bytes.
+    path, n_blocks = write_blocks(forms.distinct().withColumn("cost", F.length("form") * 100 + F.length("query")), "cost", block_bytes)
     found = None
-    for part in parts:
-        if not part and len(parts) > 1:
-            continue
-        hits = shown.mapInPandas(_match(part, key, text), f"case_id string, `{key}` string") if part else shown.where("false").select(F.lit("").alias("case_id"), F.col(key))
+    for block in range(n_blocks):
+        hits = shown.mapInPandas(_match(path, block, key), f"case_id string, `{key}` string")
         found = hits if found is None else found.unionByName(hits)
     return found.distinct()

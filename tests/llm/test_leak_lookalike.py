@@ -49,7 +49,7 @@ def test_leaks_equal_brute_force(spark):
     found = leak.find_leaks(docs(spark, texts), items(spark, made))
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == wanted and wanted
-    parts = leak.find_leaks(docs(spark, texts), items(spark, made), block_chars=50)
+    parts = leak.find_leaks(docs(spark, texts), items(spark, made), block_bytes=1500)
     assert {tuple(r) for r in parts.collect()} == wanted
 
 
@@ -101,3 +101,43 @@ def test_find_lookalikes(spark):
     assert sorted(tuple(r) for r in lookalike.find_lookalikes(df, queries).collect()) == [("q", "a"), ("q", "f")]
     assert lookalike.find_lookalikes(df, queries.where("false")).count() == 0
     assert lookalike.find_lookalikes(df.where("false"), queries).count() == 0
+
+
+def test_matcher_equals_plain_search():
+    rng = random.Random(8)
+    for by_word, span, block in ((True, 4, 2), (True, 2, 2), (False, 5, 3), (False, 1, 1)):
+        letters = ["ab", "c", "d"] if by_word else list("甲乙丙")
+        joint = " " if by_word else ""
+        make = lambda n: joint.join(rng.choice(letters) for _ in range(n))
+        texts, ids = [make(rng.randrange(span, 9)) for _ in range(12)], [rng.randrange(6) for _ in range(12)]
+        matcher = leak.WuManber(texts, ids, by_word, span, block)
+        corpus = ["", make(span - 1), *[make(rng.randrange(60)) for _ in range(200)]]
+        split = (lambda t: t.split()) if by_word else list
+        windows = {}
+        for t, i in zip(texts, ids, strict=True):
+            units = split(t)
+            for k in range(len(units) - span + 1):
+                windows.setdefault(tuple(units[k : k + span]), set()).add(i)
+        wanted = {(n, i) for n, t in enumerate(corpus) for k in range(len(split(t)) - span + 1) for i in windows.get(tuple(split(t)[k : k + span]), ())}
+        got = matcher.find(corpus)
+        assert len(got) == len(set(got)) and set(got) == wanted
+
+
+def test_long_documents_and_items_are_searched_whole(spark, monkeypatch):
+    monkeypatch.setattr(leak, "_SLICE", 50)
+    words = [f"w{i}" for i in range(5000)]
+    passage = " ".join(f"p{i}" for i in range(12))
+    matcher = leak.WuManber([passage], [7], True, 12, 2)
+    for at in (0, 37, 44, 49, 50, 51, 4988, 5000):
+        assert matcher.find([" ".join([*words[:at], passage, *words[at:]])]) == [(0, 7)]
+    monkeypatch.setattr(leak, "_ITEM_SLICE", 800)
+    long_item = " ".join(words)
+    found = leak.find_leaks(docs(spark, [(i, " ".join(words[a : a + n])) for i, (a, n) in enumerate([(95, 12), (88, 12), (4988, 12), (100, 11), (0, 5000)])]), items(spark, [(1, "en", long_item), (1, "en", long_item)]))
+    assert sorted(r["doc_id"] for r in found.collect()) == [0, 1, 2, 4]
+
+
+def test_many_blocks_of_queries_find_the_same(spark):
+    rows = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(["a ｆｕｌｌ width", "a full width", "pl​ain words", None, ""])], "chunk_id string, text string")
+    queries = spark.createDataFrame([("q1", "full"), ("q2", "plain words"), ("q3", " "), ("q4", None), ("q5", "width")], "case_id string, query string")
+    one = {tuple(r) for r in lookalike.find_lookalikes(rows, queries).collect()}
+    assert one == {("q1", "c0"), ("q2", "c2")} and {tuple(r) for r in lookalike.find_lookalikes(rows, queries, block_bytes=300).collect()} == one
