@@ -8,8 +8,9 @@ pattern holds lets the matcher jump by nearly a whole window.  Where the shift i
 the bucket of the window's hash lists the patterns that can end there, and a direct
 comparison of the wording decides.
 
-Units are numbers (hashes of words, or code points), and all documents of a batch are
-searched side by side: in each round every document makes one jump.  The corpus is
+Units are numbers (those of the items' words, 0 for any other word, or code points),
+and all documents of a batch are searched side by side: in each round every document
+makes one jump, and only the blocks that it lands on are looked at.  The corpus is
 read once for each block of items, without a shuffle; the items stay in the shared
 folder (``llm.blocks``) and never pass through the driver.
 """
@@ -31,17 +32,25 @@ from lodestone.llm.blocks import read_block, write_blocks
 #: Languages of items that are compared by characters.
 CHARACTER_LANGS = ("zh",)
 _WORD = re.compile(r"[^\W_]+")
-_DROPPED = re.compile("[" + "".join(f"\\U{i:08x}" for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Cf", "Mn")) + "]+")
-_ALNUM = np.fromiter((chr(i).isalnum() for i in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+def _class(start: int, end: int) -> re.Pattern:
+    """The characters of a range that don't count: formats and marks."""
+    return re.compile("[" + "".join(f"\\U{i:08x}" for i in range(start, end) if unicodedata.category(chr(i)) in ("Cf", "Mn")) + "]+")
+
+
+#: Within the first plane a class is a table; the others are looked at only in texts that have their characters.
+_DROPPED, _DROPPED_BEYOND = _class(0, 0x10000), _class(0x10000, sys.maxunicode + 1)
 #: Units of one document that are searched as one; longer ones are searched in slices that overlap.
 _SLICE = 20_000
-#: Characters that are hashed at once, and those of one slice of an item.
+#: Characters of documents that are searched at once, and those of one slice of an item.
 _ROUND, _ITEM_SLICE = 2_000_000, 100_000
 
 
 def folded(text: str) -> str:
     """Lower case without marks that don't count, so that equal wording is equal text."""
-    return text.lower() if text.isascii() else _DROPPED.sub("", unicodedata.normalize("NFKC", text).lower())
+    if text.isascii():
+        return text.lower()
+    kept = _DROPPED.sub("", unicodedata.normalize("NFKC", text).lower())
+    return _DROPPED_BEYOND.sub("", kept) if max(kept, default="") > "\uffff" else kept
 
 
 def words_of(text: str) -> list[str]:
@@ -58,125 +67,102 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    """``base`` to the powers 0 to ``n - 1``, modulo 2 to the 64."""
-    out = np.full(n, base % 2**64, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each stretch ``values[start:end]``; equal stretches have equal hashes wherever they stand."""
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values * _powers(len(values), _BASE), dtype=np.uint64)))
-    back = _powers(len(values) + 1, pow(_BASE, -1, 2**64))
-    return _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def units_of(texts: list[str], by_word: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The units of all (folded) texts in a row, and where each text's begin (and the last ends)."""
-    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    edges = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
-    counted = _ALNUM[points]
-    if not by_word:
-        return _mix(points[counted].astype(np.uint64) + np.uint64(1)), np.concatenate(([0], np.cumsum(counted)))[edges]
-    before = np.concatenate(([False], counted[:-1]))
-    starts = np.flatnonzero(counted & ~before)
-    ends = np.flatnonzero(~counted & before)  # each text ends with a line end
-    return _hashes(_mix(points.astype(np.uint64)), starts, ends), np.searchsorted(starts, edges)
+def _hash_at(units: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` units from each start."""
+    h = np.zeros(len(starts), dtype=np.uint64)
+    for i in range(n):
+        h = h * _BASE + units[starts + i].astype(np.uint64)
+    return _mix(h)
 
 
 class WuManber:
-    """Search for all windows of ``span`` units of the given (folded) texts; ``block`` units index the shift table.
+    """Search for all windows of ``span`` units of the given texts; ``block`` units index the shift table.
 
-    ``ids`` names the text that a window is from.
+    ``texts`` are lists of words, or strings for a search by characters; ``ids`` names
+    the text that a window is from.
     """
 
-    def __init__(self, texts: list[str], ids: list[int], by_word: bool, span: int, block: int) -> None:
+    def __init__(self, texts: list, ids: list[int], by_word: bool, span: int, block: int) -> None:
         self.texts, self.ids, self.by_word, self.span, self.block = texts, np.array(ids, dtype=np.int64), by_word, span, block
         self.far = span - block + 1
-        units, edges = units_of(texts, by_word)
+        self.number: dict[str, int] = {}
+        if by_word:
+            for words in texts:
+                for word in words:
+                    self.number.setdefault(word, len(self.number) + 1)
+        units, edges = self._units(texts)
         owner = np.repeat(np.arange(len(texts)), np.diff(edges))
         starts = np.arange(max(0, len(units) - span + 1))
         starts = starts[owner[starts] == owner[starts + span - 1]] if len(starts) else starts
-        hashes = _hashes(units, starts, starts + span)
+        hashes = _hash_at(units, starts, span)
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner = hashes[order], owner[starts[order]].astype(np.int32)
+        self.hashes, self.owner = hashes[order], owner[starts[order]].astype(np.int32) if len(starts) else np.empty(0, dtype=np.int32)
         self.at = (starts - edges[owner[starts]])[order].astype(np.int32) if len(starts) else np.empty(0, dtype=np.int32)
-        # A table of 1 to 2 places for each 1/8 of the blocks: blocks that meet in a place have the least of their shifts.
+        # A table of 8 to 16 places for each block: blocks that meet in a place have the least of their shifts.
         size = max(12, int(np.ceil(np.log2(8 * max(1, len(units))))))
         self.mask = np.uint64((1 << size) - 1)
         self.shift = np.full(1 << size, self.far, dtype=np.uint8 if self.far < 256 else np.int32)
         if len(starts):
-            places = self._places(units)
+            places = self._places(units, np.arange(len(units) - block + 1))
             for end in range(block, span + 1):
                 np.minimum.at(self.shift, places[starts + end - block], span - end)
 
     def __len__(self) -> int:
         return len(self.hashes)
 
-    def _places(self, units: np.ndarray) -> np.ndarray:
-        """For each unit the place in the shift table of the block that begins there."""
-        n = max(0, len(units) - self.block + 1)
-        h = np.zeros(n, dtype=np.uint64)
-        for i in range(self.block):
-            h = h * np.uint64(_BASE) + units[i : i + n]
-        return (_mix(h) & self.mask).astype(np.int64)
+    def _units(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all texts in a row, and where each text's begin (and the last ends)."""
+        edges = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+        if not self.by_word:
+            return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), edges
+        number = self.number.get
+        return np.fromiter((number(w, 0) for words in texts for w in words), dtype=np.uint32, count=int(edges[-1])), edges
 
-    def find(self, texts: list[str]) -> list[tuple[int, int]]:
+    def _places(self, units: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The places in the shift table of the blocks that begin at ``starts``."""
+        return (_hash_at(units, starts, self.block) & self.mask).astype(np.int64)
+
+    def find(self, texts: list) -> list[tuple[int, int]]:
         """``(number of the text, id)`` for each text that holds a window, without repeats."""
         if not len(self) or not texts:
             return []
-        units, edges = units_of(texts, self.by_word)
+        units, edges = self._units(texts)
         span, block = self.span, self.block
-        places = self._places(units)
         # Long texts as slices that overlap by a window less one unit.
-        bounds = [(n, s, min(s + _SLICE + span - 1, b)) for n, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) for s in range(a, max(a + 1, b - span + 1), _SLICE)]
+        bounds = [(n, s, min(s + _SLICE + span - 1, b)) for n, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) for s in range(a, max(a + 1, b - span + 1), _SLICE)]
         owner, begin, limit = (np.array(x, dtype=np.int64) for x in zip(*bounds, strict=True))
-        end = begin + span
         hit_owner, hit_start = [], []
-        live = np.flatnonzero(end <= limit)
-        while len(live):
-            step = self.shift[places[end[live] - block]].astype(np.int64)
-            stops = live[step == 0]
-            if len(stops):
+        some = begin + span <= limit
+        owner, end, limit = owner[some], (begin + span)[some], limit[some]
+        while len(end):
+            step = self.shift[self._places(units, end - block)].astype(np.int64)
+            stops = step == 0
+            if stops.any():
                 hit_owner.append(owner[stops])
                 hit_start.append(end[stops] - span)
-            end[live] += np.maximum(step, 1)
-            live = live[end[live] <= limit[live]]
+            end = end + np.maximum(step, 1)
+            left = end <= limit
+            if not left.all():
+                owner, end, limit = owner[left], end[left], limit[left]
         if not hit_owner:
             return []
         owners, starts = np.concatenate(hit_owner), np.concatenate(hit_start)
-        hashes = _hashes_at(units, starts, span)
+        hashes = _hash_at(units, starts, span)
         low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
+        there = high > low
         found: dict[tuple[int, int], None] = {}
-        wording: dict[int, list[str] | str] = {}
-        for n, start, a, b in zip(owners[high > low].tolist(), starts[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
+        for n, start, a, b in zip(owners[there].tolist(), starts[there].tolist(), low[there].tolist(), high[there].tolist(), strict=True):
+            here = start - int(edges[n])
             for k in range(a, b):
-                pair = (n, int(self.ids[self.owner[k]]))
-                if pair in found:
-                    continue
-                if n not in wording:
-                    wording[n] = self._wording(texts[n])
-                here = start - int(edges[n])
-                own = self._own_wording(int(self.owner[k]))
-                if wording[n][here : here + span] == own[self.at[k] : self.at[k] + span]:
+                own, at = int(self.owner[k]), int(self.at[k])
+                pair = (n, int(self.ids[own]))
+                if pair not in found and texts[n][here : here + span] == self.texts[own][at : at + span]:
                     found[pair] = None
         return list(found)
 
-    def _wording(self, text: str) -> list[str] | str:
-        words = _WORD.findall(text)
-        return words if self.by_word else "".join(words)
-
-    def _own_wording(self, n: int) -> list[str] | str:
-        return self._wording(self.texts[n])
-
-
-def _hashes_at(units: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
-    return _hashes(units, starts, starts + span)
-
 
 def item_slices(items: DataFrame, words: int, characters: int) -> DataFrame:
     """``item_id, by_word, text, cost``: folded texts of items in slices that hold all their windows.
@@ -208,28 +194,26 @@ def _search(path: str, block: int, words: int, characters: int, key: str):
         matchers = []
         for by_word, span, size in ((True, words, 2), (False, characters, 3)):
             own = rows[rows["by_word"] == by_word] if len(rows) else rows
-            matchers.append(WuManber(list(own["text"]) if len(own) else [], list(own["item_id"]) if len(own) else [], by_word, span, min(size, span)))
+            texts = list(own["text"]) if len(own) else []
+            matchers.append(WuManber([t.split(" ") for t in texts] if by_word else texts, list(own["item_id"]) if len(own) else [], by_word, span, min(size, span)))
         return matchers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matchers = read_block(path, block, make)
+        by_word, by_character = read_block(path, block, make)
         for batch in batches:
-            keys = batch["k"]
             numbers, hits = [], []
-            part: list[str] = []
+            part: list[list[str]] = []
             first = size = 0
-            texts = [folded(t) if t else "" for t in batch["t"]]
-            for n, text in enumerate([*texts, None]):
+            for n, text in enumerate([*batch["t"], None]):
                 if text is None or (part and size + len(text) > _ROUND):
-                    for matcher in matchers:
-                        for number, hit in matcher.find(part):
-                            numbers.append(first + number)
-                            hits.append(hit)
+                    found = by_word.find(part) + (by_character.find(["".join(row) for row in part]) if len(by_character) else [])
+                    numbers += [first + number for number, _ in found]
+                    hits += [hit for _, hit in found]
                     part, first, size = [], n, 0
                 if text is not None:
-                    part.append(text)
+                    part.append(_WORD.findall(folded(text)))
                     size += len(text)
-            yield pd.DataFrame({key: keys.iloc[numbers].reset_index(drop=True), "item_id": pd.Series(hits, dtype="int64")})
+            yield pd.DataFrame({key: batch["k"].iloc[numbers].reset_index(drop=True), "item_id": pd.Series(hits, dtype="int64")})
 
     return run
 

@@ -110,16 +110,16 @@ def test_matcher_equals_plain_search():
         joint = " " if by_word else ""
         make = lambda n: joint.join(rng.choice(letters) for _ in range(n))
         texts, ids = [make(rng.randrange(span, 9)) for _ in range(12)], [rng.randrange(6) for _ in range(12)]
-        matcher = leak.WuManber(texts, ids, by_word, span, block)
+        split = (lambda t: t.split()) if by_word else (lambda t: t)
+        matcher = leak.WuManber([split(t) for t in texts], ids, by_word, span, block)
         corpus = ["", make(span - 1), *[make(rng.randrange(60)) for _ in range(200)]]
-        split = (lambda t: t.split()) if by_word else list
         windows = {}
         for t, i in zip(texts, ids, strict=True):
             units = split(t)
             for k in range(len(units) - span + 1):
                 windows.setdefault(tuple(units[k : k + span]), set()).add(i)
         wanted = {(n, i) for n, t in enumerate(corpus) for k in range(len(split(t)) - span + 1) for i in windows.get(tuple(split(t)[k : k + span]), ())}
-        got = matcher.find(corpus)
+        got = matcher.find([split(t) for t in corpus])
         assert len(got) == len(set(got)) and set(got) == wanted
 
 
@@ -127,9 +127,9 @@ def test_long_documents_and_items_are_searched_whole(spark, monkeypatch):
     monkeypatch.setattr(leak, "_SLICE", 50)
     words = [f"w{i}" for i in range(5000)]
     passage = " ".join(f"p{i}" for i in range(12))
-    matcher = leak.WuManber([passage], [7], True, 12, 2)
+    matcher = leak.WuManber([passage.split()], [7], True, 12, 2)
     for at in (0, 37, 44, 49, 50, 51, 4988, 5000):
-        assert matcher.find([" ".join([*words[:at], passage, *words[at:]])]) == [(0, 7)]
+        assert matcher.find([[*words[:at], *passage.split(), *words[at:]]]) == [(0, 7)]
     monkeypatch.setattr(leak, "_ITEM_SLICE", 800)
     long_item = " ".join(words)
     found = leak.find_leaks(docs(spark, [(i, " ".join(words[a : a + n])) for i, (a, n) in enumerate([(95, 12), (88, 12), (4988, 12), (100, 11), (0, 5000)])]), items(spark, [(1, "en", long_item), (1, "en", long_item)]))
