@@ -1,9 +1,12 @@
 """Personal information in free text: detection, and keyed surrogates.
 
-Detection is a set of shapes with cues, for English, German, Spanish, French and
-Chinese.  Replacement gives every distinct entity one keyed surrogate of its own
-type, format, script and (for names) gender; entities that differ get different
-surrogates, mentions of one entity get the same one.
+Detection is a set of shapes with cues.  Names in Latin letters rest on evidence of
+the corpus: from a list of frequent given names and from titles Spark learns family
+names, and from these further given names (``learn_names``).
+
+Replacement gives every distinct entity one keyed surrogate of its own type, format,
+script and (for names) gender; entities that differ get different surrogates, which
+aren't entities of the corpus themselves, and mentions of one entity get the same one.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.session import cut
+from lodestone.session import cut, written
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -52,9 +56,13 @@ _ADDRESSES = [
     re.compile(
         rf"(?<![\w.,/])\d{{1,4}}(?: (?:bis|ter|quater))?,? (?:rue|avenue|chemin|quai|place|boulevard|allée|impasse|sentier|cours) (?:(?:des|de la|du|de|de l['’]|d['’]|aux?) ?)?[{_UP}]{_W}+(?:[- ](?:(?:des|de la|du|de) )?[{_UP}]{_W}+)*(?:, \d{{5}} {_PLACE})?"
     ),
+    re.compile(rf"(?<!\w)(?:[{_UP}]{_W}*[{_LOW}](?:straat|laan|plein|gracht|kade) \d{{1,4}} ?[a-h]?(?!\w)(?:, \d{{4}} ?[A-Z]{{2}} {_PLACE})?|ul\. [{_UP}]\w+(?: [{_UP}]\w+)* \d{{1,4}}[a-z]?(?:/\d{{1,4}})?(?:, \d\d-\d{{3}} [{_UP}]\w+)?)"),
+    re.compile(rf"(?<!\w)(?:[Rr]ua|[Tt]ravessa|[Ll]argo) (?:(?:d[aeo]s?|del|della) )?[{_UP}]{_W}+(?: (?:d[aeo]s? )?[{_UP}]{_W}+)*,? (?:n\.º )?\d{{1,4}}(?!\d)(?:, \d{{4,5}}-\d{{3}} {_PLACE})?"),
+    # Without a postcode the Italian word for a street reads as a preposition of other languages.
+    re.compile(rf"(?<!\w)(?:[Vv]ia|[Vv]iale|[Pp]iazza|[Cc]orso|[Vv]icolo) (?:(?:d[aei]l?|della|dei|delle|degli) )?[{_UP}]{_W}+(?: [{_UP}]{_W}+)*,? \d{{1,4}}[a-z]?, \d{{5}} {_PLACE}"),
     re.compile(r"(?:(?:(?![在到于址送寄往住是至从])[一-鿿]){2,3}省)?(?:(?![在到于址送寄往住是至从])[一-鿿]){2,4}?市[一-鿿]{1,4}?[区县](?:[一-鿿]{1,4}镇)?[一-鿿]{1,6}?(?:路|街|大道|巷|道|弄)\d{1,5}号(?:\d+(?:号楼|栋|单元))*(?:\d+[室层])?"),
 ]
-_ADDRESS_HINT = re.compile(r"Street|Avenue|Road|Lane|Boulevard|Court|Terrace|Drive|Place|Square|Crescent|Close|Way|Hill|Row|Blvd|Ave|St|Rd|Ln|Ct|Dr|gasse|stra|str\.|weg|allee|platz|ufer|damm|ring|Straße|Weg|Calle|C/|Av|Pla|Pas|Cam|Ron|Trav|rue|avenue|chemin|quai|place|boulevard|impasse|sentier|cours|号")
+_ADDRESS_HINT = re.compile(r"Street|Avenue|Road|Lane|Boulevard|Court|Terrace|Drive|Place|Square|Crescent|Close|Way|Hill|Row|Blvd|Ave|St|Rd|Ln|Ct|Dr|gasse|stra|str\.|weg|allee|platz|ufer|damm|ring|Straße|Weg|Calle|C/|Av|Pla|Pas|Cam|Ron|Trav|rue|avenue|chemin|quai|place|boulevard|impasse|sentier|cours|号|straat|laan|plein|gracht|kade|ul\.|[Rr]ua|[Tt]ravessa|[Ll]argo|[Vv]ia|[Pp]iazza|[Cc]orso|[Vv]icolo")
 
 _CLUSTER = re.compile(r"(?a)(?<![\w@.+/-])[+(]?\d[\d ()./-]{5,22}\d(?![\d@]|[.,]\d|-\w)")
 _PHONES = [
@@ -70,7 +78,7 @@ _PHONES = [
     )
 ]
 #: Nine digits without separators are a phone number only after a word that says so.
-_BARE, _BARE_CUE = re.compile(r"[5-9]\d{8}"), re.compile(r"(?:al|au|tel\.?|Tel\.?|teléfono|móvil|número|unter|callback on|[Cc]all):? $")
+_BARE, _BARE_CUE = re.compile(r"[5-9]\d{8}"), re.compile(r"(?:\bal|\bau|[Tt]el\.?|[Pp]hone|[Tt]eléfono|[Mm]óvil|[Nn]úmero|[Tt]elefon|[Hh]andy|[Tt]éléphone|\bunter|\bon|\bat|[Cc]all):? $")
 _ID_DIGITS = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}|\d{17}|[12] \d\d \d\d \d[\dAB] \d{3} \d{3}(?: \d\d)?|\d{2} \d{3} \d{3} \d{3}")
 _ID_SHAPES = re.compile(
     r"(?a)(?<![\w.@/-])(?:\d{17}[\dXx]|[A-CEGHJ-PQ-Z][A-NP-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}-?[A-HJ-NP-TV-Z]|[XYZ]-?\d{7}-?[A-HJ-NP-TV-Z])(?![\w@])|(?<![\w.@/-])(?:\d{3}[- ]\d{2}[- ]\d{4})(?![\w@-])"
@@ -83,23 +91,33 @@ _ID_CUED = re.compile(
 _NAME = re.compile(rf"(?<![\w@.+/-])([{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?)((?: [{_UP}]\.){{0,2}}) ({_FAMILY})(?![\w@]|\.\w)")
 _REVERSED = re.compile(rf"(?<![\w@.+/-])([{_UP}]{{3,}}(?:['’-][{_UP}]{{2,}})*), ([{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?)((?: [{_UP}]\.){{0,2}})(?![\w@])")
 _TITLED = re.compile(
-    rf"(?:(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Dra|Hr|Fr|M)\.|Mister|Monsieur|Madame|Mme|Mlle|Herrn?|Frau|Señora?|Don|Doña|\"owner\": \"|\| owner \| |tester=\"|greets |^cc |Llamar a |Appeler )((?:{_FAMILY} )?(?:[{_UP}]\. )*{_FAMILY})(?![\w@]|\.\w)",
-    re.MULTILINE,
+    rf"(?:(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Dra|Hr|Fr|M)\.|(?<!\w)(?:Mister|Monsieur|Madame|Mme|Mlle|Herrn?|Frau|Señora?|Don|Doña|Signora?|Sir|Lady|Professor|Doctor)) ((?:{_FAMILY} )?(?:[{_UP}]\. )*{_FAMILY})(?![\w@]|\.\w)"
+)
+#: Capitalised words in a row, each pair of neighbours.
+_PAIR = re.compile(rf"(?<![\w@.+/-])([{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?)(?: [{_UP}]\.){{0,2}} (?=({_FAMILY})(?![\w@]|\.\w))")
+#: Articles and the like, which stand before common nouns and hardly ever before names.
+_AFTER_ARTICLE = re.compile(
+    rf"(?<!\w)(?:[Tt]he|[Aa]n?|[Tt]his|[Tt]hat|[Ee]ach|[Oo]ur|[Ii]hr|[Dd](?:er|ie|as|en|em|es)|[Ee]in(?:e[mnrs]?)?|[Kk]ein(?:e[mnrs]?)?|[Uu]nser(?:e[mnrs]?)?|[Ll](?:e|a|es|os|as)|[Ee]l|[Uu]n(?:a|e)?|[Dd]es|[Nn]otre|[Cc]e(?:tte)?|[Ee]s[et]a?) ([{_UP}][{_LOW}]+)"
 )
+_CYRILLIC_NAME = re.compile(r"(?<!\w)[А-ЯЁ][а-яё]+(?: [А-ЯЁ][а-яё]+(?:ич|ич[аеу]|ичем|вн[аеуы]|вной))? [А-ЯЁ][а-яё]+(?:(?:ов|ев|ёв|ин|ын)(?:а|у|ым|е|ой)?|(?:ск|цк)(?:ий|ая|ого|ой|ому|им|ую)|енко|чук)(?!\w)")
+_HONORIFIC_NAME = re.compile(r"((?:[一-鿿]{1,3}[ \u3000])?[一-鿿]{1,4}|[ァ-ヴー]{2,10})(?=さん|さま|様|殿)|(?<![가-힣])([가-힣]{2,4})(?= ?(?:씨|님)(?![가-힣]))")
 _HAN_NAME = r"((?:司徒|亓官|欧阳|上官|诸葛|东方|皇甫|尉迟|公孙|慕容|令狐|夏侯|司马|端木|百里|[一-鿿])[一-鿿]{1,2})"
 _HAN = [
     re.compile(p, re.MULTILINE)
     for p in (
-        rf"(?:联系人|收件人|负责人|姓名|寄件人|经办人|客户|用户|测试员)[：: ]?{_HAN_NAME}(?=[，。；、,;（(\s]|的|住|电话|手机|$)",
+        rf"(?:联系人|收件人|负责人|姓名|寄件人|经办人|客户|用户)[：: ]?{_HAN_NAME}(?=[，。；、,;（(\s]|的|住|电话|手机|$)",
         rf"(?:由|请|找|和|跟)(?:(?!由){_HAN_NAME})(?:跟进|负责|处理|确认|接手|联系|签收)",
         rf"(?:^|(?<=[。；，、：\s>|*-])){_HAN_NAME}(?:的(?:手机|电话|邮箱|号码|地址|住址)|(?:先生|女士|老师)|（证件号)",
     )
 ]
-_HAN_HINT = re.compile(r"联系人|收件人|负责人|姓名|寄件人|经办人|客户|用户|测试员|跟进|负责|处理|确认|接手|联系|签收|的手机|的电话|的邮箱|的号码|的地址|的住址|先生|女士|老师|证件号")
+_HAN_HINT = re.compile(r"联系人|收件人|负责人|姓名|寄件人|经办人|客户|用户|跟进|负责|处理|确认|接手|联系|签收|的手机|的电话|的邮箱|的号码|的地址|的住址|先生|女士|老师|证件号")
+
 
+def find_entities(text: str, given: frozenset[str] | set[str] = frozenset()) -> list[tuple[str, int, int]]:
+    """``(kind, start, end)`` of all entities of a text, in order, without overlap.
 
-def find_entities(text: str) -> list[tuple[str, int, int]]:
-    """``(kind, start, end)`` of all entities of a text, in order, without overlap."""
+    ``given`` are given names beside those of the list.
+    """
     taken: list[tuple[int, int]] = []
     found: list[tuple[str, int, int]] = []
 
@@ -125,13 +143,15 @@ def find_entities(text: str) -> list[tuple[str, int, int]]:
         if text[start] == "(" and ")" not in m[0]:
             start += 1
         digits = text[start:end]
+        # A bracketed area code says enough for a short number.
+        least = 8 if digits.startswith("(0") else 9
         if _ID_DIGITS.fullmatch(digits):
             add("id_number", start, end)
-        elif 9 <= sum(c.isdigit() for c in digits) <= 16 and (any(p.fullmatch(digits) for p in _PHONES) or (_BARE.fullmatch(digits) and _BARE_CUE.search(text, max(0, start - 12), start))):
+        elif least <= sum(c.isdigit() for c in digits) <= 16 and (any(p.fullmatch(digits) for p in _PHONES) or (_BARE.fullmatch(digits) and _BARE_CUE.search(text, max(0, start - 12), start))):
             add("phone", start, end)
     at = 0
     while m := _NAME.search(text, at):
-        known = m[1] in _GENDER or m[1].split("-")[0] in _GENDER
+        known = m[1] in _GENDER or m[1] in given or m[1].split("-")[0] in _GENDER
         if known:
             add("name", m.start(), m.end())
         at = m.end() if known else m.end(1)  # the second word may be the given name
@@ -139,31 +159,127 @@ def find_entities(text: str) -> list[tuple[str, int, int]]:
         add("name", m.start(), m.end())
     for m in _TITLED.finditer(text):
         add("name", m.start(1), m.end(1))
-    if not text.isascii() and _HAN_HINT.search(text):
-        for pattern in _HAN:
+    if not text.isascii():
+        if _HAN_HINT.search(text):
+            for pattern in _HAN:
+                for m in pattern.finditer(text):
+                    add("name", m.start(1), m.end(1))
+        for pattern in (_CYRILLIC_NAME, _HONORIFIC_NAME):
             for m in pattern.finditer(text):
-                add("name", m.start(1), m.end(1))
+                add("name", m.start(), m.end())
     return sorted(found, key=lambda x: x[1])
 
 
+def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of ``(kind, word, other)``: pairs, words behind titles, words with a capital, in small letters, behind articles."""
+    for batch in batches:
+        counts: Counter = Counter()
+        for text in batch["text"]:
+            if not text:
+                continue
+            counts.update(("pair", a, b) for a, b in _PAIR.findall(text))
+            counts.update(("title", name.rpartition(" ")[2], "") for name in _TITLED.findall(text))
+            counts.update(("article", word, "") for word in _AFTER_ARTICLE.findall(text))
+            counts.update(("word", word, "") for word in text.split())
+        rows = []
+        for (kind, word, other), n in counts.items():
+            if kind == "word":
+                word = word.strip(_MARKS)
+                if not word.translate(_INSIDE).isalpha():
+                    continue
+                kind = "capital" if word[0].isupper() and not word.isupper() else "small"
+                word = word[0].upper() + word[1:]
+            rows.append((kind, word, other, n))
+        yield pd.DataFrame(rows, columns=["kind", "word", "other", "n"]).astype({"kind": object, "word": object, "other": object, "n": "int64"})
+
+
+_MARKS = "\"'“”‘’„«»()[]{}<>.,;:!?…*_|`。，；：！？（）"
+
+
+#: Marks within names.
+_INSIDE = str.maketrans("", "", "-'’")
+#: Titles, which stand before family names as given names do.
+_TITLE_WORDS = "Mr Mrs Ms Dr Prof Sr Sra Dra Hr Fr Mister Monsieur Madame Mme Mlle Herr Herrn Frau Señor Señora Don Doña Signor Signora Sir Lady Professor Doctor".split()
+
+
+def learn_names(texts: DataFrame, text: str = "text", least_given: int = 2) -> DataFrame:
+    """Given names that the texts show beside those of the list: column ``word``.
+
+    A *family name* stands behind ``least_given`` different listed given names, or behind a
+    title.  A *given name* stands right before a family name.  Either must hardly be
+    written in small letters or behind an article (each in less than 1 of 20 uses),
+    which common nouns and words that begin sentences are.
+
+    All texts are counted, in one pass; counts are combined in the map tasks.
+    """
+    each = texts.select(F.col(f"`{text}`").alias("text")).mapInPandas(_evidence, "kind string, word string, other string, n long")
+    counts = cut(each.groupBy("kind", "word", "other").agg(F.sum("n").alias("n")))
+    of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
+    words = counts.where("kind <> 'pair'").groupBy("word").agg(of("capital").alias("capital"), of("small", "article").alias("common"), of("title").alias("title"))
+    proper = words.where("title > 0 or capital > 0").where("20 * common < capital + title")
+    listed = F.col("word").isin(*_GENDER)
+    pairs = counts.where("kind = 'pair'").select("word", F.col("other").alias("family"), "n")
+    behind = pairs.where(listed).groupBy("family").agg(F.count(F.lit(1)).alias("n_given"))
+    ends = proper.select(F.col("word").alias("family"), "title")
+    families = ends.hint("merge").join(behind.hint("merge"), "family", "left").where((F.col("title") > 0) | (F.col("n_given") >= least_given)).select("family")
+    before = pairs.where(~listed & ~F.col("word").isin(*_TITLE_WORDS)).hint("merge").join(families.hint("merge"), "family").select("word").distinct()
+    return before.hint("merge").join(proper.select("word").hint("merge"), "word", "left_semi")
+
+
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()), T.StructField("entity", T.StringType())]))
 
 
+def entity_spans(given: frozenset[str] | set[str] = frozenset()):
+    """A column function: all entities of a text with their places (code points) and wording; none for null."""
+    given = frozenset(given)
+
+    @F.pandas_udf(_SPANS)
+    def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[(k, a, b, t[a:b]) for k, a, b in find_entities(t, given)] if t else [] for t in texts], dtype=object)
+
+    return column
+
+
 @F.pandas_udf(_SPANS)
-def entity_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """All entities of a text with their places (code points) and wording; none for null."""
-    for texts in batches:
-        yield pd.Series([[(k, a, b, t[a:b]) for k, a, b in find_entities(t)] if t else [] for t in texts], dtype=object)
+def _spans_with(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, names in batches:
+        yield pd.Series([[(k, a, b, t[a:b]) for k, a, b in find_entities(t, set(own) if own is not None else set())] if t else [] for t, own in zip(texts, names, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _first_words(texts: pd.Series) -> pd.Series:
+    return pd.Series([sorted({a for a, _ in _PAIR.findall(t)}) if t else [] for t in texts], dtype=object)
+
 
+def with_entities(rows: DataFrame, text: str = "text", names: DataFrame | None = None, most_sent: int = 200_000) -> DataFrame:
+    """``rows`` with ``_spans``, the entities of each text.
 
-def find_personal_data(rows: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    ``names`` (column ``word``) are given names beside those of the list; without it
+    they are learned from ``rows``.  Up to ``most_sent`` of them go to every task.
+    Beyond that each text is joined with those names that it holds, and the result is
+    the same.
+    """
+    names = cut(learn_names(rows, text) if names is None else names.select("word").distinct())
+    known = [r["word"] for r in names.limit(most_sent + 1).collect()]
+    if len(known) <= most_sent:
+        return rows.withColumn("_spans", entity_spans(known)(F.col(f"`{text}`")))
+    based = rows.withColumn("_text", F.col(f"`{text}`"))
+    each = based.where("_text is not null").select("_text").distinct().select("_text", F.explode(_first_words("_text")).alias("word"))
+    own = each.hint("merge").join(names.hint("merge"), "word").groupBy("_text").agg(F.collect_set("word").alias("_own"))  # names of one text
+    return based.hint("merge").join(own.hint("merge"), "_text", "left").withColumn("_spans", _spans_with("_text", "_own")).drop("_text", "_own")
+
+
+def find_personal_data(rows: DataFrame, key: str = "chunk_id", text: str = "text", names: DataFrame | None = None, most_sent: int = 200_000) -> DataFrame:
     """``key, kind, char_start, char_end, entity`` of every entity of every row.
 
     Positions count code points in the stored text.  Null and empty texts give
-    nothing; the same row twice gives its entities once.
+    nothing; the same row twice gives its entities once.  ``names`` and ``most_sent``
+    as in ``with_entities``.
     """
-    each = rows.select(F.col(key), F.explode(entity_spans(F.col(f"`{text}`"))).alias("e"))
-    return each.select(key, "e.kind", "e.char_start", "e.char_end", "e.entity").distinct()
+    base = rows.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_body"))
+    each = with_entities(base, "_body", names, most_sent).select("_key", F.explode("_spans").alias("e"))
+    return each.select(F.col("_key").alias(key), "e.kind", "e.char_start", "e.char_end", "e.entity").distinct()
 
 
 def canonical_entity(kind: str, entity: str) -> str:
@@ -176,6 +292,8 @@ def canonical_entity(kind: str, entity: str) -> str:
         return _DOT.sub(".", _AT.sub("@", entity)).casefold()
     if kind in ("phone", "id_number"):
         return re.sub(r"[^0-9A-Za-z+]", "", entity).upper()
+    if kind == "family":
+        return entity.casefold()
     return " ".join(entity.split()).casefold()
 
 
@@ -193,7 +311,41 @@ class _Stream:
 
 
 _SYLLABLES = "bar bel bor dan del dor fal fen gar hal har kel lan lor mar mel nor pel ran rin sel sor tal ten var vel wan wen".split()
-_HAN_GIVEN = "安宁景明思远嘉和书雅文清子涵一诺若溪云舒"
+#: Frequent Chinese and Korean family names, and characters of given names.
+_HAN_FAMILY = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾萧田董袁潘蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+_HAN_COMPOUND = "欧阳 上官 诸葛 皇甫 尉迟 公孙 慕容 令狐 夏侯 司马 司徒 端木 东方 百里 亓官".split()
+_HAN_GIVEN = "安宁景明思远嘉和书雅文清子涵一诺若溪云舒伟芳娜秀英敏静丽强磊军洋勇艳杰娟涛超霞平刚桂兰玉萍红鹏辉建国志华宇浩轩梓怡佳琪欣妍雨泽睿博俊晨曦诗琳晓彤天翔少峰海燕春梅冬雪庆荣德福光耀振兴永康世昌立新正义忠诚朝阳长青小龙家豪美玲慧珍凤仙月娥爱莲淑贞惠如意"
+_HAN_COMMON: list[str] = []
+_HANGUL_FAMILY, _HANGUL_GIVEN = "김이박최정강조윤장임한오서신권황안송류홍", "민서준지우현수영진호성은하윤도예채아라나연주희경선미정혜원태훈석재"
+_CYRILLIC = str.maketrans("abdefghklmnoprstvwi", "абдефгхклмнопрствви")
+
+
+def _han_common() -> list[str]:
+    """The characters of the first level of GB 2312, by its rows and cells."""
+    if not _HAN_COMMON:
+        _HAN_COMMON.extend(c for row in range(0xB0, 0xD8) for cell in range(0xA1, 0xFF) if (c := bytes((row, cell)).decode("gb2312", "ignore")))
+    return _HAN_COMMON
+
+
+def script_of(text: str) -> str:
+    """The script of a name or address: of its first letter outside of Latin, else Latin."""
+    for c in text:
+        if "一" <= c <= "鿿":
+            return "han"
+        if "가" <= c <= "힣":
+            return "hangul"
+        if "ァ" <= c <= "ヿ":
+            return "kana"
+        if "Ѐ" <= c <= "ӿ":
+            return "cyrillic"
+    return "latin"
+
+
+def family_of(canonical: str) -> str | None:
+    """The family name of a canonical name in an alphabet, which all its bearers share; None in other scripts."""
+    return canonical.rpartition(" ")[2] if script_of(canonical) in ("latin", "cyrillic") else None
+
+
 #: Words of addresses that say what kind of place it is, or join others.
 _KEPT_WORDS = frozenset(
     "street avenue road lane boulevard court terrace drive place square crescent close way hill row blvd ave apt flat unit suite apartment floor "
@@ -205,36 +357,50 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _AT, _DOT = re.compile(r" ?[(\[] ?(?:at|arroba|arobase) ?[)\]] ?", re.IGNORECASE), re.compile(r" ?[(\[] ?(?:dot|punto|point|punkt) ?[)\]] ?", re.IGNORECASE)
 
 
-def surrogate(kind: str, canonical: str, secret: str, attempt: int = 0) -> str:
+def surrogate(kind: str, canonical: str, secret: str, attempt: int = 0, family: str | None = None) -> str:
     """A replacement of the same kind, made from the key and the entity alone.
 
-    Names keep gender and script, and one family name has one replacement, alone or
-    behind a given name; numbers keep their length and letters, addresses their kind
-    of street, layout and script; domains are reserved ones.  ``attempt`` gives another one.
+    Names keep gender, script and length; ``family`` is the replacement of the
+    family name (kind ``family``), which is the same alone and behind all given names.
+    Numbers keep their length and letters, addresses their kind of street, layout and
+    script; domains are reserved ones.  ``attempt`` gives another one, of a larger choice.
     """
     s = _Stream(secret, kind, canonical, str(attempt))
-    word = lambda n, s=s: "".join(_SYLLABLES[s.below(len(_SYLLABLES))] for _ in range(n))
-    han = lambda n: "".join(_HAN_GIVEN[s.below(len(_HAN_GIVEN))] for _ in range(n))
-    is_han = not canonical.isascii() and re.search(r"[一-鿿]", canonical) is not None
+    pick = lambda pool, s=s: pool[s.below(len(pool))]
+    word = lambda n: "".join(pick(_SYLLABLES) for _ in range(n))
+    han = lambda n, pool=_HAN_GIVEN: "".join(pick(pool) for _ in range(n))
+    script = script_of(canonical)
+    if kind == "family":
+        made = word(3 + min(attempt, 3)).capitalize()
+        return made.lower().translate(_CYRILLIC).capitalize() if script == "cyrillic" else made
     if kind == "name":
-        if is_han:
-            return "某" + han(2)
-        given, _, family = canonical.rpartition(" ")
-        own = _Stream(secret, "family", family, "0" if given else str(attempt))
+        if script == "han":
+            bare = canonical.replace(" ", "")
+            compound = bare[:2] in _HAN_COMPOUND
+            own = _Stream(secret, "han family", bare[: 1 + compound])
+            return pick(_HAN_COMPOUND if compound else _HAN_FAMILY, own) + han(max(1, len(bare) - 1 - compound), _HAN_GIVEN if attempt < 2 else _han_common())
+        if script == "hangul":
+            return pick(_HANGUL_FAMILY, _Stream(secret, "hangul family", canonical[:1])) + "".join(pick(_HANGUL_GIVEN) if attempt < 2 else chr(0xAC00 + s.below(11172)) for _ in range(max(1, len(canonical) - 1)))
+        if script == "kana":
+            return "".join(chr(0x30AB + s.below(60)) for _ in range(max(2, len(canonical))))
+        given = canonical.rpartition(" ")[0]
+        family = surrogate("family", family_of(canonical), secret) if family is None else family
         if not given:
-            return word(3, own).capitalize()
+            return family
+        if script == "cyrillic":
+            return f"{word(2 + min(attempt, 3)).translate(_CYRILLIC).capitalize()} {family}"
         pool = GIVEN[_GENDER.get(given.split()[0].split("-")[0].capitalize(), "f" if s.below(2) else "m")].split()
-        return f"{pool[s.below(len(pool))]} {word(3, own).capitalize()}"
+        return f"{'-'.join(pick(pool) for _ in range(1 + min(attempt, 3)))} {family}"
     if kind == "email":
-        return f"{word(3)}{s.below(1000)}@example.org"
+        return f"{word(3)}{s.below(10 ** (3 + attempt))}@example.org"
     change = lambda m: str(s.below(10)) if m[0].isdigit() else "ABCDEFGHJKLMNPQRSTUVWXYZ"[s.below(24)]
     if kind == "phone":
         keep = 3 if canonical.startswith("+") else 1
         return canonical[:keep] + re.sub(r"\d", change, canonical[keep:])
     if kind == "id_number":
         return re.sub(r"[0-9A-Z]", change, canonical)
-    if is_han:
-        return f"{han(2)}市{han(2)}区{han(2)}路{1 + s.below(999)}号"
+    if script == "han":
+        return f"{han(2)}市{han(2)}区{han(2 + min(attempt, 3))}路{1 + s.below(999)}号"
 
     def place(m: re.Match) -> str:
         if len(m[0]) < 3 or m[0] in _KEPT_WORDS:
@@ -265,12 +431,17 @@ def as_mentioned(kind: str, entity: str, by: str) -> str:
 
 def _surrogate_column(secret: str):
     @F.pandas_udf(T.StringType())
-    def column(kinds: pd.Series, entities: pd.Series, attempts: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(k, e, secret, int(a)) for k, e, a in zip(kinds, entities, attempts, strict=True)], dtype=object)
+    def column(kinds: pd.Series, entities: pd.Series, attempts: pd.Series, families: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(k, e, secret, int(a), f) for k, e, a, f in zip(kinds, entities, attempts, families, strict=True)], dtype=object)
 
     return column
 
 
+@F.pandas_udf(T.StringType())
+def _family_column(names: pd.Series) -> pd.Series:
+    return pd.Series([family_of(n) for n in names], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def _as_mentioned_column(kinds: pd.Series, entities: pd.Series, surrogates: pd.Series) -> pd.Series:
     return pd.Series([as_mentioned(k, e, b) for k, e, b in zip(kinds, entities, surrogates, strict=True)], dtype=object)
@@ -281,51 +452,75 @@ def _canonical_column(kinds: pd.Series, entities: pd.Series) -> pd.Series:
     return pd.Series([canonical_entity(k, e) for k, e in zip(kinds, entities, strict=True)], dtype=object)
 
 
-def assign_surrogates(entities: DataFrame, secret: str, rounds: int = 3) -> DataFrame:
-    """``kind, canonical, surrogate``, one row for each entity, surrogates distinct within a kind.
-
-    Entities that meet on one surrogate are told apart: the first in order keeps it,
-    the others draw again.  After ``rounds`` rounds those that still meet carry
-    their rank as a suffix, so distinctness doesn't depend on luck.
-    """
-    table = cut(entities.select("kind", "canonical").distinct().withColumn("attempt", F.lit(0)))
+def _distinct_surrogates(entities: DataFrame, real: DataFrame, secret: str, rounds: int) -> DataFrame:
+    """``kind, canonical, surrogate`` for ``kind, canonical, family``; surrogates differ in their canonical form and aren't in ``real``."""
     make = _surrogate_column(secret)
-    by_surrogate = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canonical")
+    taken = real.select("kind", F.col("canonical").alias("form"), F.lit(True).alias("_real"))
+    by_form = Window.partitionBy("kind", "form").orderBy("attempt", "canonical")
+
+    def drawn(table: DataFrame) -> DataFrame:
+        each = table.withColumn("surrogate", make("kind", "canonical", "attempt", "family")).withColumn("form", _canonical_column("kind", "surrogate"))
+        ranked = each.hint("merge").join(taken.hint("merge"), ["kind", "form"], "left").withColumn("_rank", F.row_number().over(by_form))
+        return ranked.withColumn("_again", F.when(F.col("_real"), F.col("_rank")).otherwise(F.col("_rank") - 1))
+
+    table = entities.select("kind", "canonical", "family").distinct().withColumn("attempt", F.lit(0))
     for _ in range(rounds):
-        drawn = table.withColumn("surrogate", make("kind", "canonical", "attempt"))
-        table = cut(drawn.withColumn("_rank", F.row_number().over(by_surrogate)).select("kind", "canonical", F.when(F.col("_rank") > 1, F.col("attempt") + F.col("_rank") - 1).otherwise(F.col("attempt")).alias("attempt")))
-    drawn = table.withColumn("surrogate", make("kind", "canonical", "attempt")).withColumn("_rank", F.row_number().over(by_surrogate))
-    return drawn.select("kind", "canonical", F.when(F.col("_rank") > 1, F.concat_ws("-", "surrogate", "_rank")).otherwise(F.col("surrogate")).alias("surrogate"))
+        table = cut(drawn(table).select("kind", "canonical", "family", (F.col("attempt") + F.col("_again")).alias("attempt")))
+    return drawn(table).select("kind", "canonical", F.when(F.col("_again") > 0, F.concat_ws("-", "surrogate", F.col("_again") + 1)).otherwise(F.col("surrogate")).alias("surrogate"))
+
+
+def assign_surrogates(entities: DataFrame, secret: str, rounds: int = 5) -> DataFrame:
+    """``kind, canonical, surrogate``, one row for each entity (``kind, canonical``).
+
+    Surrogates are distinct within a kind, and none is an entity of the same kind
+    itself.  Family names get theirs first, so that those who share one share it
+    afterwards, and no others.  Entities that meet on one surrogate are told apart:
+    the first in order keeps it, the others draw again, from a larger choice; after
+    ``rounds`` rounds those that still meet carry their rank as a suffix, so
+    distinctness doesn't depend on luck.
+    """
+    real = cut(entities.select("kind", "canonical").distinct().withColumn("family", F.when(F.col("kind") == "name", _family_column("canonical"))))
+    families = real.where("family is not null").select(F.lit("family").alias("kind"), F.col("family").alias("canonical"), F.lit(None).cast("string").alias("family")).distinct()
+    replaced = _distinct_surrogates(families, families, secret, rounds).select(F.col("canonical").alias("family"), F.col("surrogate").alias("_by"))
+    named = real.hint("merge").join(replaced.hint("merge"), "family", "left").select("kind", "canonical", F.col("_by").alias("family"))
+    return _distinct_surrogates(named, real, secret, rounds)
 
 
 @F.pandas_udf(T.StringType())
 def _replace(texts: pd.Series, edits: pd.Series) -> pd.Series:
     out = []
     for text, changes in zip(texts, edits, strict=True):
+        if text is None:
+            out.append(None)
+            continue
         for change in sorted(changes, key=lambda c: -c["char_start"]):
             text = text[: change["char_start"]] + change["by"] + text[change["char_end"] :]
         out.append(text)
     return pd.Series(out, dtype=object)
 
 
-def redact(rows: DataFrame, secret: str, key: str = "chunk_id", text: str = "text", placeholders: bool = False) -> DataFrame:
+def redact(rows: DataFrame, secret: str, key: str = "chunk_id", text: str = "text", placeholders: bool = False, names: DataFrame | None = None, most_sent: int = 200_000) -> DataFrame:
     """``rows`` with ``redacted``: the text with every entity replaced, all else as it was.
 
     With ``placeholders`` an entity becomes ``[EMAIL]``, ``[PHONE]`` and so on, else
     its surrogate.  Rows without entities, null and empty texts stay as they are;
-    all rows and columns are kept.  Only texts with entities are shuffled, once for
-    each distinct text.
+    all rows and columns are kept (an old ``redacted`` is replaced).  Entities are
+    looked for once; what was found is kept with a 128-bit hash of its text, once for
+    each distinct text, and joined by that.  ``names``, ``most_sent``: see ``with_entities``.
     """
     kept = [F.col(f"`{c}`") for c in rows.columns if c != "redacted"]
-    base = rows.select(*kept, entity_spans(F.col(f"`{text}`")).alias("_spans"))
-    touched = cut(base.where(F.size("_spans") > 0).select(F.col(f"`{text}`").alias("_text"), "_spans").dropDuplicates(["_text"]))
-    spans = touched.select("_text", F.explode("_spans").alias("e")).select("_text", "e.*")
+    body = F.col(f"`{text}`")
+    hashes = [F.xxhash64(body).alias("_h1"), F.xxhash64(F.lit(7), body).alias("_h2")]
+    found = with_entities(rows.where(body.isNotNull()).select(body.alias("_body"), *hashes), "_body", names, most_sent).where(F.size("_spans") > 0)
+    touched = written(found.select("_h1", "_h2", "_spans")).dropDuplicates(["_h1", "_h2"])
+    spans = touched.select("_h1", "_h2", F.explode("_spans").alias("e")).select("_h1", "_h2", "e.*")
     if placeholders:
         edits = spans.withColumn("by", F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
     else:
-        spans = spans.withColumn("canonical", _canonical_column("kind", "entity"))
-        given = spans.join(assign_surrogates(spans, secret), ["kind", "canonical"])
+        spans = written(spans.withColumn("canonical", _canonical_column("kind", "entity")))
+        given = spans.hint("merge").join(assign_surrogates(spans, secret).hint("merge"), ["kind", "canonical"])
         edits = given.withColumn("by", _as_mentioned_column("kind", "entity", "surrogate"))
-    done = edits.groupBy("_text").agg(F.collect_list(F.struct("char_start", "char_end", "by")).alias("_edits")).select("_text", _replace("_text", "_edits").alias("_new"))
-    joined = base.join(done, F.when(F.size("_spans") > 0, F.col(f"`{text}`")) == F.col("_text"), "left")
-    return joined.select(*kept, F.coalesce("_new", F.col(f"`{text}`")).alias("redacted"))
+    done = edits.groupBy("_h1", "_h2").agg(F.collect_list(F.struct("char_start", "char_end", "by")).alias("_edits"))  # of one text
+    joined = rows.select(*kept, *hashes).hint("merge").join(done.hint("merge"), ["_h1", "_h2"], "left")
+    edited = F.when(F.col("_edits").isNotNull(), _replace(F.when(F.col("_edits").isNotNull(), body), F.coalesce("_edits", F.array().cast(done.schema["_edits"].dataType))))
+    return joined.select(*kept, F.coalesce(edited, body).alias("redacted"))

@@ -122,6 +122,29 @@ def test_surrogates_are_distinct(spark):
     assert len(out) == 500 and len({(r["kind"], r["surrogate"]) for r in out}) == 500
 
 
+def test_surrogates_of_names_are_distinct_and_not_real(spark):
+    han = [("name", a + b + c) for a in "王李张" for b in pii._HAN_GIVEN[:60] for c in pii._HAN_GIVEN[:40]]
+    latin = [("name", f"anna {a}{b}") for a in ("mur", "kol", "sta", "rev", "ost") for b in range(400)] + [("name", f"{g.lower()} smith") for g in pii._GENDER] + [("name", "smith")]
+    df = spark.createDataFrame(han + latin, "kind string, canonical string")
+    out = {r["canonical"]: r["surrogate"] for r in pii.assign_surrogates(df, "key").collect()}
+    assert len(out) == len(set(han + latin)) == len(set(out.values())) and not any("-" in v and v.rpartition("-")[2].isdigit() for v in out.values())
+    assert not {v.casefold() for v in out.values()} & set(out)
+    assert all(len(v) == 3 for k, v in out.items() if k[0] in "王李张") and len({out[c][0] for _, c in han if c[0] == "王"}) == 1
+    assert {out[f"{g.lower()} smith"].split()[1] for g in pii._GENDER} == {out["smith"]}
+    families = {k.split()[1]: v.split()[1] for k, v in out.items() if k.startswith("anna ")}
+    assert len(set(families.values())) == len(families)
+
+
+def test_names_are_learned_from_the_corpus(spark):
+    texts = ["Anna Okoro and Peter Okoro met.", "Then Zodwa Okoro spoke.", "Mr. Tiangco said so.", "Liwayway Tiangco agreed.", "The Cache Okoro is none.", "A Cache holds it, the Cache does.", "Later Okoro left.", "It came later, later still.", None, ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "chunk_id int, text string, word string")
+    assert {r["word"] for r in pii.learn_names(df).collect()} == {"Zodwa", "Liwayway"}
+    few = {(r["chunk_id"], r["entity"]) for r in pii.find_personal_data(df).collect()}
+    assert few == {(0, "Anna Okoro"), (0, "Peter Okoro"), (1, "Zodwa Okoro"), (2, "Tiangco"), (3, "Liwayway Tiangco")}
+    assert {(r["chunk_id"], r["entity"]) for r in pii.find_personal_data(df, most_sent=1).collect()} == few
+    assert pii.learn_names(df.where("false")).count() == 0 and pii.find_personal_data(df.where("false")).count() == 0
+
+
 def test_surrogates_keep_layout_and_family():
     def new(kind, entity):
         return pii.as_mentioned(kind, entity, pii.surrogate(kind, pii.canonical_entity(kind, entity), "key"))
