@@ -56,12 +56,14 @@ def _fold_table() -> dict[int, str]:
 
 
 _FOLD = _fold_table()
-_TO_FOLD = re.compile("[" + "".join(f"\\U{code:08x}" for code in _FOLD) + "̀-゙゚ͯ]")
+#: Within the first plane a class is a table; the others are looked at only in texts that have their characters.
+_TO_FOLD = re.compile("[" + "".join(f"\\u{code:04x}" for code in _FOLD if code < 0x10000) + "̀-゙゚ͯ]")
+_TO_FOLD_BEYOND = re.compile("[" + "".join(f"\\U{code:08x}" for code in _FOLD if code >= 0x10000) + "]")
 
 
 def fold(text: str) -> str:
     """One form of what differs only in width, composition or invisible characters."""
-    if text.isascii() or not _TO_FOLD.search(text):
+    if text.isascii() or not (_TO_FOLD.search(text) or (max(text) > "\uffff" and _TO_FOLD_BEYOND.search(text))):
         return text
     return unicodedata.normalize("NFC", text.translate(_FOLD))
 
