@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,7 +63,45 @@ _ADDRESSES = [
     re.compile(rf"(?<!\w)(?:[Vv]ia|[Vv]iale|[Pp]iazza|[Cc]orso|[Vv]icolo) (?:(?:d[aei]l?|della|dei|delle|degli) )?[{_UP}]{_W}+(?: [{_UP}]{_W}+)*,? \d{{1,4}}[a-z]?, \d{{5}} {_PLACE}"),
     re.compile(r"(?:(?:(?![在到于址送寄往住是至从])[一-鿿]){2,3}省)?(?:(?![在到于址送寄往住是至从])[一-鿿]){2,4}?市[一-鿿]{1,4}?[区县](?:[一-鿿]{1,4}镇)?[一-鿿]{1,6}?(?:路|街|大道|巷|道|弄)\d{1,5}号(?:\d+(?:号楼|栋|单元))*(?:\d+[室层])?"),
 ]
-_ADDRESS_HINT = re.compile(r"Street|Avenue|Road|Lane|Boulevard|Court|Terrace|Drive|Place|Square|Crescent|Close|Way|Hill|Row|Blvd|Ave|St|Rd|Ln|Ct|Dr|gasse|stra|str\.|weg|allee|platz|ufer|damm|ring|Straße|Weg|Calle|C/|Av|Pla|Pas|Cam|Ron|Trav|rue|avenue|chemin|quai|place|boulevard|impasse|sentier|cours|号|straat|laan|plein|gracht|kade|ul\.|[Rr]ua|[Tt]ravessa|[Ll]argo|[Vv]ia|[Pp]iazza|[Cc]orso|[Vv]icolo")
+#: What a text holds if a pattern can match at all: first one for each of the addresses, then others.
+_HINTS = {
+    "english": "Street Avenue Road Lane Boulevard Court Terrace Drive Place Square Crescent Close Way Hill Row Blvd Ave St Rd Ln Ct Dr",
+    "german": "gasse straße strasse str. weg allee platz ufer damm ring Straße Str. Weg Allee Platz Ufer",
+    "spanish": "Calle C/ Avda. Av. Avenida Plaza Paseo Camino Ronda Travesía",
+    "french": "rue avenue chemin quai place boulevard allée impasse sentier cours",
+    "dutch": "straat laan plein gracht kade ul.",
+    "portuguese": "Rua rua Travessa travessa Largo largo",
+    "italian": "Via via Viale viale Piazza piazza Corso corso Vicolo vicolo",
+    "chinese": "号",
+    "id": "assport asaporte asseport SSN ID dentity dentidad orm Ausweis ausweis eisepass teuer-ID teuernummer ocumento DNI NIE NIF sociale 证件号 身份证 护照",
+    "title": "Mr. Mrs. Ms. Dr. Prof. Sr. Sra. Dra. Hr. Fr. M. Mister Monsieur Madame Mme Mlle Herr Frau Señor Don Doña Signor Sir Lady Professor Doctor",
+}
+
+
+def _hint_automaton() -> ahocorasick.Automaton:
+    kinds: dict[str, int] = {}
+    for n, words in enumerate(_HINTS.values()):
+        for word in words.split():
+            kinds[word] = kinds.get(word, 0) | 1 << n
+    automaton = ahocorasick.Automaton()
+    for word, bits in kinds.items():
+        automaton.add_word(word, bits)
+    automaton.make_automaton()
+    return automaton
+
+
+_HINT_OF = _hint_automaton()
+_ALL_HINTS = (1 << len(_HINTS)) - 1
+
+
+def hints_of(text: str) -> set[str]:
+    """The kinds of patterns that can match in a text, of those that have hints."""
+    bits = 0
+    for _, more in _HINT_OF.iter(text):
+        bits |= more
+        if bits == _ALL_HINTS:
+            break
+    return {kind for n, kind in enumerate(_HINTS) if bits >> n & 1}
 
 _CLUSTER = re.compile(r"(?a)(?<![\w@.+/-])[+(]?\d[\d ()./-]{5,22}\d(?![\d@]|[.,]\d|-\w)")
 _PHONES = [
@@ -96,10 +135,15 @@ _TITLED = re.compile(
 #: Capitalised words in a row, each pair of neighbours.
 _PAIR = re.compile(rf"(?<![\w@.+/-])([{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?)(?: [{_UP}]\.){{0,2}} (?=({_FAMILY})(?![\w@]|\.\w))")
 #: Articles and the like, which stand before common nouns and hardly ever before names.
-_AFTER_ARTICLE = re.compile(
-    rf"(?<!\w)(?:[Tt]he|[Aa]n?|[Tt]his|[Tt]hat|[Ee]ach|[Oo]ur|[Ii]hr|[Dd](?:er|ie|as|en|em|es)|[Ee]in(?:e[mnrs]?)?|[Kk]ein(?:e[mnrs]?)?|[Uu]nser(?:e[mnrs]?)?|[Ll](?:e|a|es|os|as)|[Ee]l|[Uu]n(?:a|e)?|[Dd]es|[Nn]otre|[Cc]e(?:tte)?|[Ee]s[et]a?) ([{_UP}][{_LOW}]+)"
+_ARTICLES = frozenset(
+    word
+    for article in "the a an this that each our its der die das den dem des ein eine einen einem einer eines kein keine keinen unser unsere unseren ihr ihre le la les los las el un una une des du notre ce cette este esta ese esa".split()
+    for word in (article, article.capitalize())
 )
 _CYRILLIC_NAME = re.compile(r"(?<!\w)[А-ЯЁ][а-яё]+(?: [А-ЯЁ][а-яё]+(?:ич|ич[аеу]|ичем|вн[аеуы]|вной))? [А-ЯЁ][а-яё]+(?:(?:ов|ев|ёв|ин|ын)(?:а|у|ым|е|ой)?|(?:ск|цк)(?:ий|ая|ого|ой|ому|им|ую)|енко|чук)(?!\w)")
+_CYRILLIC_HINT, _HONORIFIC_HINT = re.compile("[А-ЯЁ]"), re.compile("[さ様殿씨님]")
+#: Every identity number of a known shape has so many digits close together.
+_SOME_DIGITS = re.compile(r"(?a)\d[\d -]{4}")
 _HONORIFIC_NAME = re.compile(r"((?:[一-鿿]{1,3}[ \u3000])?[一-鿿]{1,4}|[ァ-ヴー]{2,10})(?=さん|さま|様|殿)|(?<![가-힣])([가-힣]{2,4})(?= ?(?:씨|님)(?![가-힣]))")
 _HAN_NAME = r"((?:司徒|亓官|欧阳|上官|诸葛|东方|皇甫|尉迟|公孙|慕容|令狐|夏侯|司马|端木|百里|[一-鿿])[一-鿿]{1,2})"
 _HAN = [
@@ -129,15 +173,18 @@ def find_entities(text: str, given: frozenset[str] | set[str] = frozenset()) ->
     if _EMAIL_HINT.search(text):
         for m in _EMAIL.finditer(text):
             add("email", m.start(), m.end())
-    if _ADDRESS_HINT.search(text):
-        for pattern in _ADDRESSES:
+    hints = hints_of(text)
+    for hint, pattern in zip(_HINTS, _ADDRESSES):  # noqa: B905
+        if hint in hints:
             for m in pattern.finditer(text):
                 add("address", m.start(), m.end())
-    for m in _ID_SHAPES.finditer(text):
-        add("id_number", m.start(), m.end())
-    for m in _ID_CUED.finditer(text):
-        if sum(c.isdigit() for c in m[1]) >= 5:
-            add("id_number", m.start(1), m.end(1))
+    if _SOME_DIGITS.search(text):
+        for m in _ID_SHAPES.finditer(text):
+            add("id_number", m.start(), m.end())
+    if "id" in hints:
+        for m in _ID_CUED.finditer(text):
+            if sum(c.isdigit() for c in m[1]) >= 5:
+                add("id_number", m.start(1), m.end(1))
     for m in _CLUSTER.finditer(text):
         start, end = m.span()
         if text[start] == "(" and ")" not in m[0]:
@@ -157,40 +204,49 @@ def find_entities(text: str, given: frozenset[str] | set[str] = frozenset()) ->
         at = m.end() if known else m.end(1)  # the second word may be the given name
     for m in _REVERSED.finditer(text):
         add("name", m.start(), m.end())
-    for m in _TITLED.finditer(text):
-        add("name", m.start(1), m.end(1))
+    if "title" in hints:
+        for m in _TITLED.finditer(text):
+            add("name", m.start(1), m.end(1))
     if not text.isascii():
         if _HAN_HINT.search(text):
             for pattern in _HAN:
                 for m in pattern.finditer(text):
                     add("name", m.start(1), m.end(1))
-        for pattern in (_CYRILLIC_NAME, _HONORIFIC_NAME):
-            for m in pattern.finditer(text):
-                add("name", m.start(), m.end())
+        for hint, pattern in ((_CYRILLIC_HINT, _CYRILLIC_NAME), (_HONORIFIC_HINT, _HONORIFIC_NAME)):
+            if hint.search(text):
+                for m in pattern.finditer(text):
+                    add("name", m.start(), m.end())
     return sorted(found, key=lambda x: x[1])
 
 
 def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of ``(kind, word, other)``: pairs, words behind titles, words with a capital, in small letters, behind articles."""
     for batch in batches:
-        counts: Counter = Counter()
+        pairs: Counter = Counter()
+        titles: Counter = Counter()
+        behind: Counter = Counter()
+        words: Counter = Counter()
         for text in batch["text"]:
             if not text:
                 continue
-            counts.update(("pair", a, b) for a, b in _PAIR.findall(text))
-            counts.update(("title", name.rpartition(" ")[2], "") for name in _TITLED.findall(text))
-            counts.update(("article", word, "") for word in _AFTER_ARTICLE.findall(text))
-            counts.update(("word", word, "") for word in text.split())
-        rows = []
-        for (kind, word, other), n in counts.items():
-            if kind == "word":
-                word = word.strip(_MARKS)
-                if not word.translate(_INSIDE).isalpha():
-                    continue
+            tokens = text.split()
+            words.update(tokens)
+            behind.update([b for a, b in zip(tokens, tokens[1:]) if a in _ARTICLES])  # noqa: B905
+            pairs.update(_PAIR.findall(text))
+            if "title" in hints_of(text):
+                titles.update([name.rpartition(" ")[2] for name in _TITLED.findall(text)])
+        counts: Counter = Counter({("pair", a, b): n for (a, b), n in pairs.items()})
+        counts.update({("title", word, ""): n for word, n in titles.items()})
+        for word, n in words.items():
+            word = word.strip(_MARKS)
+            if word.translate(_INSIDE).isalpha():
                 kind = "capital" if word[0].isupper() and not word.isupper() else "small"
-                word = word[0].upper() + word[1:]
-            rows.append((kind, word, other, n))
-        yield pd.DataFrame(rows, columns=["kind", "word", "other", "n"]).astype({"kind": object, "word": object, "other": object, "n": "int64"})
+                counts[kind, word[0].upper() + word[1:], ""] += n
+        for word, n in behind.items():
+            word = word.strip(_MARKS)
+            if word[:1].isupper():
+                counts["article", word, ""] += n
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "word", "other", "n"]).astype({"kind": object, "word": object, "other": object, "n": "int64"})
 
 
 _MARKS = "\"'“”‘’„«»()[]{}<>.,;:!?…*_|`。，；：！？（）"
