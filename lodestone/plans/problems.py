@@ -26,4 +26,15 @@ def p1_zone_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return zone_evidence(walls).select("channel", "zone", "rows", "violations", F.round("delay_minutes", 3).alias("delay_minutes"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_zone_evidence": p1_zone_evidence}
+def p1_withheld(spark: SparkSession, folder: str) -> DataFrame:
+    """For each channel, how many of the moments that its declared zone gives come out the same when no zone is declared."""
+    memories = table(spark, folder, "memories").select("memory_id", "timestamp", "channel", "created_at")
+    channels = table(spark, folder, "capture_channels")
+    told = normalise_timestamps(memories, channels).where("zone_source = 'declared'").select("memory_id", "channel", "utc_micros")
+    withheld = channels.withColumn("zone_name", F.lit(None).cast("string"))
+    own = normalise_timestamps(memories, withheld).where("utc_micros is not null").select("memory_id", F.col("utc_micros").alias("estimated"))
+    both = told.join(own, "memory_id", "left")
+    return both.groupBy("channel").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("utc_micros") == F.col("estimated")).alias("agreeing"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_zone_evidence": p1_zone_evidence, "p1_withheld": p1_withheld}

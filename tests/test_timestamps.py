@@ -66,7 +66,7 @@ def test_repeated_rows_stay_and_empty_tables_work(spark):
     assert normalise_timestamps(df, channels(spark).where("false")).count() == 3
 
 
-@pytest.mark.parametrize("zone", ["Asia/Kolkata", "America/Chicago", "Europe/Helsinki"])
+@pytest.mark.parametrize("zone", ["Asia/Kolkata", "America/Chicago", "Asia/Tehran", "Pacific/Chatham"])
 def test_missing_zone_is_estimated(spark, zone):
     z = zoneinfo.ZoneInfo(zone)
     rows = []
@@ -81,6 +81,23 @@ def test_missing_zone_is_estimated(spark, zone):
     assert {r["zone_source"] for r in out.select("zone_source").distinct().collect()} == {"estimated"}
 
 
+def test_a_channel_that_moves_has_two_zones(spark):
+    rows = []
+    for day in range(300):
+        z = zoneinfo.ZoneInfo("Asia/Tokyo" if day < 150 else "America/Bogota")
+        made = EPOCH + dt.timedelta(days=20000 + day, hours=8 + day % 3, minutes=day % 50)
+        rows.append((made.astimezone(z).strftime("%Y-%m-%d %H:%M:%S"), "moving", made + dt.timedelta(minutes=2 + day % 9), int((made - EPOCH) / dt.timedelta(microseconds=1)) // 1_000_000 * 1_000_000))
+    rows += [("2025-01-01 00:00:00", "moving", None, None), (None, "moving", None, None)]
+    df = spark.createDataFrame(rows, "timestamp string, channel string, created_at timestamp, wanted long")
+    out = normalise_timestamps(df, channels(spark))
+    assert out.count() == 302 and out.where("wanted is not null and utc_micros <=> wanted").count() == 300
+    walls = df.where("wanted is not null").select("channel", F.expr("unix_micros(cast(timestamp as timestamp)) as wall_micros"), F.unix_micros("created_at").alias("ingest_micros"))
+    found = estimate_zones(walls).orderBy(F.col("from_day").asc_nulls_first()).collect()
+    assert [(r["from_day"], r["to_day"], r["violations"]) for r in found] == [(None, 20150, 0), (20150, None, 0)] and found[0]["estimated_zone"] == "Asia/Tokyo"
+    noise = walls.withColumn("wall_micros", F.col("ingest_micros") + F.expr("pmod(xxhash64(ingest_micros), 4000) * 86400000000L"))
+    assert [r["estimated_zone"] for r in estimate_zones(noise).collect()] == [None]
+
+
 def test_estimate_of_nothing(spark):
     empty = spark.createDataFrame([], "channel string, wall_micros long, ingest_micros long")
     assert estimate_zones(empty).count() == 0
