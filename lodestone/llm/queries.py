@@ -76,7 +76,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every sentence of every document."""
-    return find_sentences(table(spark, folder, "documents")).drop("sentence")
+    return find_sentences(table(spark, folder, "documents"), lang="lang").drop("sentence")
 
 
 def p2_classes(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,8 +6,12 @@ follow a number's period within a sentence (collocations) and which ones begin
 sentences.  Each period is then classified with these statistics.  Scripts that
 end sentences with marks or particles of their own need no statistics.
 
-The counts are combined in the map tasks and reduced by Spark; only what passes the
-tests (short types, a few hundred for a language) is sent to the tasks.
+Languages of the Latin script are told apart by function words, which are learned
+from labels of the documents where they have some.
+
+The counts are combined in the map tasks and reduced by Spark; what passes the tests
+(short types, a few hundred for a language) lies in the shared folder, where the tasks
+read it.
 """
 
 from __future__ import annotations
@@ -21,7 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
+from lodestone.llm.blocks import read_block, write_blocks
 from lodestone.session import cut
 
 _OPEN, _CLOSE = "\"'“‘„‚«‹「『（([【｢《〈", "\"'”’“»›」』）)]】｣》〉*_"
@@ -57,7 +63,6 @@ for _language, _words in _FUNCTION_WORDS.items():
     for _word in _words.split():
         _FUNCTION_OF.setdefault(_word, []).append(_language)
 _SCRIPTS = (("th", 0x0E00, 0x0E7F), ("hi", 0x0900, 0x097F), ("ar", 0x0600, 0x06FF), ("ru", 0x0400, 0x04FF), ("ko", 0xAC00, 0xD7AF), ("ja", 0x3040, 0x30FF), ("zh", 0x4E00, 0x9FFF))
-_IS_FUNCTION = _FUNCTION_OF.__contains__
 #: How much a letter weighs against one of another script: a syllable or a word of Latin has several.
 _WEIGHT = {"ko": 2, "ja": 3, "zh": 3}
 _SCRIPT_FIND = [(name, re.compile(f"[{chr(a)}-{chr(b)}]+")) for name, a, b in _SCRIPTS]
@@ -85,7 +90,7 @@ def _most(counts: dict[str, int], default: str) -> str:
     return max(sorted(counts), key=counts.get) if counts else default
 
 
-def languages_of(text: str, blocks: list[tuple[int, int, bool]]) -> list[str]:
+def languages_of(text: str, blocks: list[tuple[int, int, bool]], words: dict[str, tuple[str, ...]] = _FUNCTION_OF) -> list[str]:
     """The language of each block, whose statistics it uses: by script, for Latin by function words.
 
     All of the text is read.  A block that doesn't show its language (another one
@@ -101,8 +106,8 @@ def languages_of(text: str, blocks: list[tuple[int, int, bool]]) -> list[str]:
     for start, end, _ in blocks:
         part = text[start:end]
         votes: dict[str, int] = {}
-        for word in filter(_IS_FUNCTION, lowered[start:end].split() if lowered else part.lower().split()):
-            for language in _FUNCTION_OF[word]:
+        for word in filter(words.__contains__, lowered[start:end].split() if lowered else part.lower().split()):
+            for language in words[word]:
                 votes[language] = votes.get(language, 0) + 1
         _add(latin_votes, votes)
         found = _letters(part, scripts) if scripts else {}
@@ -159,28 +164,30 @@ def _type(token: str) -> str:
 
 @dataclass
 class Model:
-    """What was learned, by language."""
+    """What was learned, by language; ``function_words`` has the languages of each word."""
 
     abbreviations: dict[str, set] = field(default_factory=dict)
     starters: dict[str, set] = field(default_factory=dict)
     after_number: dict[str, set] = field(default_factory=dict)
+    function_words: dict[str, tuple[str, ...]] = field(default_factory=lambda: {word: tuple(langs) for word, langs in _FUNCTION_OF.items()})
 
 
 _NONE: frozenset = frozenset()
 
 
 def _read_token(token: str) -> tuple[str, bool, bool, bool]:
-    """A token's type in lower case (numbers: ``##``), whether it ends in a period, is a number, surely ends a sentence."""
+    """A token's type (numbers: ``##``), whether it ends in a period, is a number, surely ends a sentence."""
     bare = token.rstrip(_CLOSE)
     period = bare.endswith(".") and not bare.endswith("..")
     kind = _type(bare[:-1] if period else bare)
     number = bool(kind) and _NUMBER.fullmatch(kind) is not None
-    return "##" if number else kind.lower(), period, number, (period and len(kind) > 3 and not number) or bare[-1:] in ("!", "?")
+    return "##" if number else kind, period, number, (period and len(kind) > 3 and not number) or bare[-1:] in ("!", "?")
 
 
-def _count(texts: pd.Series) -> Counter:
+def _count(texts: pd.Series, profiles: dict[str, tuple[str, ...]] = _FUNCTION_OF) -> Counter:
     """Counts of ``(lang, kind, type)``: with period within (w) or at the end (f) of a block, without (o), after a break (s), after a number's period (n).
 
+    Types keep their capitals but for (s) and (n): a title may be written as a unit is, but for its capital.
     Tokens are counted as they are written and read once each; only those that hold
     a mark are looked at in their place.
     """
@@ -197,39 +204,42 @@ def _count(texts: pd.Series) -> Counter:
         if not text or not text.strip():
             continue
         blocks = blocks_of(text)
-        for (start, end, heading), lang in zip(blocks, languages_of(text, blocks), strict=True):
+        for (start, end, heading), lang in zip(blocks, languages_of(text, blocks, profiles), strict=True):
             if heading or lang in ("zh", "ja", "th"):
                 continue
             tally = written.setdefault(lang, Counter())
             tokens = text[start:end].split()
             tally.update(tokens)
             for i in [i for i, t in enumerate(tokens, 1) if "." in t or "!" in t or "?" in t]:
-                low, period, number, sure = read(tokens[i - 1])
-                if not low:
+                kind, period, number, sure = read(tokens[i - 1])
+                if not kind:
                     continue
                 if i == len(tokens):
                     if period:
-                        counts[lang, "f", low] += 1
-                        counts[lang, "w", low] -= 1
+                        counts[lang, "f", kind] += 1
+                        counts[lang, "w", kind] -= 1
                 elif sure or (period and number):
                     follower = next((f for t in tokens[i:] if (f := read(t)[0])), None)
                     if follower and sure:
-                        counts[lang, "s", follower] += 1
+                        counts[lang, "s", follower.lower()] += 1
                     if follower and period and number:
-                        counts[lang, "n", follower] += 1
+                        counts[lang, "n", follower.lower()] += 1
     for lang, tally in written.items():
         for token, n in tally.items():
-            low, period, _, _ = read(token)
-            if low:
-                counts[lang, "w" if period else "o", low] += n
+            kind, period, _, _ = read(token)
+            if kind:
+                counts[lang, "w" if period else "o", kind] += n
     return +counts
 
 
-def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        counts = _count(batch["text"])
-        columns = {name: pd.Series([k[i] for k in counts], dtype=object) for i, name in enumerate(("lang", "kind", "type"))}
-        yield pd.DataFrame(columns | {"n": pd.Series(list(counts.values()), dtype="int64")})
+def _counted_with(profiles: dict[str, tuple[str, ...]]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = _count(batch["text"], profiles)
+            columns = {name: pd.Series([k[i] for k in counts], dtype=object) for i, name in enumerate(("lang", "kind", "type"))}
+            yield pd.DataFrame(columns | {"n": pd.Series(list(counts.values()), dtype="int64")})
+
+    return run
 
 
 def _ratio(a: str, b: str, ab: str, n: str, p2: str) -> str:
@@ -238,36 +248,119 @@ def _ratio(a: str, b: str, ab: str, n: str, p2: str) -> str:
     return f"2 * (({ab}) * ln({p2}) + ({a} - ({ab})) * ln(1 - {p2}) - ({ab}) * ln({p1}) - ({a} - ({ab})) * ln(1 - {p1}))"
 
 
-def learn(documents: DataFrame, text: str = "text", abbreviation_score: float = 0.3, starter_score: float = 30.0, collocation_score: float = 7.88) -> Model:
-    """Statistics of all documents; see the module's text.
+def learned(documents: DataFrame, text: str = "text", lang: str | None = None, abbreviation_score: float = 0.3, starter_score: float = 30.0, collocation_score: float = 7.88, most_labelled: int = 20_000) -> DataFrame:
+    """Statistics of all documents; see the module's text: ``lang, type, a, s, c``, what passes the tests.
 
-    An abbreviation is a short type that is written with a period far more often
+    An abbreviation (a) is a short type that is written with a period far more often
     than chance and hardly ever ends a block (a blank line always ends a sentence).
-    A starter follows sentence ends far more often than chance; a collocation
-    follows the period of a number in most of its uses.
+    A starter (s) follows sentence ends far more often than chance; a collocation (c)
+    follows the period of a number in most of its uses.  Abbreviations are told apart
+    by their capitals where both spellings are in use, starters and collocations aren't.
     """
-    each = documents.select(F.col(f"`{text}`").alias("text")).where("text is not null").mapInPandas(_count_batches, "lang string, kind string, type string, n long")
+    profiles = function_words(documents, text, lang, most_labelled)
+    return _tested(documents, text, profiles, abbreviation_score, starter_score, collocation_score).unionByName(profiles_as_rows(documents, profiles))
+
+
+def _tested(documents: DataFrame, text: str, profiles: dict[str, tuple[str, ...]], abbreviation_score: float, starter_score: float, collocation_score: float) -> DataFrame:
+    each = documents.select(F.col(f"`{text}`").alias("text")).where("text is not null").mapInPandas(_counted_with(profiles), "lang string, kind string, type string, n long")
     wide = each.groupBy("lang", "type").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).cast("double").alias(k) for k in "wfosn"])
     wide = cut(wide)
     totals = wide.groupBy("lang").agg(F.sum(F.expr("w + f + o")).alias("all_n"), F.sum(F.expr("w + f")).alias("dots"), F.sum("f").alias("finals"), F.sum("s").alias("breaks"), F.sum("n").alias("numbers"))
+    totals = F.broadcast(totals)  # one row for each language
     # The totals are those of all tokens; no test asks for a type that is only written without a period and begins nothing.
-    stats = wide.where("w + f + s + n > 0").join(F.broadcast(totals), "lang")  # one row for each language
+    dotted = wide.where("w + f > 0").join(totals, "lang")
+    begun = wide.groupBy("lang", F.lower("type").alias("type")).agg(*[F.sum(c).alias(c) for c in "wfosn"]).where("s + n > 0").join(totals, "lang")
     bare = "greatest(length(replace(type, '.', '')), 1)"
     score = f"({_ratio('(w + f + o)', 'dots', 'w + f', 'all_n', '0.99')}) * exp(-{bare}) * (length(type) - length(replace(type, '.', '')) + 1) / pow({bare}, least(o, 50))"
-    rarely_final = "f / (w + f) < 0.25 * finals / dots"
+    rarely_final = "(f = 0 or f / (w + f) < 0.25 * finals / dots)"
     abbreviation = F.expr(f"w > 0 and type <> '##' and type rlike '\\\\p{{L}}' and {rarely_final} and {score} >= {abbreviation_score}")
     starter = F.expr(f"s > 0 and s / breaks > (w + f + o) / all_n and type <> '##' and {_ratio('breaks', '(w + f + o)', 's', 'all_n', 'greatest(least(s / breaks, 0.999999), 1e-9)')} >= {starter_score}")
     total = "(w + f + o)"
     collocation = F.expr(f"n > 1 and type <> '##' and n / {total} >= 0.5 and {_ratio(total, 'numbers', 'n', 'all_n', f'greatest(least(n / {total}, 0.999999), 1e-9)')} >= {collocation_score}")
-    flagged = stats.select("lang", "type", abbreviation.alias("a"), starter.alias("s"), collocation.alias("c")).where("a or s or c")
+    no = F.lit(False)
+    cased = dotted.where(abbreviation).select("lang", "type")
+    # In small letters too, unless these are also written without a period, as a unit that looks like a title is.
+    small = cased.select("lang", F.lower("type").alias("type")).join(wide.where("o > 0").select("lang", "type"), ["lang", "type"], "left_anti")
+    abbreviations = cased.unionByName(small).distinct().select("lang", "type", F.lit(True).alias("a"), no.alias("s"), no.alias("c"))
+    others = begun.select("lang", "type", no.alias("a"), F.coalesce(starter, no).alias("s"), F.coalesce(collocation, no).alias("c")).where("s or c")
+    return abbreviations.unionByName(others)
+
+
+def model_of(rows: pd.DataFrame) -> Model:
+    """The model that rows of ``learned`` stand for."""
     model = Model()
-    for row in flagged.toLocalIterator():
-        for flag, table in (("a", model.abbreviations), ("s", model.starters), ("c", model.after_number)):
-            if row[flag]:
-                table.setdefault(row["lang"], set()).add(row["type"])
+    profiles: dict[str, list[str]] = {}
+    for lang, kind, a, s, c in zip(rows["lang"], rows["type"], rows["a"], rows["s"], rows["c"], strict=True):
+        if not (a or s or c):
+            profiles.setdefault(kind, []).append(lang)
+        for flag, table in ((a, model.abbreviations), (s, model.starters), (c, model.after_number)):
+            if flag:
+                table.setdefault(lang, set()).add(kind)
+    model.function_words = {word: tuple(sorted(langs)) for word, langs in profiles.items()}
     return model
 
 
+def learn(documents: DataFrame, text: str = "text", lang: str | None = None, most_kept: int = 1_000_000, **options) -> Model:
+    """``learned`` as a model on the driver, to look at or to use on single texts; more than ``most_kept`` rows are an error."""
+    rows = learned(documents, text, lang, **options).limit(most_kept + 1).toPandas()
+    if len(rows) > most_kept:
+        raise ValueError(f"more than {most_kept} types were learned; use find_sentences, which leaves them in the shared folder")
+    return model_of(rows)
+
+
+def function_words(documents: DataFrame, text: str = "text", lang: str | None = None, most_labelled: int = 20_000, least_documents: int = 20) -> dict[str, tuple[str, ...]]:
+    """Frequent words that tell languages of the Latin script apart, with their languages, learned from labels.
+
+    ``lang`` is a column of labels, of which some may be missing or wrong.  A label
+    counts if ``least_documents`` of the sample have it and write mostly Latin; its
+    words are those that make up at least 1 of 300 of its words, and at least half as
+    large a part there as under any other label.  Languages of the fixed list without
+    a label keep their words.  Without labels all are those of the fixed list.
+
+    The sample is at most about ``most_labelled`` labelled documents, by a hash of the text.
+    """
+    fixed = {word: tuple(langs) for word, langs in _FUNCTION_OF.items()}
+    if lang is None:
+        return fixed
+    rows = documents.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.lower(F.btrim(F.col(f"`{lang}`"))).alias("lang"), F.col(f"`{text}`").alias("text"))
+    part = -(-rows.count() // most_labelled)
+    words = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, part))) == 0).mapInPandas(_profile_counts, "lang string, word string, docs long, n long")
+    counts = cut(words.groupBy("lang", "word").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("word") == "", F.col("docs"))).alias("all_docs"), F.sum(F.when(F.col("word") == "", F.col("n"))).alias("all_n"), F.sum(F.when(F.col("word") != "", F.col("n"))).alias("latin"))
+    known = totals.where((F.col("all_docs") >= least_documents) & (F.col("latin") >= 0.6 * F.col("all_n"))).select("lang", "latin")
+    shares = counts.where("word <> ''").join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("latin"))
+    most = F.max("share").over(Window.partitionBy("word"))
+    told = shares.withColumn("most", most).where("share >= 1 / 300 and share >= 0.5 * most").select("lang", "word")
+    labels = {r["lang"] for r in known.select("lang").collect()}  # a label has 20 documents of a bounded sample, a word 1 of 300 places of a label
+    profiles: dict[str, set[str]] = {}
+    for r in told.collect():
+        profiles.setdefault(r["word"], set()).add(r["lang"])
+    for word, langs in fixed.items():
+        for own in langs:
+            if own not in labels:
+                profiles.setdefault(word, set()).add(own)
+    return {word: tuple(sorted(langs)) for word, langs in profiles.items()}
+
+
+def _profile_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``lang, word, docs, n`` of the short words in small Latin letters; under the empty word all documents and words."""
+    for batch in batches:
+        counts: Counter = Counter()
+        docs: Counter = Counter()
+        for label, text in zip(batch["lang"], batch["text"], strict=True):
+            tokens = text.lower().split()
+            docs[label] += 1
+            counts[label, ""] += len(tokens)
+            counts.update((label, t) for t in tokens if len(t) <= 7 and _LATIN.fullmatch(t))
+        yield pd.DataFrame([(lang, word, docs[lang] if word == "" else 0, n) for (lang, word), n in counts.items()], columns=["lang", "word", "docs", "n"]).astype({"lang": object, "word": object, "docs": "int64", "n": "int64"})
+
+
+def profiles_as_rows(documents: DataFrame, profiles: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Profiles as rows of ``learned``: no flag is set."""
+    rows = [(lang, word, False, False, False) for word, langs in profiles.items() for lang in langs]
+    return documents.sparkSession.createDataFrame(rows, "lang string, type string, a boolean, s boolean, c boolean")
+
+
 def _unclosed(text: str, start: int, end: int, limit: int) -> bool:
     """Whether a bracket or quotation opened in ``text[start:end]`` is closed only behind it, within the block."""
     part = text[start:end]
@@ -350,7 +443,8 @@ def _is_end(text: str, start: int, m: re.Match, e: int, limit: int, lang: str, m
     low = word.lower()
     if len(word) == 1 and word.isupper():
         return starts and at - e < 3 and text[left - 2 : left - 1] != "."
-    if low in model.abbreviations.get(lang, _NONE) or ("." in word and not any(c.isdigit() for c in word) and len(max(word.split("."), key=len)) <= 2):
+    abbreviations = model.abbreviations.get(lang, _NONE)
+    if word in abbreviations or low in abbreviations or ("." in word and not any(c.isdigit() for c in word) and len(max(word.split("."), key=len)) <= 2):
         return starts
     if lower and cased:
         return False
@@ -373,7 +467,7 @@ def split_sentences(text: str, model: Model) -> list[tuple[int, int]]:
             spans.append((start, end))
 
     blocks = blocks_of(text)
-    for (begin, end, heading), lang in zip(blocks, languages_of(text, blocks), strict=True):
+    for (begin, end, heading), lang in zip(blocks, languages_of(text, blocks, model.function_words), strict=True):
         if heading:
             add(begin, end)
             continue
@@ -397,26 +491,36 @@ def split_sentences(text: str, model: Model) -> list[tuple[int, int]]:
 _SPANS = T.ArrayType(T.StructType([T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())]))
 
 
-def sentence_spans(model: Model):
-    """A column function: the spans of the sentences of a text (none for null)."""
-
+def _spans_by(model_of_worker):
     @F.pandas_udf(_SPANS)
     def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = model_of_worker()
         for texts in batches:
             yield pd.Series([split_sentences(t, model) if t else [] for t in texts], dtype=object)
 
     return column
 
 
-def find_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
+def sentence_spans(model: Model):
+    """A column function: the spans of the sentences of a text (none for null)."""
+    return _spans_by(lambda: model)
+
+
+def find_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None, lang: str | None = None) -> DataFrame:
     """``key, sentence, char_start, char_end`` of every sentence of every document.
 
     Positions count code points; ``sentence`` numbers them from 0.  Every visible
     character belongs to exactly one sentence.  Null, empty and blank texts give
     none; a document that is there twice gives its sentences twice.  Without
-    ``model`` the statistics are those of ``documents``; with none to learn from
-    (no periods at all) every period counts by its surroundings alone.
+    ``model`` the statistics are those of ``documents``, and stay in the shared folder
+    (``llm.blocks``); with none to learn from (no periods at all) every period counts
+    by its surroundings alone.  ``lang`` is a column of labels, which may be missing
+    or wrong, from which the words that tell languages apart are learned.
     """
     if model is None:
-        model = learn(documents, text)
-    return documents.select(F.col(key), F.posexplode(sentence_spans(model)(F.col(f"`{text}`"))).alias("sentence", "s")).select(key, "sentence", "s.char_start", "s.char_end")
+        # As one block: a type is there if it passes the tests of a language.
+        path, _ = write_blocks(learned(documents, text, lang).withColumn("cost", F.lit(0)), "cost", 1)
+        spans = _spans_by(lambda: read_block(path, 0, lambda rows: model_of(rows) if len(rows) else Model()))
+    else:
+        spans = sentence_spans(model)
+    return documents.select(F.col(key), F.posexplode(spans(F.col(f"`{text}`"))).alias("sentence", "s")).select(key, "sentence", "s.char_start", "s.char_end")

@@ -116,3 +116,31 @@ def test_types_seen_once_count_in_the_totals(spark):
     breaks = " ".join(f"many words {'xeno' if i % 2 else 'yeti'} stop. {'Xeno' if i < 20 else 'Zebu'} goes" for i in range(40))
     model = sentences.learn(spark.createDataFrame([(f"{singles} {breaks}",)], "text string"))
     assert "xeno" in model.starters["latin"]
+
+
+def test_titles_are_told_from_units(spark):
+    rows = [(i, f"The cache took 21 ms at first and then {i} ms of it. It was Mr. Mel{i} and Ms. Tan{i} who read it.\n\nThis is the end.") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = sentences.learn(df)
+    assert {"Mr", "mr", "Ms"} <= model.abbreviations["en"] and "ms" not in model.abbreviations["en"]
+    assert sentences.find_sentences(df).count() == 600
+
+
+def test_abbreviations_of_a_script_whose_periods_are_all_theirs(spark):
+    rows = [(i, f"डॉ. Mel{i} ने कल रात फ़ाइल फिर से देखी। जाँच के समय कैश ने सूची छोड़ दी।") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "डॉ" in sentences.learn(df).abbreviations["hi"] and sentences.find_sentences(df).count() == 200
+
+
+def test_languages_are_learned_from_labels(spark):
+    portuguese = ["O relatório do grupo não foi enviado ontem para a sede.", "Ele disse que o arquivo não está pronto ainda e que vai demorar.", "A equipe trabalhou até tarde, mas o teste não passou."]
+    italian = ["Il gruppo ha inviato ieri il rapporto alla sede centrale.", "Lui ha detto che il file non è ancora pronto e che ci vuole tempo.", "La squadra ha lavorato fino a tardi, ma il test non è passato."]
+    rows = [(f"{portuguese[i % 3]} {portuguese[(i + 1) % 3]} {i}", "pt" if i % 10 else None) for i in range(60)] + [(f"{italian[i % 3]} {italian[(i + 1) % 3]} {i}", "IT " if i % 10 else "pt") for i in range(60)]
+    rows += [("これは日本語の文書です。", "ja")] * 30 + [(None, "pt"), ("", "pt")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    words = sentences.function_words(df, "text", "lang")
+    assert words["não"] == ("pt",) and words["il"] == ("it",) and "ja" not in {x for own in words.values() for x in own} and words["the"] == ("en",)
+    told = lambda text: sentences.languages_of(text, sentences.blocks_of(text), words)
+    assert told("\n\n".join([*portuguese, *italian])) == ["pt"] * 3 + ["it"] * 3
+    assert sentences.function_words(df, "text", "lang", most_labelled=60)["não"] == ("pt",)
+    assert sentences.function_words(df.where("false"), "text", "lang")["der"] == ("de",)
