@@ -72,7 +72,7 @@ def _uniform(key: Column, seed: int) -> Column:
 def _crossing(ranked: DataFrame, bins: str) -> DataFrame:
     """For each source the first bin at which the running tokens reach ``need``, and what comes before.
 
-    The window runs over at most ``_BINS`` rows for each source.
+    The window runs over at most ``2 * _BINS`` rows for each source.
     """
     per_bin = ranked.groupBy("source", "need", bins).agg(F.sum("tokens").alias("_in_bin"))
     running = per_bin.withColumn("_up_to", F.sum("_in_bin").over(Window.partitionBy("source").orderBy(bins)))
@@ -123,13 +123,13 @@ def draw_mix(documents: DataFrame, targets: DataFrame, total_tokens: float | Non
     base = base.withColumn("expected", expected).withColumn("whole", F.floor(F.col("expected") + 1e-9)).withColumn("pi", F.greatest(F.lit(0.0), F.col("expected") - F.col("whole")))
     certain = base.groupBy("source").agg(F.sum(F.col("whole") * F.col("tokens")).alias("certain_tokens"))
     u = _uniform(F.col("doc_id"), seed)
-    # The order of the Pareto ranks is kept by any increasing map of them to (0, 1).
+    # The order of the Pareto ranks is kept by any increasing map of them to (0, 1); documents without odds come behind, spread over (1, 2).
     odds = (u / (1 - u)) / (F.col("pi") / (1 - F.col("pi")))
-    rank = F.when((F.col("pi") > 1e-9) & (F.col("whole") < F.col("max_repeats")), odds / (1 + odds)).otherwise(F.when(F.col("whole") < F.col("max_repeats"), 1 - (1 - u) * 1e-12))
+    rank = F.when((F.col("pi") > 1e-9) & (F.col("whole") < F.col("max_repeats")), odds / (1 + odds)).otherwise(F.when(F.col("whole") < F.col("max_repeats"), 1 + u))
     ranked = base.join(certain, "source").withColumn("need", F.col("budget") - F.col("certain_tokens")).withColumn("rank", rank)
     ranked = cut(ranked.select("doc_id", "source", "tokens", "whole", "need", "rank"))
 
-    open_docs = ranked.where("need > 0 and rank is not null").withColumn("bin", F.least(F.floor(F.col("rank") * _BINS), F.lit(_BINS - 1)))
+    open_docs = ranked.where("need > 0 and rank is not null").withColumn("bin", F.least(F.floor(F.col("rank") * _BINS), F.lit(2 * _BINS - 1)))
     first = _crossing(open_docs, "bin").select("source", F.col("edge").alias("edge_1"), F.col("before").alias("before_1"))
     inside = open_docs.join(first, "source").where("bin = edge_1").withColumn("need", F.col("need") - F.col("before_1"))
     inside = inside.withColumn("fine", F.least(F.floor((F.col("rank") * _BINS - F.col("bin")) * _BINS), F.lit(_BINS - 1)))
@@ -140,7 +140,7 @@ def draw_mix(documents: DataFrame, targets: DataFrame, total_tokens: float | Non
 
     edges = first.join(second, "source", "left")
     marked = ranked.join(edges, "source", "left").join(last, ["source", "doc_id"], "left")
-    position = F.least(F.floor(F.col("rank") * _BINS), F.lit(_BINS - 1))
+    position = F.least(F.floor(F.col("rank") * _BINS), F.lit(2 * _BINS - 1))
     fine = F.least(F.floor((F.col("rank") * _BINS - position) * _BINS), F.lit(_BINS - 1))
     below = (position < F.col("edge_1")) | ((position == F.col("edge_1")) & (fine < F.col("edge_2")))
     # Where even all ranks don't reach the need, there is no edge and every open document is used.

@@ -41,7 +41,7 @@ def p3_unified(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every oversized chunk."""
-    return split_oversized(table(spark, folder, "chunks"))
+    return split_oversized(table(spark, folder, "chunks"), blank=True)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

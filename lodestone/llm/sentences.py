@@ -272,10 +272,11 @@ def _tested(documents: DataFrame, text: str, profiles: dict[str, tuple[str, ...]
     begun = wide.groupBy("lang", F.lower("type").alias("type")).agg(*[F.sum(c).alias(c) for c in "wfosn"]).where("s + n > 0").join(totals, "lang")
     bare = "greatest(length(replace(type, '.', '')), 1)"
     score = f"({_ratio('(w + f + o)', 'dots', 'w + f', 'all_n', '0.99')}) * exp(-{bare}) * (length(type) - length(replace(type, '.', '')) + 1) / pow({bare}, least(o, 50))"
-    rarely_final = "(f = 0 or f / (w + f) < 0.25 * finals / dots)"
+    rarely_final = "(f = 0 or f / greatest(w + f, 1) < 0.25 * finals / greatest(dots, 1))"
     abbreviation = F.expr(f"w > 0 and type <> '##' and type rlike '\\\\p{{L}}' and {rarely_final} and {score} >= {abbreviation_score}")
-    starter = F.expr(f"s > 0 and s / breaks > (w + f + o) / all_n and type <> '##' and {_ratio('breaks', '(w + f + o)', 's', 'all_n', 'greatest(least(s / breaks, 0.999999), 1e-9)')} >= {starter_score}")
-    total = "(w + f + o)"
+    # Spark may compute the quotients before the tests in front of them.
+    of_breaks, total = "s / greatest(breaks, 1)", "greatest(w + f + o, 1)"
+    starter = F.expr(f"s > 0 and {of_breaks} > {total} / all_n and type <> '##' and {_ratio('breaks', total, 's', 'all_n', f'greatest(least({of_breaks}, 0.999999), 1e-9)')} >= {starter_score}")
     collocation = F.expr(f"n > 1 and type <> '##' and n / {total} >= 0.5 and {_ratio(total, 'numbers', 'n', 'all_n', f'greatest(least(n / {total}, 0.999999), 1e-9)')} >= {collocation_score}")
     no = F.lit(False)
     cased = dotted.where(abbreviation).select("lang", "type")

@@ -179,12 +179,15 @@ def _reach_back(text: str, start: int, floor: int) -> int:
     return start
 
 
-def split_text(text: str, limit: int = 900, overlap: int = 150) -> list[tuple[int, int]]:
+def split_text(text: str, limit: int = 900, overlap: int = 150, blank: bool = False) -> list[tuple[int, int]]:
     """Spans of the pieces of a text, each of at most ``limit`` characters.
 
     All visible characters are covered.  A text within the limit is one piece; the
-    empty text and white space alone are none.
+    empty text and white space alone are none.  With ``blank`` white space alone,
+    beyond the limit, is cut at the limit.
     """
+    if blank and len(text) > limit and text.isspace():
+        return [(start, min(start + limit, len(text))) for start in range(0, len(text), limit)]
     if len(text) <= limit:
         return [(0, len(text))] if text.strip() else []
     pieces: list[tuple[int, int]] = []
@@ -211,27 +214,28 @@ _PIECE = T.ArrayType(
 )
 
 
-def _pieces_of(limit: int, overlap: int):
+def _pieces_of(limit: int, overlap: int, blank: bool):
     @F.pandas_udf(_PIECE)
     def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = []
             for text in texts:
                 breaks = [m.end() for m in re.finditer(r"\r\n|\r|\n", text or "")]
-                out.append([(i, a, b, bisect_right(breaks, a), bisect_right(breaks, b - 1), text[a:b]) for i, (a, b) in enumerate(split_text(text or "", limit, overlap))])
+                out.append([(i, a, b, bisect_right(breaks, a), bisect_right(breaks, b - 1), text[a:b]) for i, (a, b) in enumerate(split_text(text or "", limit, overlap, blank))])
             yield pd.Series(out, dtype=object)
 
     return column
 
 
-def split_oversized(chunks: DataFrame, limit: int = 900, overlap: int = 150) -> DataFrame:
+def split_oversized(chunks: DataFrame, limit: int = 900, overlap: int = 150, blank: bool = False) -> DataFrame:
     """Pieces of all chunks whose text is longer than ``limit``.
 
     Input: ``chunk_id, memory_id, text, line_start`` (other columns are ignored).
     Output: ``chunk_id, piece, char_start, char_end, piece_text, line_start, line_end``;
     positions count code points in the stored text, consecutive pieces share up to
     ``overlap`` characters, and the same chunk row twice gives its pieces twice.
-    Null and short texts give nothing; text of white space alone gives no piece.
+    Null and short texts give nothing; text of white space alone gives no piece, or
+    with ``blank`` pieces cut at the limit.
 
     Line numbers are absolute where the chunk has a ``line_start``, else null; they
     don't rely on its ``line_end``.  A chunk that begins with the end of another of
@@ -248,10 +252,10 @@ def split_oversized(chunks: DataFrame, limit: int = 900, overlap: int = 150) ->
     tails = chunks.where("text is not null").select("memory_id", F.regexp_replace(F.right("text", F.lit(overlap + 10)), r"\s+$", "").alias("_tail")).where(F.length("_tail") > 0)
     tails = tails.withColumn("_end", F.right("_tail", F.lit(end_key))).distinct()
     # An overlap shorter than the key is the whole of a short chunk, so both sides cut the key alike.
-    met = starts.withColumn("_end", F.right("_prefix", F.lit(end_key))).join(tails, ["memory_id", "_end"]).where(F.endswith(F.col("_tail"), F.col("_prefix")))
+    met = starts.withColumn("_end", F.right("_prefix", F.lit(end_key))).hint("merge").join(tails.hint("merge"), ["memory_id", "_end"]).where(F.endswith(F.col("_tail"), F.col("_prefix")))
     lines_in = F.size(F.split("_prefix", "\r\n|\r|\n")) + 1
     prefixes = met.groupBy(F.col("memory_id").alias("_m"), F.col("_text_id").alias("_t")).agg(F.max(lines_in).alias("_skip"))
-    pieces = big.withColumn("_p", F.explode(_pieces_of(limit, overlap)(F.col("text")))).withColumn("_text_id", F.xxhash64("text"))
+    pieces = big.withColumn("_p", F.explode(_pieces_of(limit, overlap, blank)(F.col("text")))).withColumn("_text_id", F.xxhash64("text"))
     full = pieces.join(prefixes, (F.col("memory_id") == F.col("_m")) & (F.col("_text_id") == F.col("_t")), "left")
     line = lambda c: F.col("_base") + F.greatest(F.col(c) - F.coalesce("_skip", F.lit(0)), F.lit(0))
     return full.select("chunk_id", "_p.piece", "_p.char_start", "_p.char_end", "_p.piece_text", line("_p.first_line").alias("line_start"), line("_p.last_line").alias("line_end"))

@@ -183,3 +183,13 @@ def test_mix_meets_shares(spark):
     assert again == {(r["doc_id"], r["copies_used"]) for r in got}
     assert mixture.draw_mix(df.where("false"), targets)[0].count() == 0
     assert mixture.draw_mix(df, targets.where("false"))[0].count() == 0
+
+
+def test_mix_of_whole_uses_is_spread(spark):
+    """Where every document is used as often as it may be, none has odds and the ranks aren't one bin."""
+    df = spark.createDataFrame([(i, "token " * (1 + i % 7), "a" if i % 2 else "b") for i in range(400)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    mix, report = mixture.draw_mix(df, targets, total_tokens=float(10**9))
+    assert {r["copies_used"] for r in mix.collect()} == {2} and mix.count() == 400
+    half = {r["source"]: r for r in mixture.draw_mix(df, targets)[1].collect()}
+    assert abs(half["a"]["actual_share"] - 0.5) < 0.01

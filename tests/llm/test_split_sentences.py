@@ -2,6 +2,7 @@
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestone.llm import sentences, treesplit
 
@@ -40,6 +41,12 @@ def test_split_oversized_lines_and_edge_rows(spark):
     assert treesplit.split_oversized(df.where("false")).count() == 0
 
 
+def test_oversized_white_space_is_cut_on_request(spark):
+    df = spark.createDataFrame([("a", "m", " " * 2000, 1), ("b", "m", "\n" * 901, 1), ("c", "m", " " * 900, 1)], "chunk_id string, memory_id string, text string, line_start int")
+    got = sorted((r["chunk_id"], r["piece"], r["char_start"], r["char_end"], r["line_start"]) for r in treesplit.split_oversized(df, blank=True).collect())
+    assert got == [("a", 0, 0, 900, 1), ("a", 1, 900, 1800, 1), ("a", 2, 1800, 2000, 1), ("b", 0, 0, 900, 1), ("b", 1, 900, 901, 901)]
+
+
 MODEL = sentences.Model({"en": {"dr", "no", "e.g", "cf"}, "de": {"nr", "z", "b"}, "ar": {"د"}}, {"en": {"the", "see"}, "de": {"das"}}, {"de": {"mal"}})
 
 
@@ -144,3 +151,8 @@ def test_languages_are_learned_from_labels(spark):
     assert told("\n\n".join([*portuguese, *italian])) == ["pt"] * 3 + ["it"] * 3
     assert sentences.function_words(df, "text", "lang", most_labelled=60)["não"] == ("pt",)
     assert sentences.function_words(df.where("false"), "text", "lang")["der"] == ("de",)
+
+
+def test_languages_without_breaks_or_periods_are_learned(spark):
+    df = spark.createDataFrame([("Nothing ends here at the of and",), ("3. next",), ("Это текст без точек",), ("Ja. und der die. das ist",)], "text string")
+    assert sentences.learn(df).abbreviations.get("ru") is None and sentences.find_sentences(df.withColumn("doc_id", F.lit(1))).count() == 4
