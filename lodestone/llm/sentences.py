@@ -323,9 +323,10 @@ def function_words(documents: DataFrame, text: str = "text", lang: str | None =
     fixed = {word: tuple(langs) for word, langs in _FUNCTION_OF.items()}
     if lang is None:
         return fixed
-    rows = documents.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.lower(F.btrim(F.col(f"`{lang}`"))).alias("lang"), F.col(f"`{text}`").alias("text"))
-    part = -(-rows.count() // most_labelled)
-    words = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, part))) == 0).mapInPandas(_profile_counts, "lang string, word string, docs long, n long")
+    labelled = documents.where(F.col(f"`{lang}`").isNotNull())
+    rows = labelled.where(F.col(f"`{text}`").isNotNull()).select(F.lower(F.btrim(F.col(f"`{lang}`"))).alias("lang"), F.col(f"`{text}`").alias("text"))
+    part = max(1, -(-labelled.count() // most_labelled))
+    words = rows.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).mapInPandas(_profile_counts, "lang string, word string, docs long, n long")
     counts = cut(words.groupBy("lang", "word").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
     totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("word") == "", F.col("docs"))).alias("all_docs"), F.sum(F.when(F.col("word") == "", F.col("n"))).alias("all_n"), F.sum(F.when(F.col("word") != "", F.col("n"))).alias("latin"))
     known = totals.where((F.col("all_docs") >= least_documents) & (F.col("latin") >= 0.6 * F.col("all_n"))).select("lang", "latin")
