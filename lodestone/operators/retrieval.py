@@ -84,6 +84,18 @@ def judged(hits: DataFrame, chunks: DataFrame, memories: DataFrame, policy: Poli
     return hits.join(c, "chunk_id", "left").join(m, "memory_id", "left").withColumn("reason", reject_reason(policy, now))
 
 
+def debug_counts(judged_hits: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``query_id, hits, kept, semantic_hits, lexical_hits, rejected``; the last lists ``key:reason``, ordered by key and joined by ``|``.
+
+    A query has at most twice the top n hits, so the list has a bound.
+    """
+    lost = F.when(F.col("reason").isNotNull(), F.struct(F.col(key), F.concat_ws(":", F.col(key), "reason").alias("said")))
+    return judged_hits.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("hits"), F.count_if(F.col("reason").isNull()).alias("kept"), F.count("semantic_rank").alias("semantic_hits"), F.count("lexical_rank").alias("lexical_hits"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(lost)), lambda x: x["said"]), "|").alias("rejected"),
+    )
+
+
 def best_of_memory(kept: DataFrame) -> DataFrame:
     """The best chunk of each memory, the first in the order of the fusion."""
     w = Window.partitionBy("query_id", "memory_id").orderBy(*_order(), "chunk_id")

@@ -178,9 +178,9 @@ def o81(spark, folder):
     return chunks.join(memories, "memory_id", "left").select("chunk_id", outcome(_SCOPED).alias("scoped"), outcome(_AGED).alias("aged"))
 
 
-@query("o71_debug", f"WITH {_JUDGED} SELECT query_id, count(*) AS hits, count(*) FILTER (reason IS NULL) AS kept, count(semantic_rank) AS semantic_hits, count(lexical_rank) AS lexical_hits FROM judged GROUP BY query_id")
+@query("o71_debug", f"WITH {_JUDGED} SELECT query_id, count(*) AS hits, count(*) FILTER (reason IS NULL) AS kept, count(semantic_rank) AS semantic_hits, count(lexical_rank) AS lexical_hits, coalesce(string_agg(chunk_id || ':' || reason, '|' ORDER BY chunk_id) FILTER (reason IS NOT NULL), '') AS rejected FROM judged GROUP BY query_id")
 def o71(spark, folder):
-    return _judged(spark, folder).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("reason").isNull()).alias("kept"), F.count("semantic_rank").alias("semantic_hits"), F.count("lexical_rank").alias("lexical_hits"))
+    return retrieval.debug_counts(_judged(spark, folder))
 
 
 @query("o67_best_of_memory", f"WITH {_TOP} SELECT query_id, memory_id, chunk_id FROM best")

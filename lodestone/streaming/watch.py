@@ -22,15 +22,15 @@ from lodestone.sources.markdown import EditedMarkdown, read_present
 log = logging.getLogger(__name__)
 
 
-def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, available_now: bool = False, interval: str = "500 milliseconds") -> StreamingQuery:
-    """Start the stream; stop it with ``query.stop()``."""
+def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, available_now: bool = False, interval: str = "500 milliseconds", **options) -> StreamingQuery:
+    """Start the stream; stop it with ``query.stop()``.  ``options`` go to ``index_files``."""
     spark.dataSource.register(EditedMarkdown)
 
     def index(batch: DataFrame, number: int) -> None:
         try:
             now = batch.sparkSession.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).first()[0]
             names = cut(batch.repartition(spark.sparkContext.defaultParallelism))
-            index_files(store, read_present(names.where("modified is not null"), root), now, whole_tree=False, paths=names.select("path"))
+            index_files(store, read_present(names.where("modified is not null"), root), now, whole_tree=False, paths=names.select("path"), **options)
         except Exception:
             log.exception("batch %s failed", number)
             raise
