@@ -281,7 +281,9 @@ def _tested(documents: DataFrame, text: str, profiles: dict[str, tuple[str, ...]
     no = F.lit(False)
     cased = dotted.where(abbreviation).select("lang", "type")
     # In small letters too, unless these are also written without a period, as a unit that looks like a title is.
-    small = cased.select("lang", F.lower("type").alias("type")).join(wide.where("o > 0").select("lang", "type"), ["lang", "type"], "left_anti")
+    small = cased.select("lang", F.lower("type").alias("type")).distinct()
+    used = wide.where("o > 0").select("lang", "type").join(small, ["lang", "type"], "left_semi")
+    small = small.join(used, ["lang", "type"], "left_anti")
     abbreviations = cased.unionByName(small).distinct().select("lang", "type", F.lit(True).alias("a"), no.alias("s"), no.alias("c"))
     others = begun.select("lang", "type", no.alias("a"), F.coalesce(starter, no).alias("s"), F.coalesce(collocation, no).alias("c")).where("s or c")
     return abbreviations.unionByName(others)
@@ -330,9 +332,8 @@ def function_words(documents: DataFrame, text: str = "text", lang: str | None =
     counts = cut(words.groupBy("lang", "word").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
     totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("word") == "", F.col("docs"))).alias("all_docs"), F.sum(F.when(F.col("word") == "", F.col("n"))).alias("all_n"), F.sum(F.when(F.col("word") != "", F.col("n"))).alias("latin"))
     known = totals.where((F.col("all_docs") >= least_documents) & (F.col("latin") >= 0.6 * F.col("all_n"))).select("lang", "latin")
-    shares = counts.where("word <> ''").join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("latin"))
-    most = F.max("share").over(Window.partitionBy("word"))
-    told = shares.withColumn("most", most).where("share >= 1 / 300 and share >= 0.5 * most").select("lang", "word")
+    shares = counts.where("word <> ''").join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("latin")).where("share >= 1 / 300")
+    told = shares.withColumn("most", F.max("share").over(Window.partitionBy("word"))).where("share >= 0.5 * most").select("lang", "word")
     labels = {r["lang"] for r in known.select("lang").collect()}  # a label has 20 documents of a bounded sample, a word 1 of 300 places of a label
     profiles: dict[str, set[str]] = {}
     for r in told.collect():
