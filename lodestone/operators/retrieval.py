@@ -76,12 +76,13 @@ def reject_reason(policy: Policy, now: Column) -> Column:
 def judged(hits: DataFrame, chunks: DataFrame, memories: DataFrame, policy: Policy, now: Column) -> DataFrame:
     """Hits with their chunk, memory and ``reason``; two joins in place of a lookup for each hit.
 
-    ``memories`` has ``moment`` (timestamp) for the age test.
+    ``memories`` has ``moment`` (timestamp) for the age test.  Chunks and memories
+    carry texts, whose size Spark estimates far too low: neither is broadcast.
     """
     c = chunks.select("chunk_id", "memory_id", "text", "source_path", "line_start", "line_end", F.lit(True).alias("chunk_found"))
     said = F.col("json") if "json" in memories.columns else F.lit(None).cast("string").alias("json")
     m = memories.select("memory_id", "memory_type", "status", "source_kind", "project", "channel", "confidence", "importance", "moment", said)
-    return hits.join(c, "chunk_id", "left").join(m, "memory_id", "left").withColumn("reason", reject_reason(policy, now))
+    return hits.join(c.hint("merge"), "chunk_id", "left").join(m.hint("merge"), "memory_id", "left").withColumn("reason", reject_reason(policy, now))
 
 
 def debug_counts(judged_hits: DataFrame, key: str = "chunk_id") -> DataFrame:

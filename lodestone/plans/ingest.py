@@ -100,7 +100,7 @@ def chunk_memories(memories: DataFrame, model_id: str, now: str, target: int = 9
     packed = segment.pack_paragraphs(memories, "memory_id", "text", target, split_lists=True)
     gathered = packed.groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "line_start", "line_end", "text"))).alias("cs"))
     spread = gathered.withColumn("ts", segment.with_overlap(F.transform("cs", lambda c: c["text"]), overlap)).select("memory_id", F.posexplode(F.arrays_zip("cs", "ts")).alias("i", "z"))
-    full = spread.join(memories.select("memory_id", "path", F.col("line_start").alias("base")), "memory_id")
+    full = spread.hint("merge").join(memories.select("memory_id", "path", F.col("line_start").alias("base")).hint("merge"), "memory_id")  # texts are never broadcast
     hashed = X.content_hash(F.col("z.ts"))
     return full.select(
         X.hashed_id("chk_", F.col("memory_id"), F.col("i"), hashed).alias("chunk_id"), "memory_id", F.col("z.ts").alias("text"), F.col("path").alias("source_path"),

@@ -277,7 +277,7 @@ def o60(spark, folder):
 
 @query("o30c_result_summary", f"SELECT chunk_id, {_SUMMARY} AS summary FROM (SELECT c.chunk_id, c.text, m.json FROM chunks c LEFT JOIN memories m USING (memory_id))")
 def o30c(spark, folder):
-    memories = table(spark, folder, "memories").select("memory_id", "json")
+    memories = table(spark, folder, "memories").select("memory_id", "json").hint("merge")
     return table(spark, folder, "chunks").join(memories, "memory_id", "left").select("chunk_id", retrieval.result_summary(F.col("json"), F.col("text")).alias("summary"))
 
 
@@ -350,5 +350,5 @@ SELECT query_id, chunk_id, CASE WHEN a > 1 THEN '...' ELSE '' END || array_to_st
 )
 def o114(spark, folder):
     """Where the five best chunks of each question say what it asks for."""
-    found = _lexical(spark, folder).where("rank <= 5").join(table(spark, folder, "chunks").select("chunk_id", "text"), "chunk_id")
+    found = _lexical(spark, folder).where("rank <= 5").join(table(spark, folder, "chunks").select("chunk_id", "text").hint("merge"), "chunk_id")
     return snippets(found, _bench(spark, folder))
