@@ -99,7 +99,19 @@ def languages_of(text: str, blocks: list[tuple[int, int, bool]], words: dict[str
     """
     others = "" if text.isascii() else "".join(c for c in set(text) if c > "\u036f")
     scripts = [x for x in _SCRIPT_FIND if x[1].search(others)] if others else []
-    lowered = text.lower() if text.isascii() else ""  # else it may be of another length
+    lowered = text.lower()
+    if not scripts:
+        # Where each word that is there speaks for the document's language, no block can show another one.
+        there = Counter(filter(words.__contains__, lowered.split()))
+        all_votes: dict[str, int] = {}
+        for word, n in there.items():
+            for language in words[word]:
+                all_votes[language] = all_votes.get(language, 0) + n
+        only = _most(all_votes, "latin")
+        if all(only in words[word] for word in there):
+            return [only] * len(blocks)
+    if len(lowered) != len(text):
+        lowered = ""  # places differ
     latin_votes: dict[str, int] = {}
     letters: dict[str, int] = {}
     each = []
@@ -226,6 +238,9 @@ def _count(texts: pd.Series, profiles: dict[str, tuple[str, ...]] = _FUNCTION_OF
                         counts[lang, "n", follower.lower()] += 1
     for lang, tally in written.items():
         for token, n in tally.items():
+            if token.isalpha():  # as most are
+                counts[lang, "o", token] += n
+                continue
             kind, period, _, _ = read(token)
             if kind:
                 counts[lang, "w" if period else "o", kind] += n
@@ -248,7 +263,7 @@ def _ratio(a: str, b: str, ab: str, n: str, p2: str) -> str:
     return f"2 * (({ab}) * ln({p2}) + ({a} - ({ab})) * ln(1 - {p2}) - ({ab}) * ln({p1}) - ({a} - ({ab})) * ln(1 - {p1}))"
 
 
-def learned(documents: DataFrame, text: str = "text", lang: str | None = None, abbreviation_score: float = 0.3, starter_score: float = 30.0, collocation_score: float = 7.88, most_labelled: int = 20_000) -> DataFrame:
+def learned(documents: DataFrame, text: str = "text", lang: str | None = None, abbreviation_score: float = 0.3, starter_score: float = 30.0, collocation_score: float = 7.88, most_labelled: int = 5_000) -> DataFrame:
     """Statistics of all documents; see the module's text: ``lang, type, a, s, c``, what passes the tests.
 
     An abbreviation (a) is a short type that is written with a period far more often
@@ -311,13 +326,13 @@ def learn(documents: DataFrame, text: str = "text", lang: str | None = None, mos
     return model_of(rows)
 
 
-def function_words(documents: DataFrame, text: str = "text", lang: str | None = None, most_labelled: int = 20_000, least_documents: int = 20) -> dict[str, tuple[str, ...]]:
+def function_words(documents: DataFrame, text: str = "text", lang: str | None = None, most_labelled: int = 5_000, least_documents: int = 20) -> dict[str, tuple[str, ...]]:
     """Frequent words that tell languages of the Latin script apart, with their languages, learned from labels.
 
     ``lang`` is a column of labels, of which some may be missing or wrong.  A label
-    counts if ``least_documents`` of the sample have it and write mostly Latin; its
-    words are those that make up at least 1 of 300 of its words, and at least half as
-    large a part there as under any other label.  Languages of the fixed list without
+    counts if ``least_documents`` of the sample have it and write mostly Latin.  Words
+    are those that make up at least 1 of 300 of the words of a label; they speak for
+    all labels of which they are at least a fifth of that part.  Languages of the fixed list without
     a label keep their words.  Without labels all are those of the fixed list.
 
     The sample is at most about ``most_labelled`` labelled documents, by a hash of the text.
@@ -332,8 +347,8 @@ def function_words(documents: DataFrame, text: str = "text", lang: str | None =
     counts = cut(words.groupBy("lang", "word").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
     totals = counts.groupBy("lang").agg(F.sum(F.when(F.col("word") == "", F.col("docs"))).alias("all_docs"), F.sum(F.when(F.col("word") == "", F.col("n"))).alias("all_n"), F.sum(F.when(F.col("word") != "", F.col("n"))).alias("latin"))
     known = totals.where((F.col("all_docs") >= least_documents) & (F.col("latin") >= 0.6 * F.col("all_n"))).select("lang", "latin")
-    shares = counts.where("word <> ''").join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("latin")).where("share >= 1 / 300")
-    told = shares.withColumn("most", F.max("share").over(Window.partitionBy("word"))).where("share >= 0.5 * most").select("lang", "word")
+    shares = counts.where("word <> ''").join(F.broadcast(known), "lang").withColumn("share", F.col("n") / F.col("latin")).where("share >= 1 / 1500")
+    told = shares.withColumn("most", F.max("share").over(Window.partitionBy("word"))).where("most >= 1 / 300 and share >= 0.2 * most").select("lang", "word")
     labels = {r["lang"] for r in known.select("lang").collect()}  # a label has 20 documents of a bounded sample, a word 1 of 300 places of a label
     profiles: dict[str, set[str]] = {}
     for r in told.collect():
